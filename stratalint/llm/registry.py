@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Module -> its query's name.
-MODULES = {"quality": "op5_quality_rules"}
+MODULES = {"quality": "op5_quality_rules", "bpe": "op6_byte_bpe"}
 
 
 def queries() -> dict:
