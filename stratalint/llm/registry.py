@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Module -> its query's name.
-MODULES = {"quality": "op5_quality_rules", "bpe": "op6_byte_bpe", "urls": "op9_url_filters", "sharding": "op10_sharding"}
+MODULES = {"quality": "op5_quality_rules", "bpe": "op6_byte_bpe", "urls": "op9_url_filters", "sharding": "op10_sharding", "pii": "op7_pii"}
 
 
 def queries() -> dict:
