@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Module -> its query's name.
-MODULES = {"quality": "op5_quality_rules", "bpe": "op6_byte_bpe", "urls": "op9_url_filters", "sharding": "op10_sharding", "pii": "op7_pii", "packing": "op2_best_fit_packing", "warc": "op4_warc_writer", "jaccard": "op8_ngram_jaccard", "ann": "op1_ann_search"}
+MODULES = {"quality": "op5_quality_rules", "bpe": "op6_byte_bpe", "urls": "op9_url_filters", "sharding": "op10_sharding", "pii": "op7_pii", "packing": "op2_best_fit_packing", "warc": "op4_warc_writer", "jaccard": "op8_ngram_jaccard", "ann": "op1_ann_search", "chat": "op3_chat_formatting"}
 
 
 def queries() -> dict:
