@@ -103,8 +103,9 @@ def _chain(v: str, c: ScanConfig) -> str:
     return f"{v}.h.depth > {c.chain} and not coalesce(exists(imports, m -> m.bound = {v}.h.root), false)"
 
 
-def file_issues(facts: DataFrame, config: ScanConfig) -> DataFrame:
-    """package, path, and the columns of an issue; one row for each issue of the per-file rules."""
+def file_issues(facts: DataFrame, config: ScanConfig, only: frozenset[str] = frozenset()) -> DataFrame:
+    """package, path, and the columns of an issue; one row for each issue of the per-file rules, or of some of them."""
     empty = f"cast(array() as array<{ISSUE}>)"
-    every = "flatten(array(" + ", ".join(f"coalesce({r}, {empty})" for r in file_rules(config)) + "))"
+    chosen = [r for r in file_rules(config) if not only or any(f"'rule', '{name}'" in r for name in only)]
+    every = "flatten(array(" + ", ".join(f"coalesce({r}, {empty})" for r in chosen) + "))"
     return facts.select("package", "path", F.explode(F.expr(every)).alias("issue")).select("package", "path", "issue.*")

@@ -53,7 +53,7 @@ def remediation(issues: DataFrame) -> DataFrame:
     first = F.struct(rank(F.col("severity")).alias("r"), "severity")
     g = issues.groupBy("rule").agg(F.max(first)["severity"].alias("severity"), F.countDistinct("path").alias("n_files"), F.min("path").alias("first_file"), F.count("*").alias("n_issues"), F.min_by("message", F.struct("package", "path", "line", "pos")).alias("description"))
     e = effort(F.col("rule"))
-    g = g.withColumn("score", weight(F.col("severity")) * e).withColumn("effort", effort_label(e)).withColumn("priority", priority(F.col("score")))
+    g = g.withColumn("score", F.bround(weight(F.col("severity")) * e, 6)).withColumn("effort", effort_label(e)).withColumn("priority", priority(F.col("score")))
     return g.orderBy(F.desc("score"), F.desc("n_issues"), "rule")
 
 
