@@ -28,15 +28,15 @@ from .common import batches, table
 
 #: Entries of the memo of pre-tokens and of the table of pairs, in each worker.
 MEMO, PAIRS = 400_000, 1_000_000
-_M = (1 << 32) - 1
+_M, _STEP, _STIR = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
 class PerfectHash:
-    """Minimal perfect hash, hash-and-displace: n keys in n slots. Its only table is one displacement for every four keys or so; a key of a bucket of its own has its slot there, negative."""
+    """Minimal perfect hash, hash-and-displace: n keys in n slots. Its only table is one displacement for every four keys or so; a key of a bucket of its own has its slot there, negative. Small sets may need several seeds."""
 
     def __init__(self, keys: list[bytes]) -> None:
         n = len(keys)
-        for seed in range(1, 100):
+        for seed in range(1, 1000):
             self.n, self.seed, self.buckets = n, seed, max(1, n // 4)
             h = np.array([xxhash.xxh3_64_intdigest(k, seed) for k in keys], dtype=np.uint64)
             if self._place(h):
@@ -45,7 +45,6 @@ class PerfectHash:
 
     def _place(self, h: np.ndarray) -> bool:
         n, bucket = self.n, (h % np.uint64(self.buckets)).astype(np.int64)
-        a, b = (h >> np.uint64(32)), (h & np.uint64(_M)) | np.uint64(1)
         self.displace, self.key_of = [0] * self.buckets, np.full(n, -1, np.int64)
         free, order = np.ones(n, bool), np.argsort(bucket, kind="stable")
         count = np.bincount(bucket, minlength=self.buckets)
@@ -54,8 +53,10 @@ class PerfectHash:
             own = order[start[q] : start[q + 1]]
             if len(own) < 2:
                 break
-            for first in range(0, 1 << 20, 256):
-                slots = ((a[own] + (tries + np.uint64(first)) * b[own]) % np.uint64(n)).astype(np.int64)
+            for first in range(0, 1 << 16, 256):
+                x = h[own] + (tries + np.uint64(first)) * np.uint64(_STEP)
+                x = (x ^ (x >> np.uint64(32))) * np.uint64(_STIR)
+                slots = ((x ^ (x >> np.uint64(29))) % np.uint64(n)).astype(np.int64)
                 fits = free[slots].all(1)
                 for i in np.flatnonzero(fits):
                     if len(np.unique(slots[i])) == len(own):
@@ -74,7 +75,11 @@ class PerfectHash:
         """The key's slot in 0..n-1; for other bytes, any slot."""
         h = xxhash.xxh3_64_intdigest(key, self.seed)
         d = self.displace[h % self.buckets]
-        return -d - 1 if d < 0 else ((h >> 32) + d * (h & _M | 1)) % self.n
+        if d < 0:
+            return -d - 1
+        x = h + d * _STEP & _M
+        x = (x ^ x >> 32) * _STIR & _M
+        return (x ^ x >> 29) % self.n
 
 
 _CONTRACTED = r"'s|'t|'re|'ve|'m|'ll|'d"
