@@ -21,6 +21,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _modules(df: DataFrame, source: str, path: str = "concat('/w/g/p', p_partkey, '.py')", package: str = "'g'", root: str = "'/w/g'") -> DataFrame:
+    # a module costs far more to parse than its row to move, and a table of few bytes is one partition
+    df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df.select(F.expr(package).alias("package"), F.expr(root).alias("root"), F.expr(path).alias("path"), F.expr(source).alias("source"))
 
 
