@@ -137,3 +137,39 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+def _sql() -> str:
+    """The query in DuckDB's SQL."""
+
+    def level(name: str, keys: str) -> str:
+        by = f"{keys}, measure" if keys else "measure"
+        return f"""{name} AS (SELECT {by}, any_value(docs) AS docs, min(cell) FILTER (upto * 4 >= docs) AS q1, min(cell) FILTER (upto * 2 >= docs) AS q2
+  FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY {by}) AS docs
+    FROM (SELECT {by}, cell, sum(n) AS n FROM sketch GROUP BY {by}, cell)) GROUP BY {by})"""
+
+    width = "CASE measure " + " ".join(f"WHEN '{m}' THEN {k} * greatest(q2 - q1, {floor})" for m, (k, floor) in FENCES.items()) + " END"
+    limit = ", ".join(f"max(q2 + {width}) FILTER (measure = '{m}') AS {m}_hi" for m in FENCES)
+    cells = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m WHERE NOT base_failed" for m in FENCES)
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+p AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (SELECT r, [x FOR x IN regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS words FROM d)),
+k AS (SELECT r, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS key FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+t AS (SELECT r, count(DISTINCT i + o.o) AS n_repeat_words FROM (SELECT r, i, count(*) OVER (PARTITION BY r, key) AS c FROM k WHERE key IS NOT NULL), (SELECT unnest(range(5)) AS o) AS o WHERE c > 1 GROUP BY r),
+w AS (SELECT r, count(*) AS n_words, sum(len(word)) AS word_chars FROM p GROUP BY r),
+l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+c AS (SELECT doc_id, lang, source, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN w USING (r) LEFT JOIN l USING (r) LEFT JOIN t USING (r)),
+m AS (SELECT *, CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbols, CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS length,
+  CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS lines, CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+sketch AS (SELECT lang, source, measure, (v >> s) << s AS cell, count(*) AS n FROM (SELECT *, greatest(len(bin(v)) - 6, 0) AS s FROM ({cells})) GROUP BY ALL),
+{level("own", "lang, source")}, {level("of_lang", "lang")}, {level("of_all", "")},
+q AS (SELECT o.lang, o.source, measure, CASE WHEN o.docs >= {MIN_GROUP} THEN o.q1 WHEN g.docs >= {MIN_GROUP} THEN g.q1 ELSE a.q1 END AS q1, CASE WHEN o.docs >= {MIN_GROUP} THEN o.q2 WHEN g.docs >= {MIN_GROUP} THEN g.q2 ELSE a.q2 END AS q2
+  FROM own o JOIN of_lang g USING (lang, measure) JOIN of_all a USING (measure)),
+h AS (SELECT lang, source, {limit}, max(q2 - {width}) FILTER (measure = 'length') AS length_lo FROM q GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(symbols > symbols_hi OR lines > lines_hi OR repeats > repeats_hi
+  OR (n_words >= {MIN_WORDS} AND (length > length_hi OR length < length_lo)), false) AS kept FROM m LEFT JOIN h USING (lang, source)
+"""
+
+
+ORACLE_SQL = _sql()
