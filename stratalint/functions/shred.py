@@ -37,14 +37,25 @@ def is_test_path(path: str) -> bool:
     return name == "conftest.py" or name.startswith("test_") or name.endswith("_test.py") or "tests" in os.path.dirname(path).split("/")
 
 
+def kids(x: ast.AST) -> list[ast.AST]:
+    """The child nodes, kept on the node: several measures walk the same subtree."""
+    try:
+        return x._kids
+    except AttributeError:
+        x._kids = out = list(ast.iter_child_nodes(x))
+        return out
+
+
 def complexity(node: ast.AST) -> int:
     """1 and each branch, loop, handler, assertion and comprehension; a boolean operation counts its operators."""
-    total = 1
-    for x in ast.walk(node):
+    total, stack = 1, [node]
+    while stack:
+        x = stack.pop()
         if isinstance(x, _BRANCHES):
             total += 1
         elif isinstance(x, ast.BoolOp):
             total += len(x.values) - 1
+        stack += kids(x)
     return total
 
 
@@ -55,20 +66,20 @@ def nesting(node: ast.AST) -> int:
         x, d = stack.pop()
         d += isinstance(x, _NESTS)
         deepest = max(deepest, d)
-        stack += [(c, d) for c in ast.iter_child_nodes(x)]
+        stack += [(c, d) for c in kids(x)]
     return deepest
 
 
 def nested_returns(node: ast.AST) -> int:
     """Returns at least two blocks deep, not those of inner functions."""
-    total, stack = 0, [(c, 0) for c in ast.iter_child_nodes(node)]
+    total, stack = 0, [(c, 0) for c in kids(node)]
     while stack:
         x, d = stack.pop()
         if isinstance(x, (*_DEFS, ast.Lambda)):
             continue
         d += isinstance(x, _NESTS)
         total += isinstance(x, ast.Return) and d >= 2
-        stack += [(c, d) for c in ast.iter_child_nodes(x)]
+        stack += [(c, d) for c in kids(x)]
     return total
 
 
@@ -214,7 +225,7 @@ def _outer_writes(node: ast.FunctionDef, seq: int) -> list[dict]:
                 visit(y)
             return
         note(x, None) if isinstance(x, ast.stmt) else None
-        for y in ast.iter_child_nodes(x):
+        for y in kids(x):
             visit(y)
 
     for x in node.body:
@@ -236,7 +247,7 @@ def _numbers(node: ast.FunctionDef, text) -> list[dict]:
             except ValueError:  # more digits than Python converts
                 value = hex(x.value)
             out.append({"line": x.lineno, "display": text(x), "value": value, "is_int": type(x.value) is int})
-        for y in ast.iter_child_nodes(x):
+        for y in kids(x):
             visit(y)
 
     for x in node.body:
@@ -265,7 +276,7 @@ def _bare_dicts(annotation: ast.AST) -> list[int]:
             continue
         if isinstance(x, ast.Name) and x.id == "dict":
             out.append(x.lineno)
-        stack += ast.iter_child_nodes(x)
+        stack += kids(x)
     return out
 
 
@@ -313,7 +324,7 @@ def _imports(tree: ast.Module) -> tuple[list[dict], list[tuple[str | None, int,
             runs = False
         if isinstance(x, ast.If) and _name(x.test) == "TYPE_CHECKING":
             runs = False
-        for y in ast.iter_child_nodes(x):
+        for y in kids(x):
             visit(y, isinstance(x, ast.Module), runs)
 
     visit(tree, False, True)
@@ -364,7 +375,7 @@ class _Shredder:
                     depth, root = _chain(y)
                     if depth > 1:
                         self.out["chains"].append({"stmt": i, "line": y.lineno, "depth": depth, "root": root})
-                queue.extend(ast.iter_child_nodes(y))
+                queue.extend(kids(y))
         by_name: dict[str, list[list[str]]] = {}
         for name, bases, _ in self.named:
             by_name.setdefault(name, []).append(bases)
@@ -436,7 +447,7 @@ class _Shredder:
             if isinstance(f, ast.Name) and f.id in ("getattr", "setattr", "hasattr") and len(a) > 1 and isinstance(a[1], ast.Constant) and isinstance(a[1].value, str) and _private(a[1].value):
                 out["privates"].append({"line": x.lineno, "form": f.id, "attr": a[1].value, "allowed": self.own(a[0], cls, first)})
         inner = in_defs and isinstance(x, (*_DEFS, ast.ClassDef))
-        for y in ast.iter_child_nodes(x):
+        for y in kids(x):
             self.visit(y, cls, first, False, inner and isinstance(y, (*_DEFS, ast.ClassDef)))
 
     @staticmethod

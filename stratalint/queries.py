@@ -176,7 +176,7 @@ _MIXED = r"""concat('def f(x: int) -> int:\n', repeat('    if x:\n        x = 1\
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> api.ScanResult:
-    return api.scan_sources(_modules(_table(spark, sf_dir, "part"), _MIXED, package="p_type"), ScanConfig(duplicate_lines=10_000), persist=False)
+    return api.scan_sources(_modules(_table(spark, sf_dir, "part"), _MIXED, package="p_type"), ScanConfig(duplicate_lines=10_000))
 
 
 _MIXED_SQL = f"""WITH i AS (SELECT {_PATH} AS path, 'high-complexity' AS rule, CASE WHEN p_size + 1 > 15 THEN 'error' ELSE 'warning' END AS severity FROM part WHERE p_size + 1 > 10
