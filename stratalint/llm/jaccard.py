@@ -2,12 +2,14 @@
 
 1. Sign: each whole text becomes its set of 64-bit shingle hashes, in numpy; equal sets are one class, joined no further.
 2. Order: shingles are ranked by how many texts hold them, rarest first. Their hashes, 38 bits or so, go in blobs to the
-   task of their range, which counts them and returns those that more than one text has, with a code for the count.
+   task of their range, which counts the classes that have each and returns those of more than one, with a code.
 3. Filter: of n shingles in that order, two sets that are alike share one of the first n - ceil(0.6 n) + 1. Shingles of
    one text alone need no partner, so most texts send nothing.
-4. Blocks: texts that share such a shingle are united by stars, not pairs, into components. A component of bounded size is
-   a block; a larger one is cut into the groups of single shingles, and a group over the bound into pairs of its parts.
-   There a pair is judged only in the block of the first shingle that both have sent.
+4. Blocks: texts that share such a shingle, and whose sizes and numbers of shared shingles leave room for the threshold,
+   are united by stars, not pairs, into components; those over the bound once more, by parities of all shared shingles,
+   which bound a pair's differences. A component of bounded size is
+   a block; a larger one is cut into pairs of its parts or, if that is less to send, into the groups of single shingles,
+   of which those over the bound are cut likewise; there a pair is judged only with the least shingle that both have sent.
 5. Join: a block's sets, by global frequency in the block, form a prefix tree with one node for each shared run. One
    traversal carries all sets as queries: overlaps so far are shared by a subtree, and a query leaves it when the sizes or
    the lengths that remain can't reach the threshold. Links leave a block as sums and stars.
@@ -26,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, components, hot_join, stage, table
+from .common import batches, components, hot_join, stage, table, union_find
 
 #: Shingles of a counting task, and texts and shingles of a block, beyond which it is divided.
 RANGE, BLOCK_TEXTS, BLOCK_SHINGLES = 2_000_000, 2_000, 2_000_000
@@ -131,11 +133,11 @@ def _blobs(bits: int):
         from pyspark import TaskContext
 
         chunk, seen = TaskContext.get().partitionId() << 32, set()
-        for b in batches(it, "text", 8 << 20):
+        for b in batches(it, "text", 4 << 20):
             own = []
             for x in sets(b.column("text")):
-                if (s := _signature(x)) and s not in seen:
-                    seen.add(s)
+                if (s := _signature(x)) and s[0] not in seen:
+                    seen.add(s[0])
                     own.append((s[0], x))
             if not own:
                 continue
@@ -147,8 +149,9 @@ def _blobs(bits: int):
             bucket, doc, ids = bucket[order], doc[order], ((h[order] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
             rows = [(-1, chunk, np.array([s for s, _ in own], np.int64).tobytes(), size.tobytes(), None, None)]
             edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            of = np.array([s for s, _ in own], np.int64)
             for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                docs, times = _runs(doc[a:z])
+                docs, times = _runs(of[doc[a:z]])
                 rows.append((int(bucket[a]), chunk, docs, times, ids[a:z].tobytes(), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _BLOB_KINDS)], names=_BLOB_NAMES)
             chunk += 1
@@ -167,80 +170,170 @@ def _code(n: np.ndarray) -> np.ndarray:
 
 
 def _count(rows: pa.Table) -> pa.Table:
-    """For a bucket: the ids that occur more than once, with their codes. Bucket -1 passes through."""
+    """For a bucket: the ids that more than one class has, with their codes. Bucket -1 passes through."""
     if rows.column("bucket")[0].as_py() < 0:
         return rows
     parts = [np.frombuffer(x, np.uint32) for x in rows.column("ids").to_pylist()]
+    classes = [np.repeat(np.frombuffer(d, np.int64), np.frombuffer(t, np.uint32)) for d, t in zip(rows.column("docs").to_pylist(), rows.column("times").to_pylist())]
     _, inv, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    n, at, out = n[inv], 0, []
-    for bucket, chunk, docs, times, ids in zip(rows.column("bucket").to_pylist(), rows.column("chunk").to_pylist(), rows.column("docs").to_pylist(), rows.column("times").to_pylist(), parts):
-        own = n[at : at + len(ids)]
+    many, of = n[inv] > 1, np.concatenate(classes)
+    # copies of a text in several chunks are one class: count each class of an id once
+    i, c = inv[many], of[many]
+    order = np.lexsort((c, i))
+    i, c = i[order], c[order]
+    n = np.bincount(i[np.concatenate([[True], (i[1:] != i[:-1]) | (c[1:] != c[:-1])])] if len(i) else i, minlength=len(n))[inv]
+    at, out = 0, []
+    for bucket, chunk, ids, own in zip(rows.column("bucket").to_pylist(), rows.column("chunk").to_pylist(), parts, classes):
+        times = n[at : at + len(ids)]
         at += len(ids)
-        many = own > 1
+        many = times > 1
         if many.any():
-            doc = np.repeat(np.frombuffer(docs, np.uint32), np.frombuffer(times, np.uint32))[many]
-            out.append((bucket, chunk, *_runs(doc), ids[many].tobytes(), _code(own[many]).tobytes()))
+            out.append((bucket, chunk, *_runs(own[many]), ids[many].tobytes(), _code(times[many]).tobytes()))
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, _BLOB_KINDS)], names=_BLOB_NAMES)
 
 
 def _prefixes(rows: pa.Table) -> pa.Table:
-    """For a chunk: token, s1, n of the prefix shingles that other texts may have."""
+    """For a chunk, the prefix shingles that other texts may have: token, s1, n, sent (how many of them) and shared (how many shingles in all other texts may have)."""
     doc, token, code, info = [], [], [], None
     for bucket, docs, times, ids, codes in zip(*(rows.column(c).to_pylist() for c in ("bucket", "docs", "times", "ids", "codes"))):
         if bucket < 0:
             info = np.frombuffer(docs, np.int64), np.frombuffer(times, np.int64)
             continue
-        doc.append(np.repeat(np.frombuffer(docs, np.uint32), np.frombuffer(times, np.uint32)))
+        doc.append(np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(times, np.uint32)))
         token.append(np.frombuffer(ids, np.uint32).astype(np.int64) | bucket << 32)
         code.append(np.frombuffer(codes, np.uint8))
-    names = ["token", "s1", "n"]
+    names = ["token", "s1", "n", "sent", "shared", "bits"]
     if not doc:
-        return pa.table([pa.array([], pa.int64())] * 3, names=names)
+        return pa.table([*[pa.array([], pa.int64())] * 5, pa.array([], pa.binary())], names=names)
     s1, size = info
-    doc, token, code = np.concatenate(doc).astype(np.int64), np.concatenate(token), np.concatenate(code)
+    at = np.argsort(s1)
+    s1, size = s1[at], size[at]
+    doc, token, code = np.searchsorted(s1, np.concatenate(doc)), np.concatenate(token), np.concatenate(code)
     order = np.lexsort((token, code, doc))
     doc, token = doc[order], token[order]
     many = np.bincount(doc, minlength=len(size))
     prefix = size - (60 * size + 99) // 100 + 1 - (size - many)  # places left after the shingles of one text alone
     rank = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
     take = rank < prefix[doc]
-    return pa.table([pa.array(token[take]), pa.array(s1[doc[take]]), pa.array(size[doc[take]])], names=names)
+    sent, own = np.minimum(many, np.maximum(prefix, 0)), doc[take]
+    cut = np.concatenate([[0], np.cumsum(many)])
+    any_ = np.flatnonzero(sent)
+    bits = [_parities(token[cut[k] : cut[k + 1]]) for k in any_.tolist()]
+    own = np.concatenate([own, any_])
+    token = np.concatenate([token[take], np.full(len(any_), -1)])
+    cols = [pa.array(x) for x in (token, s1[own], size[own], sent[own], many[own].astype(np.int64))]
+    return pa.table([*cols, pa.array([None] * int(take.sum()) + bits, pa.binary())], names=names)
+
+
+def _parities(token: np.ndarray) -> bytes:
+    """Parities of a set's shingles by hash, in twice to four times as many bits, a power of two: two sets differ in at least as many shingles as their parities in bits, also when the longer ones are folded."""
+    n = 1 << (2 * len(token) - 1).bit_length()
+    return np.packbits(np.bincount((mix(token.astype(np.uint64)) % np.uint64(max(8, n))).astype(np.int64), minlength=max(8, n)) & 1).tobytes()
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """A lower bound on how many shingles one of two sets has and the other has not."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, n = int.from_bytes(a, "big"), len(a)
+    while n > len(b):
+        n //= 2
+        x = (x >> 8 * n) ^ (x & (1 << 8 * n) - 1)
+    return (x ^ int.from_bytes(b, "big")).bit_count()
 
 
 def prefixes(docs: DataFrame, total: int) -> DataFrame:
-    """token, s1, n: the distinct prefix shingles of each class that some other text may share; staged. total: shingles in all."""
+    """token, s1, n, sent, shared: the distinct prefix shingles of each class that some other text may have; and for each class a row of token -1 with the parities of its shared shingles; staged. total: shingles in all."""
     bits = int(np.clip(np.ceil(np.log2(max(1, total) / RANGE)), 4, 16))
     blobs = docs.select("text").mapInArrow(_blobs(bits), _BLOB)
     # infos join their chunk later; as buckets of their own they pass the first step alone
     key = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("chunk"), F.lit(64))).otherwise(F.col("bucket")).cast("int")
     counted = blobs.groupBy(key.alias("_key")).applyInArrow(_count, _BLOB)
-    return stage(counted.groupBy("chunk").applyInArrow(_prefixes, "token long, s1 long, n long").distinct())
-
-
-def blocks(sent: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    return stage(counted.groupBy("chunk").applyInArrow(_prefixes, "token long, s1 long, n long, sent long, shared long, bits binary").distinct())
+
+
+def _unite(rows: pa.Table) -> pa.Table:
+    """Stars of the classes that share a prefix shingle and whose sizes leave room for the threshold, from all groups of one task."""
+    rows = rows.sort_by([(c, "ascending") for c in ("token", "i", "j")])
+    token, i, j, mine, s1, n, sent, shared = (rows.column(c).to_numpy() for c in ("token", "i", "j", "mine", "s1", "n", "sent", "shared"))
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    left = np.append(np.flatnonzero(new)[1:], len(token))[np.cumsum(new) - 1] - np.arange(len(token)) - 1  # members after each in its group
+    nodes, at = np.unique(s1, return_inverse=True)
+    label, rest = np.arange(len(nodes)), (60 * n + 99) // 100 - 1  # rest: shingles after the prefix
+    bits = rows.column("bits").to_pylist() if "bits" in rows.column_names else None
+    x, d = np.flatnonzero(left > 0), 0
+    while len(x):  # each with the member d places on
+        d += 1
+        y = x + d
+        # what both have sent, then at most what follows the prefix that ends first
+        most = np.minimum(np.minimum(sent[x], sent[y]) + np.maximum(rest[x], rest[y]), np.minimum(shared[x], shared[y]))
+        may = (np.minimum(most, np.minimum(n[x], n[y])) * 8 >= 3 * (n[x] + n[y])) & ((i[x] == j[x]) | (mine[x] != mine[y]))
+        if bits:
+            may &= label[at[x]] != label[at[y]]
+            for k in np.flatnonzero(may).tolist():
+                u, v = int(x[k]), int(y[k])
+                may[k] = 4 * (shared[u] + shared[v] - _differ(bits[u], bits[v])) >= 3 * (n[u] + n[v])
+        a, b = label[at[x[may]]], label[at[y[may]]]
+        if (a != b).any():
+            known, root = union_find(a[a != b], b[a != b])
+            to = np.arange(len(nodes))
+            to[known] = root
+            label = to[label]
+        x = x[left[x] > d]
+    far = label != np.arange(len(nodes))
+    return pa.table([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["a", "b"])
+
+
+def _parts(k: str, most: int) -> Column:
+    """Into how many parts a group of k is cut, so that two parts make at most `most`."""
+    return F.when(F.col(k) <= most, 1).otherwise(F.ceil(F.col(k) * 2 / most)).cast("int")
+
+
+def _places(token: str, g: str, mine: str) -> Column:
+    """The pairs of parts of a group that a member of part `mine` meets others in."""
+    meet = lambda j: F.struct(F.col(token).alias("block"), F.least(F.col(mine), j).alias("i"), F.greatest(F.col(mine), j).alias("j"), F.col(mine).alias("mine"))
+    return F.transform(F.sequence(F.lit(0), F.col(g) - 1), meet)
+
+
+def blocks(found: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """s1, at (array of block, i, j, mine) and tokens (empty in a component's block): where each class with a possible partner is judged."""
-    groups = sent.groupBy("token").agg(F.min("s1").alias("least"), F.count("*").alias("k"), F.sum("n").alias("shingles")).filter("k > 1")
-    groups = stage(groups)
-    shared = stage(hot_join(sent, groups, ["token"], "k", sent.count()).filter("least is not null"))
-    united = components(shared.filter("s1 <> least").select(F.col("s1").alias("a"), F.col("least").alias("b")))
-    sizes = shared.groupBy("s1").agg(F.first("n").alias("n")).join(united, F.col("s1") == F.col("node")).groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("all"))
-    small = (F.col("texts") <= max_texts) & (F.col("all") <= max_shingles)
-    sizes = stage(sizes)
-    total = united.count()
-    placed = stage(hot_join(united, sizes, ["root"], "texts", total).withColumn("small", small))
-    at = lambda block, i, j, mine: F.struct(block.alias("block"), i.cast("int").alias("i"), j.cast("int").alias("j"), mine.cast("int").alias("mine"))
-    zero = F.lit(0)
-    whole = placed.filter("small").select(F.col("node").alias("s1"), F.array(at(F.col("root"), F.lit(-1), F.lit(-1), zero)).alias("at"), F.expr("cast(array() as array<bigint>)").alias("tokens"))
-    large = placed.filter("not small").select(F.col("node").alias("s1"))
+    sent, parities = found.filter("token >= 0").drop("bits"), found.filter("token < 0").select("s1", "bits")
+    groups = sent.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.bit_xor(F.xxhash64("s1")).alias("x"), F.bit_xor(F.xxhash64("s1", F.lit(1))).alias("y")).filter("k > 1")
+    # shingles that the same texts have sent, as near copies have many, count once
+    groups = groups.groupBy("k", "all", "x", "y").agg(F.min("token").alias("token")).drop("x", "y")
+    total = sent.count()
+    shared = stage(hot_join(sent, stage(groups), ["token"], "k", total).filter("k is not null").withColumn("g", _parts("k", max_texts)).withColumn("mine", F.pmod(F.xxhash64("s1"), F.col("g")).cast("int")))
+
+    def unite(rows: DataFrame, *more: str) -> DataFrame:
+        met = rows.select(F.explode(_places("token", "g", "mine")).alias("p"), "s1", "n", "sent", "shared", *more).select(F.col("p.block").alias("token"), "p.i", "p.j", "p.mine", "s1", "n", "sent", "shared", *more)
+        return met.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(8, -(-total // 200_000)))).alias("_bin")).applyInArrow(_unite, "a long, b long")
+
+    def place(united: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sizes = stage(size_of.join(united, F.col("s1") == F.col("node")).groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("all")))
+        small = (F.col("texts") <= max_texts) & (F.col("all") <= max_shingles)
+        return stage(hot_join(united, sizes, ["root"], "texts", united.count()).withColumn("small", small)), sizes
+
+    size_of = shared.groupBy("s1").agg(F.first("n").alias("n"))
+    placed, sizes = place(components(unite(shared)))
+    if not placed.filter("not small").isEmpty():
+        # large components may hang together by chance: unite theirs again, by the parities of all their shared shingles
+        again = shared.join(placed.filter("not small").select(F.col("node").alias("s1")).hint("shuffle_hash"), "s1", "left_semi").join(parities.hint("shuffle_hash"), "s1")
+        second, sizes = place(components(unite(again, "bits")))
+        placed = placed.filter("small").union(second)
+    alone = F.array(F.struct(F.col("root").alias("block"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("mine")))
+    whole = placed.filter("small").select(F.col("node").alias("s1"), alone.alias("at"), F.expr("cast(array() as array<bigint>)").alias("tokens"))
+    large = placed.filter("not small").select(F.col("node").alias("s1"), "root", "texts", "all")
     if large.isEmpty():
         return whole
-    parts = F.greatest(F.ceil(F.col("k") * 2 / max_texts), F.ceil(F.col("shingles") * 2 / max_shingles))
-    parts = F.when((F.col("k") <= max_texts) & (F.col("shingles") <= max_shingles), F.lit(1)).otherwise(parts).cast("int")
-    mine = F.pmod(F.xxhash64("s1"), F.col("g")).cast("int")
-    x = shared.join(large, "s1", "left_semi").withColumn("g", parts).withColumn("mine", mine)
-    each = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: at(F.col("token"), F.least(F.col("mine"), j), F.greatest(F.col("mine"), j), F.col("mine")))
-    split = x.groupBy("s1").agg(F.flatten(F.collect_list(each)).alias("at"), F.collect_list("token").alias("tokens"))
-    return whole.union(split)
+    # a large component is cut into pairs of its parts, or, if its texts have sent fewer shingles each than that has parts, by shingle
+    cut = F.greatest(_parts("texts", max_texts), _parts("all", max_shingles))
+    x = shared.join(large.select("s1", "root", cut.alias("cut")), "s1")
+    denser = x.groupBy("root").agg((F.sum("g") >= F.first("cut") * F.countDistinct("s1")).alias("dense"))
+    x = hot_join(x.drop("mine"), stage(denser.join(sizes.select("root", "texts"), "root")), ["root"], "texts", total)
+    x = x.withColumn("g", F.when(F.col("dense"), F.col("cut")).otherwise(F.greatest(F.col("g"), _parts("all", max_shingles)))).withColumn("mine", F.pmod(F.xxhash64("s1"), F.col("g")).cast("int"))
+    parts = x.filter("dense").select("s1", "root", "g", "mine").distinct().select("s1", _places("root", "g", "mine").alias("at"), F.expr("cast(array() as array<bigint>)").alias("tokens"))
+    split = x.filter("not dense").groupBy("s1").agg(F.flatten(F.collect_list(_places("token", "g", "mine"))).alias("at"), F.collect_list("token").alias("tokens"))
+    return whole.union(parts).union(split)
 
 
 def _lcp(a: np.ndarray, b: np.ndarray) -> int:
@@ -312,29 +405,27 @@ def _judge(rows: pa.Table) -> pa.Table:
         own = [k for k in range(a, z) if k == a or (col["s1"][k], col["s2"][k]) != (col["s1"][k - 1], col["s2"][k - 1])]
         if len(own) < 2:
             continue
-        by_token, i, j, block = col["i"][a] >= 0, col["i"][a], col["j"][a], int(col["block"][a])
-        links, root = np.zeros(len(own), np.int64), np.arange(len(own))
+        by_token, i, j, block = len(tokens[a]) > 0, col["i"][a], col["j"][a], int(col["block"][a])
+        links, label = np.zeros(len(own), np.int64), np.arange(len(own))
         size, mine = col["size"][own], col["mine"][own]
         sent = [frozenset(tokens[k]) for k in own] if by_token else []
-        pairs = []
         for x, like in tree_join([np.frombuffer(blob[k], np.uint64) for k in own]):
             like = like[like != x]
+            if i != j:
+                like = like[mine[like] != mine[x]]
             if by_token:
-                if i != j:
-                    like = like[mine[like] != mine[x]]
                 # the pair's block is that of the least shingle that both have sent
                 like = np.array([y for y in like.tolist() if min(sent[x] & sent[y], default=None) == block], np.int64)
             if len(like):
                 links[x] += size[like].sum()
-                pairs.append((np.full(len(like), x), like))
-        if pairs:
-            from .common import union_find
-
-            rep = col["rep"][own]
-            nodes, least = union_find(rep[np.concatenate([p for p, _ in pairs])], rep[np.concatenate([q for _, q in pairs])])
-            root = least[np.searchsorted(nodes, np.clip(rep, nodes[0], nodes[-1]))]
-            for k in np.flatnonzero(links).tolist():
-                out.append((col["s1"][own[k]], col["s2"][own[k]], rep[k], links[k], root[k]))
+                joined = np.unique(np.append(label[like], label[x]))
+                if len(joined) > 1:
+                    label[np.isin(label, joined)] = joined[0]
+        rep = col["rep"][own]
+        least = np.full(len(own), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, rep)
+        for k in np.flatnonzero(links).tolist():
+            out.append((col["s1"][own[k]], col["s2"][own[k]], rep[k], links[k], least[label[k]]))
     names = ["s1", "s2", "rep", "links", "root"]
     return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=names)
 
@@ -362,7 +453,7 @@ def similar(docs: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = B
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     loaded = rows.mapInArrow(_load, f"{kinds}, set binary").withColumn("at", F.explode("at")).select("at.*", "s1", "s2", "rep", "size", "tokens", "set")
     spread = needed.agg(F.sum(F.col("n") * F.size("at")).alias("n")).first()["n"] or 0
-    bins = max(8, -(-spread // BLOCK_SHINGLES))
+    bins = max(8, -(-spread // (BLOCK_SHINGLES // 2)))
     links = stage(loaded.groupBy(F.pmod(F.xxhash64("block", "i", "j"), F.lit(bins)).alias("_bin")).applyInArrow(_judge, _LINKS))
     united = components(links.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_class = links.groupBy("s1", "s2").agg(F.sum("links").alias("links"))
