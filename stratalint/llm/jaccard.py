@@ -474,3 +474,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLE_SQL = rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
+w AS (SELECT r, [x FOR x IN regexp_split_to_array(t, '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM d),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) < 2 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS g FROM w),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 60 * (x.n + y.n - c)),
+k AS (SELECT a, count(*) AS k FROM l GROUP BY a),
+z(a, b) AS (SELECT a, b FROM l UNION SELECT z.a, l.b FROM z JOIN l ON l.a = z.b),
+m AS (SELECT z.a, min(doc_id) AS m FROM z JOIN d ON d.r = z.b GROUP BY z.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(k, 0) AS n_similar, coalesce(least(m, doc_id), doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN k ON k.a = d.r LEFT JOIN m ON m.a = d.r
+"""
