@@ -73,7 +73,8 @@ def small_join(df: DataFrame, small: DataFrame, on: list[str], rows: int, how: s
     if rows <= BROADCAST_ROWS:
         return df.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", F.floor(F.rand(11) * salts).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+    # by hash and not at random: a task that is run again must send its rows the same way
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
@@ -83,10 +84,10 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total
     hot = right.filter(is_hot).select(*on, F.struct(*values).alias("_hot"))
     rest = right.filter(~is_hot).select(*[F.col(c).alias(f"_{c}") for c in on], F.struct(*values).alias("_rest"))
     df = left.join(F.broadcast(hot), on, "left")
-    # a row that has found its hot key gets a scattered key that matches nothing
-    scatter = F.when(F.col("_hot").isNotNull(), F.rand(7)).otherwise(F.lit(-1.0))
+    # a row that has found its hot key gets a scattered key that matches nothing; a hash, so that a task run again sends it the same way
+    scatter = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(1 << 40))).otherwise(F.lit(-1).cast("long"))
     df = df.withColumn("_scatter", scatter)
-    rest = rest.withColumn("_scatter", F.lit(-1.0))
+    rest = rest.withColumn("_scatter", F.lit(-1).cast("long"))
     cond: Column = df["_scatter"] == rest["_scatter"]
     for c in on:
         cond = cond & (df[c] == rest[f"_{c}"])
@@ -129,9 +130,7 @@ def components(edges: DataFrame, at_once: int = 4_000_000) -> DataFrame:
     Every round contracts each partition to stars, then joins larger neighbours to the least one (large star, then
     small star). Once at most `at_once` edges are left, a bound on memory and not on the graph, one task ends the work.
     """
-    spark = edges.sparkSession
     edges = stage(edges.select("a", "b").mapInArrow(_contract, "a long, b long"))
-    history: list[DataFrame] = []
     while (n := edges.count()) > at_once:
         # large star: all larger neighbours of a node go to its least neighbour, or itself
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
@@ -147,5 +146,4 @@ def components(edges: DataFrame, at_once: int = 4_000_000) -> DataFrame:
         edges = new
     if n <= at_once:
         edges = edges.coalesce(1).mapInArrow(_contract, "a long, b long")
-    del history, spark
     return stage(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("root")))

@@ -161,7 +161,7 @@ class Cascade:
             return df.withColumn(out, key.isNotNull() & test(*hashes(F.coalesce(key, F.lit("")))))
         salts = 16
         row = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), *hashes(F.coalesce(key, F.lit(""))), key.isNotNull().alias("_is"))
-        row = row.withColumn("segment", F.pmod("a", F.lit(self.segments))).withColumn("salt", F.floor(F.rand(3) * salts).cast("int"))
+        row = row.withColumn("segment", F.pmod("a", F.lit(self.segments))).withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
         parts = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
         def of_rows(left: pa.Table, right: pa.Table) -> pa.Table:
