@@ -225,6 +225,36 @@ CASE WHEN cost >= 4 THEN 'major' WHEN cost >= 2.5 THEN 'moderate' WHEN cost >= 1
 )
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> api.ScanResult:
+    """The scan of the same modules with all limits at their defaults, so that repeated bodies count."""
+    return api.scan_sources(_modules(_table(spark, sf_dir, "part"), _MIXED, package="p_type"))
+
+
+def whole_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir).issues.select("package", "path", "line", "severity", "rule")
+
+
+def whole_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir).health().select(F.bround("score", 6).alias("score"), "grade")
+
+
+def whole_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.remediation(_whole(spark, sf_dir).issues).select("priority", "rule", "severity", "effort", "n_files", "first_file", "n_issues", "score")
+
+
+# a body is the same within a type and size, and its function has 2 * p_size + 2 lines
+_WHOLE_SQL = f"""WITH i AS (SELECT p_type AS package, {_PATH} AS path, 1 AS line, CASE WHEN p_size + 1 > 15 THEN 'error' ELSE 'warning' END AS severity, 'high-complexity' AS rule FROM part WHERE p_size + 1 > 10
+UNION ALL SELECT p_type, {_PATH}, 2 * p_size + 3, 'info', 'global-mutable' FROM part WHERE p_size % 3 = 0
+UNION ALL SELECT p_type, {_PATH}, 2 * p_size + 3 + (p_size % 3 = 0)::INT, 'warning', 'star-import' FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT p_type, min({_PATH}), 1, 'warning', 'duplicate-function-body' FROM part WHERE 2 * p_size + 2 >= 5 GROUP BY p_type, p_size HAVING count(*) > 1),
+w AS (SELECT *, CASE severity WHEN 'error' THEN 6.0 WHEN 'warning' THEN 1.5 ELSE 0.3 END AS weight FROM i)
+"""
+_WHOLE_PLAN = """, g AS (SELECT rule, max(weight) AS weight, count(DISTINCT path) AS n_files, min(path) AS first_file, count(*) AS n_issues FROM w GROUP BY rule),
+e AS (SELECT *, CASE weight WHEN 6.0 THEN 'error' WHEN 1.5 THEN 'warning' ELSE 'info' END AS severity, CASE rule WHEN 'high-complexity' THEN 3.0 WHEN 'duplicate-function-body' THEN 3.0 WHEN 'global-mutable' THEN 1.5 ELSE 0.5 END AS cost FROM g)
+SELECT CASE WHEN weight * cost >= 12 THEN 'P0' WHEN weight * cost >= 7 THEN 'P1' WHEN weight * cost >= 3 THEN 'P2' ELSE 'P3' END AS priority, rule, severity,
+CASE WHEN cost >= 4 THEN 'major' WHEN cost >= 2.5 THEN 'moderate' WHEN cost >= 1 THEN 'minor' ELSE 'trivial' END AS effort, n_files, first_file, n_issues, CAST(weight * cost AS DOUBLE) AS score FROM e"""
+
+
 def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of their source's package: files, lines and how many don't parse."""
     d = _table(spark, sf_dir, "documents").select(F.col("source").alias("package"), F.lit("/d").alias("root"), F.concat(F.lit("/d/"), "doc_id", F.lit(".py")).alias("path"), F.coalesce("text", F.lit("")).alias("source"))
@@ -254,6 +284,9 @@ _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "top_steps": (top_steps, _PLAN_SQL + "SELECT rule, score FROM plan ORDER BY score DESC, n_issues DESC, rule LIMIT 2"),
     "priority_breakdown": (priority_breakdown, _PLAN_SQL + "SELECT priority, count(*) AS n_rules FROM plan GROUP BY priority"),
     "plan_files": (plan_files, _MIXED_SQL + "SELECT rule, path, count(*) AS n FROM w GROUP BY rule, path"),
+    "whole_scan": (whole_scan, _WHOLE_SQL + "SELECT package, path, CAST(line AS INTEGER) AS line, severity, rule FROM i"),
+    "whole_score": (whole_score, _WHOLE_SQL + f", s AS (SELECT greatest(0.0, 100 - sum(weight) / ((SELECT sum({_LINES_SQL}) FROM part) / 1000.0)) AS x FROM w) SELECT CAST(round(x, 6) AS DOUBLE) AS score, CASE WHEN x >= 90 THEN 'A' WHEN x >= 75 THEN 'B' WHEN x >= 60 THEN 'C' WHEN x >= 40 THEN 'D' ELSE 'F' END AS grade FROM s"),
+    "whole_plan": (whole_plan, _WHOLE_SQL + _WHOLE_PLAN),
     "scan_counters": (scan_counters, _COUNTERS), "function_metrics": (function_metrics, _METRICS),
 }
 

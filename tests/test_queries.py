@@ -30,6 +30,13 @@ def test_query(spark, sf, tables, name):
     assert _rows(queries.queries()[name](spark, sf).toPandas()) == _rows(tables.execute(SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["whole_scan", "whole_score", "whole_plan"])
+def test_whole_scan(spark, sf, tables, name):
+    """With the default limits, repeated bodies are among a scan's issues, and in its score and plan."""
+    assert _rows(queries.queries()[name](spark, sf).toPandas()) == _rows(tables.execute(SQL[name]).df())
+    assert tables.execute(f"SELECT count(*) FROM ({SQL['whole_scan']}) WHERE rule = 'duplicate-function-body'").fetchone()[0] > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(SQL) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
