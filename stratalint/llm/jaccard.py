@@ -15,9 +15,10 @@
    the lengths that remain can't reach the threshold. Links leave a block as sums and stars.
 
 Nothing is dropped: filters only skip pairs that can't be alike. Exact up to collisions of 64-bit hashes (128-bit for
-equal sets). Null or wordless text: no shingles, no links, its own component. Null doc_id: counted among its copies; a
-class without any id links to no other. Repeated rows are documents, each alike to the others; rows that share an id are
-one node of a component. Empty table: empty result. Other columns are ignored; `keep_one` carries them.
+equal sets). Null or wordless text: no shingles, no links, its own component. A class, by its signature, is a node of a
+component; ids only name components, by the least one, which is null where all are. Repeated rows are documents, each
+alike to the others, and so are rows of null ids. Empty table: empty result. Other columns are ignored; `keep_one`
+carries them.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sets(b.column("text"))
         sig = [_signature(x) or (None, None) for x in found]
         cols = [pa.array([len(x) for x in found], pa.int64()), *[pa.array([s[i] for s in sig], pa.int64()) for i in (0, 1)]]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "n", "s1", "s2"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *cols], names=["doc_id", "h", "n", "s1", "s2"])
 
 
 _BLOB = "bucket int, chunk long, docs binary, times binary, ids binary, codes binary"
@@ -390,13 +391,13 @@ def tree_join(found: list[np.ndarray]) -> Iterator[tuple[np.ndarray, int]]:
                 stack.append((a, b, end, live, part))
 
 
-_LINKS = "s1 long, s2 long, rep long, links long, root long"
+_LINKS = "s1 long, s2 long, links long, root long"
 
 
 def _judge(rows: pa.Table) -> pa.Table:
-    """All blocks of one task: for each class with links, their number in documents, and the least id that it reaches in its block."""
+    """All blocks of one task: for each class with links, their number in documents, and the least class that it reaches in its block."""
     rows = rows.sort_by([(c, "ascending") for c in ("block", "i", "j", "s1", "s2")])
-    col = {c: rows.column(c).to_numpy() for c in ("block", "i", "j", "mine", "s1", "s2", "rep", "size")}
+    col = {c: rows.column(c).to_numpy() for c in ("block", "i", "j", "mine", "s1", "s2", "size")}
     blob, tokens = rows.column("set").to_pylist(), rows.column("tokens").to_pylist()
     new = np.ones(len(blob) + 1, bool)
     new[1:-1] = (col["block"][1:] != col["block"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])
@@ -421,55 +422,76 @@ def _judge(rows: pa.Table) -> pa.Table:
                 joined = np.unique(np.append(label[like], label[x]))
                 if len(joined) > 1:
                     label[np.isin(label, joined)] = joined[0]
-        rep = col["rep"][own]
+        s1 = col["s1"][own]
         least = np.full(len(own), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, rep)
+        np.minimum.at(least, label, s1)
         for k in np.flatnonzero(links).tolist():
-            out.append((col["s1"][own[k]], col["s2"][own[k]], rep[k], links[k], least[label[k]]))
-    names = ["s1", "s2", "rep", "links", "root"]
+            out.append((s1[k], col["s2"][own[k]], links[k], least[label[k]]))
+    names = ["s1", "s2", "links", "root"]
     return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=names)
 
 
 def _load(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the rows whose text has the class's signature."""
+    """The sets of the rows whose text has the class's signature; of a task's copies, the first."""
+    seen: set[int] = set()
     for b in batches(it, "text", 4 << 20):
+        b = b.filter(pa.array([s not in seen for s in b.column("s1").to_pylist()], pa.bool_()))
         found = sets(b.column("text"))
-        ok = [_signature(x) == (s, t) for x, s, t in zip(found, b.column("s1").to_pylist(), b.column("s2").to_pylist())]
+        ok = []
+        for x, s, t in zip(found, b.column("s1").to_pylist(), b.column("s2").to_pylist()):
+            ok.append(s not in seen and _signature(x) == (s, t))
+            if ok[-1]:
+                seen.add(s)
         keep = [c for c in b.schema.names if c != "text"]
         blob = pa.array([x.tobytes() if o else None for x, o in zip(found, ok)], pa.binary())
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], blob], names=[*keep, "set"]).filter(pa.array(ok, pa.bool_()))
 
 
-def similar(docs: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, n_similar, component_id; one row per document."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = stage(docs.mapInArrow(_sign, "doc_id long, n long, s1 long, s2 long"))
-    classes = stage(signed.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n")))
+def _linked(docs: DataFrame, max_texts: int, max_shingles: int) -> DataFrame:
+    """doc_id, h (a hash of the text), n, n_similar and first (the component's least id, nulls last, and h with it; null without shingles); one row per document."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    signed = stage(docs.mapInArrow(_sign, "doc_id long, h long, n long, s1 long, s2 long"))
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "h"))
+    classes = stage(signed.filter("s1 is not null").groupBy("s1", "s2").agg(own.alias("own"), F.count("*").alias("size"), F.first("n").alias("n")))
     count = signed.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     at = blocks(prefixes(docs, count["n"] or 0), max_texts, max_shingles)
-    needed = stage(classes.join(at, "s1").filter("rep is not null"))
-    # the small side is hashed: texts are shuffled once, unsorted
-    rows = docs.join(needed.hint("shuffle_hash"), docs["doc_id"] == needed["rep"]).select("s1", "s2", "rep", "size", "at", "tokens", "text")
+    needed = stage(classes.join(at, "s1"))
+    # the small side is hashed: texts are shuffled once, unsorted; an id and a text's hash tell a class's row, also without id
+    key = needed.select(F.col("own.id").alias("_id"), F.col("own.h").alias("_h"), "s1", "s2", "size", "at", "tokens")
+    rows = docs.join(key.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["h"] == F.col("_h"))).select("s1", "s2", "size", "at", "tokens", "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    loaded = rows.mapInArrow(_load, f"{kinds}, set binary").withColumn("at", F.explode("at")).select("at.*", "s1", "s2", "rep", "size", "tokens", "set")
+    loaded = rows.mapInArrow(_load, f"{kinds}, set binary").withColumn("at", F.explode("at")).select("at.*", "s1", "s2", "size", "tokens", "set")
     spread = needed.agg(F.sum(F.col("n") * F.size("at")).alias("n")).first()["n"] or 0
     bins = max(8, -(-spread // (BLOCK_SHINGLES // 2)))
     links = stage(loaded.groupBy(F.pmod(F.xxhash64("block", "i", "j"), F.lit(bins)).alias("_bin")).applyInArrow(_judge, _LINKS))
-    united = components(links.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    united = components(links.filter("s1 <> root").select(F.col("s1").alias("a"), F.col("root").alias("b")))
     of_class = links.groupBy("s1", "s2").agg(F.sum("links").alias("links"))
-    classes = classes.join(of_class, ["s1", "s2"], "left").join(united, F.col("rep") == F.col("node"), "left")
-    known = classes.select("s1", "s2", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("root", "rep").alias("component_id"))
-    x = hot_join(signed, known, ["s1", "s2"], "size", count["rows"])
-    return x.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = stage(classes.join(of_class, ["s1", "s2"], "left").join(united, F.col("s1") == F.col("node"), "left").drop("node"))
+    least = stage(classes.filter("root is not null").groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("k")))
+    classes = hot_join(classes, least, ["root"], "k", classes.count())
+    known = classes.select("s1", "s2", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("least", "own").alias("first"))
+    return hot_join(signed, known, ["s1", "s2"], "size", count["rows"]).select("doc_id", "h", "n", "n_similar", "first")
+
+
+def similar(docs: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, n_similar, component_id; one row per document."""
+    x = _linked(docs, max_texts, max_shingles)
+    return x.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.coalesce("first.id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, but of each component only its smallest id. Rows that repeat that id keep one for each text."""
-    marked = stage(similar(docs))
-    drop = marked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(drop.hint("shuffle_hash"), docs["doc_id"] == F.col("_id"), "left_anti")  # ids are hashed, texts aren't sorted
-    unique = marked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return stay if unique else stay.dropDuplicates(["doc_id", "text"])
+    """The rows of docs, all columns, but of each component only one, of the smallest id (nulls last). Rows without shingles all stay."""
+    marked = stage(_linked(docs, BLOCK_TEXTS, BLOCK_SHINGLES).filter("first is not null"))
+    mine = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    row = [F.col("doc_id").alias("_id"), F.col("h").alias("_h")]
+    cond = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h"))
+    drop = marked.filter(~mine).select(*row).distinct()
+    stay = docs.join(drop.hint("shuffle_hash"), cond, "left_anti")  # ids and hashes are hashed, texts aren't sorted
+    again = stage(marked.filter(mine).groupBy(*row).count().filter("count > 1").drop("count"))
+    if again.isEmpty():
+        return stay
+    one = stay.join(again, cond, "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.join(again, cond, "left_anti").union(one)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,34 @@ def test_similar_edges(spark, near):
     assert sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect()) == sorted(want) and jaccard.keep_one(docs).columns == docs.columns
 
 
+def test_similar_without_ids(spark, near):
+    """Null and shared ids: each text links as its own row, as in the SQL, and each component keeps one row."""
+    duckdb, pd = pytest.importorskip("duckdb"), pytest.importorskip("pandas")
+    rows = [(None if i % 3 == 0 else 7 if i % 10 == 1 else i, t) for i, t in near if len(t or "") < 5000] + [(None, "a b c")] * 2 + [(300, "q r s")] * 2 + [(None, None)] * 2
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(5)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": pd.array([i for i, _ in rows], "Int64"), "text": [t for _, t in rows]}))
+    want = Counter(con.execute(jaccard.ORACLE_SQL).fetchall())
+    assert Counter(map(tuple, jaccard.similar(docs, 2, 10**6).collect())) == want
+    # components by row
+    s, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if s[a] and 100 * len(s[a] & s[b]) >= 60 * len(s[a] | s[b]) and parent[a] != parent[b]:
+                parent = [parent[b] if x == parent[a] else x for x in parent]
+    groups: dict = {}
+    for k, g in enumerate(parent):
+        groups.setdefault(g, []).append(rows[k])
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect()]
+    assert len(kept) == len(groups)
+    left = Counter(kept)
+    for g in groups.values():
+        ids = [i for i, _ in g if i is not None]
+        mine = [r for r in set(g) if left[r] and r[0] == (min(ids) if ids else None)]
+        assert len(mine) == 1
+        left[mine[0]] -= 1
+
+
 def test_tree_join():
     rng = np.random.default_rng(0)
     for _ in range(60):
