@@ -6,7 +6,8 @@ counts are sums over all labelled pages, gathered before the shuffle; the model
 whole transcript; markers are cut off and turns are rendered in one canonical form.
 
 `pages` makes transcripts of turns: a conversation is cut into pages of PAGE turns, so one that holds a third of all rows
-is many rows and tasks. Null text: an empty turn. Null role: unlabelled, counted as "user" in training and lost in noisy
+is many rows and tasks. Where PAGE turn numbers have more rows than that, as repeats and null keys make, these are sorted
+over all tasks and numbered, and further pages of PAGE rows follow; later pages of the conversation move up. Null text: an empty turn. Null role: unlabelled, counted as "user" in training and lost in noisy
 marks. Null conversation ids form conversations of their own page. Ties in turn are ordered by role, then text. An empty
 or null transcript gives no turns; an empty table an empty result. Other columns are ignored.
 """
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import hot_join, stage, table
 
 ROLES = ["user", "assistant", "system"]
 PAGE = 256
@@ -100,20 +101,39 @@ def _noisy(role: Column, text: Column, style: Column, lost: Column) -> Column:
     return F.concat(F.when(lost, F.lit("\n")).otherwise(put), text)
 
 
+def _over(rows: DataFrame) -> DataFrame:
+    """Rows of _conv, bucket, turn, role, text, _row and others, numbered in pos within each conversation's bucket, in order of turn, role and text."""
+    order = ["_conv", "bucket", "turn", "role", "text", "_row"]
+    # _row parts equal rows; staged, so that numbers are those of rows as written
+    rows = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
+    parts = rows.groupBy("_conv", "bucket", "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_conv", "bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_conv", "bucket", "_part", (F.col("_first") - before).alias("_first"))
+    return rows.join(parts, ["_conv", "bucket", "_part"]).withColumn("pos", F.col("_id") - F.col("_first")).drop("_id", "_part", "_first")
+
+
 def pages(conversations: DataFrame) -> DataFrame:
     """conv_id, page, transcript, states: noisy transcripts of conversations and the true state of each of their lines."""
     key = F.coalesce(F.col("conv_id").cast("string"), F.lit("-"))
-    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit("user"))
-    x = conversations.select("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / PAGE).cast("long").alias("page"), F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), role.alias("role"), text.alias("text"), F.pmod(F.xxhash64(key), F.lit(5)).alias("style"))
-    lost = (F.pmod(F.xxhash64(key, "turn"), F.lit(8)) == 0) & (F.col("turn") % PAGE > 0)
-    said = _noisy(F.col("role"), F.col("text"), F.col("style"), lost)
-    x = x.withColumn("said", said)
+    text, role, turn = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit("user")), F.coalesce("turn", F.lit(0)).cast("long")
+    x = conversations.select("conv_id", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-")).alias("_conv"), F.floor(turn / PAGE).cast("long").alias("bucket"), turn.alias("turn"), role.alias("role"), text.alias("text"), F.pmod(F.xxhash64(key), F.lit(5)).alias("style"), (F.pmod(F.xxhash64(key, turn), F.lit(8)) == 0).alias("lost"))
+    counts = stage(x.groupBy("_conv", "bucket").agg(F.count("*").alias("k")))
+    if counts.filter(F.col("k") > PAGE).isEmpty():
+        x = x.withColumn("page", F.col("bucket")).withColumn("opens", F.col("turn") % PAGE == 0)
+    else:
+        more = F.coalesce(F.sum(F.ceil(F.col("k") / PAGE) - 1).over(Window.partitionBy("_conv").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = stage(counts.withColumn("page", (F.col("bucket") + more).cast("long")))
+        # a row's number in its file, which a task that is run again repeats
+        x = hot_join(x.withColumn("_row", F.monotonically_increasing_id()), counts, ["_conv", "bucket"], "k", counts.agg(F.sum("k")).first()[0])
+        large = _over(x.filter(F.col("k") > PAGE)).withColumn("opens", F.col("pos") % PAGE == 0).withColumn("page", F.col("page") + F.floor(F.col("pos") / PAGE))
+        small = x.filter(F.col("k") <= PAGE).withColumn("opens", F.col("turn") % PAGE == 0)
+        x = small.unionByName(large.drop("pos"))
+    x = x.withColumn("said", _noisy(F.col("role"), F.col("text"), F.col("style"), F.col("lost") & ~F.col("opens")))
     index = F.when(F.col("role") == "assistant", 1).when(F.col("role") == "system", 2).otherwise(0)
     n = F.size(F.split("said", "\n", -1))
     # a lost mark's blank line opens the turn
     state = F.concat(F.array(index * 2), F.when(n > 1, F.array_repeat(index * 2 + 1, n - 1)).otherwise(F.expr("cast(array() as array<int>)")))
-    x = x.select("conv_id", "page", F.struct("turn", "role", "said", state.alias("state")).alias("t"))
-    # rows of one turn number beyond PAGE, as repeats can make, spread over further pages
+    x = x.select("conv_id", "page", F.struct("turn", "role", (~F.col("opens")).alias("later"), "said", state.alias("state")).alias("t"))
     return x.groupBy("conv_id", "page").agg(F.array_sort(F.collect_list("t")).alias("t")).select("conv_id", "page", F.concat_ws("\n", "t.said").alias("transcript"), F.flatten("t.state").alias("states"))
 
 

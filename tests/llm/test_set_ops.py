@@ -324,6 +324,16 @@ def test_chat(spark):
     assert chat.pages(long).count() == 3
 
 
+def test_chat_pages_are_bounded(spark):
+    """Rows that repeat a turn, or have none, or no conversation, are cut into pages of PAGE rows, none lost and in order."""
+    rows = [(1, None if i % 2 else 0, "user", f"t{i:04}") for i in range(700)] + [(1, 300, "user", "late")] + [(None, i % 8, "user", "same") for i in range(1000)] + [(2, t, "user", f"u{t}") for t in range(10)]
+    got = chat.pages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).collect()
+    said = {(r["conv_id"], r["page"]): [w for w in r["transcript"].split() if w[0] in "tus" and w[1:2] != "e" and w != "late"] for r in got}
+    sizes = {k: sum(x % 2 == 0 for x in r["states"]) for r in got for k in [(r["conv_id"], r["page"])]}
+    assert sizes == {(1, 0): 256, (1, 1): 256, (1, 2): 188, (1, 3): 1, (None, 0): 256, (None, 1): 256, (None, 2): 256, (None, 3): 232, (2, 0): 10}
+    assert [w for p in range(3) for w in said[1, p]] == [f"t{i:04}" for i in range(700)]
+
+
 def test_chat_accuracy(spark):
     """Trained on half of the conversations, roles of the other half's lines are recovered."""
     written = chat.pages(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
