@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 #: A key with more than this share of the rows is hot; there are at most HOT_SHARE such keys.
 HOT_SHARE = 1000
+#: Words of the largest bitmap that is broadcast (some 24 MB as Spark's hashed relation).
+BITMAP_WORDS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,6 +97,18 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total
     return df.select(*left.columns, *[F.coalesce(F.col("_hot")[v], F.col("_rest")[v]).alias(v) for v in values])
 
 
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of df whose 64-bit hash may be one of keys (column `key`, non-null), by a broadcast bitmap; with inside=False the rows whose hash surely isn't. The bitmap has at most BITMAP_WORDS words of 64 bits, whatever the number of keys: with more keys it only clears fewer rows."""
+    n = keys.count()
+    words = int(np.clip(1 << (max(1, n // 4) - 1).bit_length(), 1 << 10, BITMAP_WORDS))
+    word = lambda k: F.pmod(k, F.lit(words))
+    bit = lambda k: F.pmod(F.shiftrightunsigned(k, 32), F.lit(64)).cast("int")
+    map_ = keys.groupBy(word(F.col("key")).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("key")))).alias("_bits"))
+    x = df.withColumn("_word", word(key)).withColumn("_bit", bit(key)).join(F.broadcast(map_), "_word", "left")
+    held = F.coalesce(F.call_function("shiftright", F.col("_bits"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return x.filter(held if inside else ~held).drop("_word", "_bit", "_bits")
+
+
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of the edges (a, b), ascending, and the smallest node of each one's component."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)

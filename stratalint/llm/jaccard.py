@@ -1,16 +1,19 @@
 """N-gram Jaccard join (8): all pairs of documents whose word 2-shingle sets have a Jaccard similarity of at least 60 %.
 
 1. Sign: each whole text becomes its set of 64-bit shingle hashes, in numpy; equal sets are one class, joined no further.
-2. Order: shingles are ranked by how many texts hold them, rarest first. Their hashes, 38 bits or so, go in blobs to the
-   task of their range, which counts the classes that have each and returns those of more than one, with a code.
+2. Order: shingles are ranked by how many texts hold them, rarest first. Their hashes, shortened to 28 bits or more (two
+   that fall together only look more frequent), go in blobs to the task of their range, which counts the classes that
+   have each and returns those of more than one, with a code.
 3. Filter: of n shingles in that order, two sets that are alike share one of the first n - ceil(0.6 n) + 1. Shingles of
-   one text alone need no partner, so most texts send nothing.
-4. Blocks: texts that share such a shingle, and whose sizes and numbers of shared shingles leave room for the threshold,
-   are united by stars, not pairs, into components; those over the bound once more, by parities of all shared shingles,
-   which bound a pair's differences. A component of bounded size is
-   a block; a larger one is cut into pairs of its parts or, if that is less to send, into the groups of single shingles,
-   of which those over the bound are cut likewise; there a pair is judged only with the least shingle that both have sent.
-5. Join: a block's sets, by global frequency in the block, form a prefix tree with one node for each shared run. One
+   one text alone need no partner. The place of the first shingle that two sets share bounds their sizes: each prefix
+   shingle goes, in blobs, to its range's task with the largest size that a partner may have (its reach), and only texts
+   with a partner within both reaches stay. Groups of tokens over HOT_TEXTS aren't gathered there, but cut in step 4.
+4. Blocks: of texts that share such a shingle those are united, by stars and not pairs, into components, whose sizes and
+   parities of all shared shingles, which bound a pair's differences, leave room for the threshold. A component of bounded
+   size is a block; a larger one is cut into pairs of its parts or, if that is less to send, into the groups of single
+   shingles, of which those over the bound are cut likewise; there a pair is judged only with the least shingle that both
+   have sent.
+5. Join: texts of the blocks, and no others, are moved. A block's sets, by global frequency in the block, form a prefix tree with one node for each shared run. One
    traversal carries all sets as queries: overlaps so far are shared by a subtree, and a query leaves it when the sizes or
    the lengths that remain can't reach the threshold. Links leave a block as sums and stars.
 
@@ -32,10 +35,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, components, hot_join, stage, table, union_find
+from .common import batches, components, hot_join, maybe_in, stage, table, union_find
 
-#: Shingles of a counting task, and texts and shingles of a block, beyond which it is divided.
-RANGE, BLOCK_TEXTS, BLOCK_SHINGLES = 2_000_000, 2_000, 2_000_000
+#: Shingles of a counting task, texts of a shingle beyond which its group is cut before it is gathered, and texts and shingles of a block, beyond which it is divided.
+RANGE, HOT_TEXTS, BLOCK_TEXTS, BLOCK_SHINGLES = 2_000_000, 100_000, 2_000, 2_000_000
 #: Bytes of a window of text, and of a block's table of queries by shingle.
 _WINDOW, _TABLE = 1 << 20, 32 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -122,13 +125,42 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *cols], names=["doc_id", "h", "n", "s1", "s2"])
 
 
-_BLOB = "bucket int, chunk long, docs binary, times binary, ids binary, codes binary"
-_BLOB_NAMES = ["bucket", "chunk", "docs", "times", "ids", "codes"]
-_BLOB_KINDS = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+_BLOB = "bucket int, chunk long, docs binary, at binary, times binary, ids binary, codes binary"
+_BLOB_NAMES = ["bucket", "chunk", "docs", "at", "times", "ids", "codes"]
+_BLOB_KINDS = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers under 2^32 by planes of bytes: the upper ones are mostly zero, so a shuffle's compression takes them."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _whole(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def _three(x: np.ndarray) -> bytes:
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _of_three(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(x, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
+def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of runs and their lengths."""
+    edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, np.int64)
+    return doc[edge[:-1]], np.diff(edge)
+
+
+def _gaps(at: np.ndarray) -> bytes:
+    return _planes(np.diff(at, prepend=0))
 
 
 def _blobs(bits: int):
-    """Blobs of 32-bit ids for each bucket and chunk: a bucket is a hash's leading bits, an id the next 32. A chunk's texts come as signatures and sizes in bucket -1."""
+    """Blobs of 24-bit ids for each bucket and chunk: a bucket is a hash's leading bits, an id the next 24; `at` tells the texts' places in the chunk. A chunk's texts come as signatures and sizes in bucket -1."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -144,139 +176,244 @@ def _blobs(bits: int):
                 continue
             size = np.array([len(x) for _, x in own], np.int64)
             h = np.concatenate([x for _, x in own])
-            doc = np.repeat(np.arange(len(own), dtype=np.uint32), size)
+            doc = np.repeat(np.arange(len(own)), size)
             bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, doc, ids = bucket[order], doc[order], ((h[order] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-            rows = [(-1, chunk, np.array([s for s, _ in own], np.int64).tobytes(), size.tobytes(), None, None)]
-            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            bucket, doc, ids = bucket[order], doc[order], ((h[order] << np.uint64(bits)) >> np.uint64(40)).astype(np.uint32)
             of = np.array([s for s, _ in own], np.int64)
+            rows = [(-1, chunk, of.tobytes(), None, size.tobytes(), None, None)]
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                docs, times = _runs(of[doc[a:z]])
-                rows.append((int(bucket[a]), chunk, docs, times, ids[a:z].tobytes(), None))
+                at, times = _runs(doc[a:z])
+                rows.append((int(bucket[a]), chunk, of[at].tobytes(), _gaps(at), _planes(times), _three(ids[a:z]), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _BLOB_KINDS)], names=_BLOB_NAMES)
             chunk += 1
 
     return run
 
 
-def _runs(doc: np.ndarray) -> tuple[bytes, bytes]:
-    edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, np.int64)
-    return doc[edge[:-1]].tobytes(), np.diff(edge).astype(np.uint32).tobytes()
-
-
 def _code(n: np.ndarray) -> np.ndarray:
     """A count of at least 2 as a byte that rises with it."""
     return np.where(n < 128, n, np.minimum(255, 128 + 4 * np.log2(np.maximum(n, 128) / 128)).astype(np.int64)).astype(np.uint8)
 
 
 def _count(rows: pa.Table) -> pa.Table:
-    """For a bucket: the ids that more than one class has, with their codes. Bucket -1 passes through."""
+    """For a bucket: the ids that more than one class has, with their codes and their texts' places in the chunk. Bucket -1 passes through."""
     if rows.column("bucket")[0].as_py() < 0:
         return rows
-    parts = [np.frombuffer(x, np.uint32) for x in rows.column("ids").to_pylist()]
-    classes = [np.repeat(np.frombuffer(d, np.int64), np.frombuffer(t, np.uint32)) for d, t in zip(rows.column("docs").to_pylist(), rows.column("times").to_pylist())]
+    parts = [_of_three(x) for x in rows.column("ids").to_pylist()]
+    runs = [_whole(x) for x in rows.column("times").to_pylist()]
     _, inv, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    many, of = n[inv] > 1, np.concatenate(classes)
+    many, of = n[inv] > 1, np.concatenate([np.repeat(np.frombuffer(d, np.int64), t) for d, t in zip(rows.column("docs").to_pylist(), runs)])
     # copies of a text in several chunks are one class: count each class of an id once
     i, c = inv[many], of[many]
     order = np.lexsort((c, i))
     i, c = i[order], c[order]
     n = np.bincount(i[np.concatenate([[True], (i[1:] != i[:-1]) | (c[1:] != c[:-1])])] if len(i) else i, minlength=len(n))[inv]
-    at, out = 0, []
-    for bucket, chunk, ids, own in zip(rows.column("bucket").to_pylist(), rows.column("chunk").to_pylist(), parts, classes):
-        times = n[at : at + len(ids)]
-        at += len(ids)
+    done, out = 0, []
+    for bucket, chunk, ids, at, run in zip(rows.column("bucket").to_pylist(), rows.column("chunk").to_pylist(), parts, rows.column("at").to_pylist(), runs):
+        times = n[done : done + len(ids)]
+        done += len(ids)
         many = times > 1
         if many.any():
-            out.append((bucket, chunk, *_runs(own[many]), ids[many].tobytes(), _code(times[many]).tobytes()))
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, _BLOB_KINDS)], names=_BLOB_NAMES)
+            place, k = _runs(np.repeat(np.cumsum(_whole(at)), run)[many])
+            out.append((bucket, chunk, None, _gaps(place), _planes(k), _three(ids[many]), _code(times[many]).tobytes()))
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, _BLOB_KINDS)], names=_BLOB_NAMES)
+
+
+_FOUND = "bucket int, s1 long, n long, shared long, bits binary, docs binary, sizes binary, times binary, ids binary, reach binary"
+_FOUND_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
+_FOUND_KINDS = (pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 6)
+#: Buckets of the rows that tell a class, and of the tokens too frequent for their bucket's task.
+_CLASS, _HOT = -1, -2
 
 
 def _prefixes(rows: pa.Table) -> pa.Table:
-    """For a chunk, the prefix shingles that other texts may have: token, s1, n, sent (how many of them) and shared (how many shingles in all other texts may have)."""
+    """For a chunk, by bucket, the prefix shingles that other texts may have, each with its reach: the most shingles that a text may have which is alike to this one and shares this shingle as the first in order. For each class that sends any, a row with its shared shingles, their number and their parities."""
     doc, token, code, info = [], [], [], None
-    for bucket, docs, times, ids, codes in zip(*(rows.column(c).to_pylist() for c in ("bucket", "docs", "times", "ids", "codes"))):
+    for bucket, docs, at, times, ids, codes in zip(*(rows.column(c).to_pylist() for c in ("bucket", "docs", "at", "times", "ids", "codes"))):
         if bucket < 0:
             info = np.frombuffer(docs, np.int64), np.frombuffer(times, np.int64)
             continue
-        doc.append(np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(times, np.uint32)))
-        token.append(np.frombuffer(ids, np.uint32).astype(np.int64) | bucket << 32)
+        doc.append(np.repeat(np.cumsum(_whole(at)), _whole(times)))
+        token.append(_of_three(ids).astype(np.int64) | bucket << 24)
         code.append(np.frombuffer(codes, np.uint8))
-    names = ["token", "s1", "n", "sent", "shared", "bits"]
     if not doc:
-        return pa.table([*[pa.array([], pa.int64())] * 5, pa.array([], pa.binary())], names=names)
+        return pa.table([pa.array([], k) for k in _FOUND_KINDS], names=_FOUND_NAMES)
     s1, size = info
-    at = np.argsort(s1)
-    s1, size = s1[at], size[at]
-    doc, token, code = np.searchsorted(s1, np.concatenate(doc)), np.concatenate(token), np.concatenate(code)
+    doc, token, code = np.concatenate(doc), np.concatenate(token), np.concatenate(code)
     order = np.lexsort((token, code, doc))
-    doc, token = doc[order], token[order]
+    doc, token, code = doc[order], token[order], code[order]
     many = np.bincount(doc, minlength=len(size))
-    prefix = size - (60 * size + 99) // 100 + 1 - (size - many)  # places left after the shingles of one text alone
-    rank = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-    take = rank < prefix[doc]
-    sent, own = np.minimum(many, np.maximum(prefix, 0)), doc[take]
     cut = np.concatenate([[0], np.cumsum(many)])
-    any_ = np.flatnonzero(sent)
-    bits = [_parities(token[cut[k] : cut[k + 1]]) for k in any_.tolist()]
-    own = np.concatenate([own, any_])
-    token = np.concatenate([token[take], np.full(len(any_), -1)])
-    cols = [pa.array(x) for x in (token, s1[own], size[own], sent[own], many[own].astype(np.int64))]
-    return pa.table([*cols, pa.array([None] * int(take.sum()) + bits, pa.binary())], names=names)
+    place = np.arange(len(doc)) - cut[doc] + (size - many)[doc]  # after the shingles of one text alone
+    n = size[doc]
+    # alike: 8 * overlap >= 3 * (n + the other's n); the overlap is at most what follows, and at most what is shared
+    reach = (8 * np.minimum(n - place, many[doc]) - 3 * n) // 3
+    take = (place <= n - (60 * n + 99) // 100) & (5 * reach >= 3 * n)
+    out = [(_CLASS, int(s1[k]), int(size[k]), int(many[k]), _parities(token[cut[k] : cut[k + 1]]), *[None] * 5) for k in np.unique(doc[take]).tolist()]
+    doc, token, reach = doc[take], token[take], reach[take]
+    bucket = np.where(code[take] > _code(np.array([HOT_TEXTS]))[0], _HOT, token >> 24)
+    order = np.argsort(bucket, kind="stable")
+    doc, token, reach, bucket = doc[order], token[order], reach[order], bucket[order]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(doc) else np.zeros(1, np.int64)
+    for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        k, times = _runs(doc[a:z])
+        ids = _three(token[a:z]) if bucket[a] >= 0 else token[a:z].tobytes()
+        out.append((int(bucket[a]), *[None] * 4, s1[k].tobytes(), _planes(np.minimum(size[k], 2**32 - 1)), _planes(times), ids, _planes(np.minimum(reach[a:z], 2**32 - 1))))
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 10, _FOUND_KINDS)], names=_FOUND_NAMES)
 
 
 def _parities(token: np.ndarray) -> bytes:
     """Parities of a set's shingles by hash, in twice to four times as many bits, a power of two: two sets differ in at least as many shingles as their parities in bits, also when the longer ones are folded."""
-    n = 1 << (2 * len(token) - 1).bit_length()
-    return np.packbits(np.bincount((mix(token.astype(np.uint64)) % np.uint64(max(8, n))).astype(np.int64), minlength=max(8, n)) & 1).tobytes()
-
-
-def _differ(a: bytes, b: bytes) -> int:
-    """A lower bound on how many shingles one of two sets has and the other has not."""
-    if len(a) < len(b):
-        a, b = b, a
-    x, n = int.from_bytes(a, "big"), len(a)
-    while n > len(b):
-        n //= 2
-        x = (x >> 8 * n) ^ (x & (1 << 8 * n) - 1)
-    return (x ^ int.from_bytes(b, "big")).bit_count()
+    n = max(64, 1 << (2 * len(token) - 1).bit_length())
+    return np.packbits(np.bincount((mix(token.astype(np.uint64)) % np.uint64(n)).astype(np.int64), minlength=n) & 1).tobytes()
+
+
+class _Parities:
+    """The parities of rows, by length."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        size = np.array([len(x) for x in bits], np.int64)
+        self.size, self.level, self.row, self.of = size, np.frexp(size)[1], np.empty(len(bits), np.int64), {}
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            self.row[own] = np.arange(len(own))
+            self.of[n] = np.frombuffer(b"".join([bits[k] for k in own.tolist()]), np.uint64).reshape(-1, n // 8)
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For pairs, a lower bound on how many shingles one of the two has and the other has not."""
+        out = np.zeros(len(x), np.int64)
+        lo, hi = np.where(self.size[x] <= self.size[y], x, y), np.where(self.size[x] <= self.size[y], y, x)
+        both = self.level[lo] * 64 + self.level[hi]
+        for pair in np.unique(both).tolist():
+            own = np.flatnonzero(both == pair)
+            a, b = int(self.size[lo[own[0]]]), int(self.size[hi[own[0]]])
+            for k in range(0, len(own), step := max(1, (1 << 22) // b)):
+                at = own[k : k + step]
+                p, q = self.of[a][self.row[lo[at]]], self.of[b][self.row[hi[at]]]
+                while q.shape[1] > p.shape[1]:
+                    half = q.shape[1] // 2
+                    q = q[:, :half] ^ q[:, half:]
+                out[at] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+        return out
 
 
 def prefixes(docs: DataFrame, total: int) -> DataFrame:
-    """token, s1, n, sent, shared: the distinct prefix shingles of each class that some other text may have; and for each class a row of token -1 with the parities of its shared shingles; staged. total: shingles in all."""
-    bits = int(np.clip(np.ceil(np.log2(max(1, total) / RANGE)), 4, 16))
+    """Blobs of prefix shingles by bucket, and a row for each class that sends any; staged. total: shingles in all."""
+    bits = int(np.clip(np.ceil(np.log2(max(1, total) / RANGE)), 4, 24))
     blobs = docs.select("text").mapInArrow(_blobs(bits), _BLOB)
-    # infos join their chunk later; as buckets of their own they pass the first step alone
-    key = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("chunk"), F.lit(64))).otherwise(F.col("bucket")).cast("int")
+    # a chunk's signatures wait for it under a key of their own
+    key = F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket").cast("long"))
     counted = blobs.groupBy(key.alias("_key")).applyInArrow(_count, _BLOB)
-    return stage(counted.groupBy("chunk").applyInArrow(_prefixes, "token long, s1 long, n long, sent long, shared long, bits binary").distinct())
+    return stage(counted.groupBy("chunk").applyInArrow(_prefixes, _FOUND))
+
+
+def _range_max(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The largest of x[lo:hi] for each range, -1 for empty ones."""
+    out, size = np.full(len(lo), -1, np.int64), np.maximum(hi - lo, 0)
+    level = np.frexp(size)[1] - 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = np.maximum(x[lo[at]], x[hi[at] - (1 << k)])
+        x = np.maximum(x[: -(1 << k)], x[1 << k :]) if len(x) > 1 << k else x
+    return out
+
+
+def _partnered(group: np.ndarray, n: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which rows, in order of group and n, have another one in their group so that each one's n is in the other's reach."""
+    first = np.searchsorted(group, group)
+    end = np.searchsorted(group << 33 | n, group << 33 | np.minimum(reach, (1 << 33) - 1), side="right")
+    here = np.arange(len(n))
+    return (_range_max(reach, here + 1, end) >= n) | (_range_max(reach, first, np.minimum(end, here)) >= n)
+
+
+_GROUP = "x long, y long, token long, every long, members binary"
+
+
+def _meet(rows: pa.Table) -> pa.Table:
+    """For a bucket, the classes that share a token and have a partner there, a row for each token, but one for tokens that the same classes share."""
+    token, s1, n, reach = [], [], [], []
+    for bucket, docs, sizes, times, ids, own in zip(*(rows.column(c).to_pylist() for c in ("bucket", "docs", "sizes", "times", "ids", "reach"))):
+        t = _whole(times)
+        token.append(_of_three(ids).astype(np.int64) | bucket << 24)
+        s1.append(np.repeat(np.frombuffer(docs, np.int64), t))
+        n.append(np.repeat(_whole(sizes), t))
+        reach.append(_whole(own))
+    token, s1, n, reach = (np.concatenate(x) for x in (token, s1, n, reach))
+    order = np.lexsort((s1, n, token))
+    token, s1, n, reach = token[order], s1[order], n[order], reach[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (s1[1:] != s1[:-1])])  # else a copy from another chunk
+    token, s1, n, reach = token[new], s1[new], n[new], reach[new]
+    group = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
+    good = _partnered(group, n, reach)
+    token, s1, n = token[good], s1[good], n[good]
+    names = [x.split()[0] for x in _GROUP.split(", ")]
+    if not len(token):
+        return pa.table([*[pa.array([], pa.int64())] * 4, pa.array([], pa.binary())], names=names)
+    edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    h = s1.view(np.uint64)
+    x, y = np.bitwise_xor.reduceat(mix(h), edge), np.add.reduceat(mix(h ^ _A), edge)
+    once = np.lexsort((token[edge], y, x))
+    once = once[np.concatenate([[True], (x[once][1:] != x[once][:-1]) | (y[once][1:] != y[once][:-1])])]
+    stop = np.append(edge[1:], len(token))
+    members = [s1[edge[k] : stop[k]].tobytes() for k in once.tolist()]
+    every = np.add.reduceat(n, edge)[once]
+    return pa.table([pa.array(x[once].view(np.int64)), pa.array(y[once].view(np.int64)), pa.array(token[edge[once]]), pa.array(every), pa.array(members, pa.binary())], names=names)
+
+
+def _members(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        own = [np.frombuffer(x, np.int64) for x in b.column("members").to_pylist()]
+        k = np.array([len(x) for x in own], np.int64)
+        for i in range(0, len(own), 4096):
+            s = slice(i, i + 4096)
+            cols = [np.repeat(x[s], k[s]) for x in (b.column("token").to_numpy(), b.column("every").to_numpy(), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, np.concatenate(own[s]))], names=["token", "every", "k", "s1"])
+
+
+def _hot(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        for docs, sizes, times, ids in zip(*(b.column(c).to_pylist() for c in ("docs", "sizes", "times", "ids"))):
+            t = _whole(times)
+            cols = np.frombuffer(ids, np.int64), np.repeat(np.frombuffer(docs, np.int64), t), np.repeat(_whole(sizes), t)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "s1", "n"])
+
+
+def partners(found: DataFrame) -> DataFrame:
+    """token, every, k, s1: the classes that share a token with a possible partner, with the token's number of classes and of their shingles in all; staged."""
+    groups = found.filter("bucket >= 0").select("bucket", "docs", "sizes", "times", "ids", "reach").groupBy("bucket").applyInArrow(_meet, _GROUP)
+    # tokens that the same classes share, as near copies have many, count once
+    once = groups.groupBy("x", "y").agg(F.min(F.struct("token", "every", "members")).alias("g")).select("g.*")
+    met = once.mapInArrow(_members, "token long, every long, k long, s1 long")
+    hot = found.filter(F.col("bucket") == _HOT).select("docs", "sizes", "times", "ids")
+    if hot.isEmpty():
+        return stage(met)
+    hot = stage(hot.mapInArrow(_hot, "token long, s1 long, n long").distinct())
+    sizes = stage(hot.groupBy("token").agg(F.sum("n").alias("every"), F.count("*").alias("k")))
+    return stage(met.unionByName(hot_join(hot, sizes, ["token"], "k", hot.count()).drop("n")))
 
 
 def _unite(rows: pa.Table) -> pa.Table:
-    """Stars of the classes that share a prefix shingle and whose sizes leave room for the threshold, from all groups of one task."""
-    rows = rows.sort_by([(c, "ascending") for c in ("token", "i", "j")])
-    token, i, j, mine, s1, n, sent, shared = (rows.column(c).to_numpy() for c in ("token", "i", "j", "mine", "s1", "n", "sent", "shared"))
+    """Stars of the classes that share a token and whose sizes and parities leave room for the threshold, from all groups of one task."""
+    rows = rows.sort_by([(c, "ascending") for c in ("token", "i", "j", "n", "s1")])
+    token, i, j, mine, s1, n, shared = (rows.column(c).to_numpy() for c in ("token", "i", "j", "mine", "s1", "n", "shared"))
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
     left = np.append(np.flatnonzero(new)[1:], len(token))[np.cumsum(new) - 1] - np.arange(len(token)) - 1  # members after each in its group
     nodes, at = np.unique(s1, return_inverse=True)
-    label, rest = np.arange(len(nodes)), (60 * n + 99) // 100 - 1  # rest: shingles after the prefix
-    bits = rows.column("bits").to_pylist() if "bits" in rows.column_names else None
+    label = np.arange(len(nodes))
+    parities = _Parities(rows.column("bits").to_pylist())
     x, d = np.flatnonzero(left > 0), 0
-    while len(x):  # each with the member d places on
+    while len(x):  # each with the member d places on, whose size is no less
         d += 1
+        x = x[3 * n[x + d] <= 5 * n[x]]
         y = x + d
-        # what both have sent, then at most what follows the prefix that ends first
-        most = np.minimum(np.minimum(sent[x], sent[y]) + np.maximum(rest[x], rest[y]), np.minimum(shared[x], shared[y]))
-        may = (np.minimum(most, np.minimum(n[x], n[y])) * 8 >= 3 * (n[x] + n[y])) & ((i[x] == j[x]) | (mine[x] != mine[y]))
-        if bits:
-            may &= label[at[x]] != label[at[y]]
-            for k in np.flatnonzero(may).tolist():
-                u, v = int(x[k]), int(y[k])
-                may[k] = 4 * (shared[u] + shared[v] - _differ(bits[u], bits[v])) >= 3 * (n[u] + n[v])
-        a, b = label[at[x[may]]], label[at[y[may]]]
-        if (a != b).any():
-            known, root = union_find(a[a != b], b[a != b])
+        may = (np.minimum(shared[x], shared[y]) * 8 >= 3 * (n[x] + n[y])) & ((i[x] == j[x]) | (mine[x] != mine[y])) & (label[at[x]] != label[at[y]])
+        p, q = x[may], y[may]
+        near = 4 * (shared[p] + shared[q] - parities.differ(p, q)) >= 3 * (n[p] + n[q])
+        a, b = label[at[p[near]]], label[at[q[near]]]
+        if len(a):
+            known, root = union_find(a, b)
             to = np.arange(len(nodes))
             to[known] = root
             label = to[label]
@@ -298,29 +435,15 @@ def _places(token: str, g: str, mine: str) -> Column:
 
 def blocks(found: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """s1, at (array of block, i, j, mine) and tokens (empty in a component's block): where each class with a possible partner is judged."""
-    sent, parities = found.filter("token >= 0").drop("bits"), found.filter("token < 0").select("s1", "bits")
-    groups = sent.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.bit_xor(F.xxhash64("s1")).alias("x"), F.bit_xor(F.xxhash64("s1", F.lit(1))).alias("y")).filter("k > 1")
-    # shingles that the same texts have sent, as near copies have many, count once
-    groups = groups.groupBy("k", "all", "x", "y").agg(F.min("token").alias("token")).drop("x", "y")
-    total = sent.count()
-    shared = stage(hot_join(sent, stage(groups), ["token"], "k", total).filter("k is not null").withColumn("g", _parts("k", max_texts)).withColumn("mine", F.pmod(F.xxhash64("s1"), F.col("g")).cast("int")))
-
-    def unite(rows: DataFrame, *more: str) -> DataFrame:
-        met = rows.select(F.explode(_places("token", "g", "mine")).alias("p"), "s1", "n", "sent", "shared", *more).select(F.col("p.block").alias("token"), "p.i", "p.j", "p.mine", "s1", "n", "sent", "shared", *more)
-        return met.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(8, -(-total // 200_000)))).alias("_bin")).applyInArrow(_unite, "a long, b long")
-
-    def place(united: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sizes = stage(size_of.join(united, F.col("s1") == F.col("node")).groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("all")))
-        small = (F.col("texts") <= max_texts) & (F.col("all") <= max_shingles)
-        return stage(hot_join(united, sizes, ["root"], "texts", united.count()).withColumn("small", small)), sizes
-
-    size_of = shared.groupBy("s1").agg(F.first("n").alias("n"))
-    placed, sizes = place(components(unite(shared)))
-    if not placed.filter("not small").isEmpty():
-        # large components may hang together by chance: unite theirs again, by the parities of all their shared shingles
-        again = shared.join(placed.filter("not small").select(F.col("node").alias("s1")).hint("shuffle_hash"), "s1", "left_semi").join(parities.hint("shuffle_hash"), "s1")
-        second, sizes = place(components(unite(again, "bits")))
-        placed = placed.filter("small").union(second)
+    classes = found.filter(F.col("bucket") == _CLASS).groupBy("s1").agg(*[F.first(c).alias(c) for c in ("n", "shared", "bits")])
+    shared = partners(found).withColumn("g", _parts("k", max_texts)).withColumn("mine", F.pmod(F.xxhash64("s1"), F.col("g")).cast("int"))
+    total = shared.count()
+    met = shared.select("token", "g", "mine", "s1").join(classes.hint("shuffle_hash"), "s1")
+    met = met.select(F.explode(_places("token", "g", "mine")).alias("p"), "s1", "n", "shared", "bits").select(F.col("p.block").alias("token"), "p.i", "p.j", "p.mine", "s1", "n", "shared", "bits")
+    united = components(met.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(8, -(-total // 100_000)))).alias("_bin")).applyInArrow(_unite, "a long, b long"))
+    sizes = stage(classes.select("s1", "n").join(united, F.col("s1") == F.col("node")).groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("all")))
+    small = (F.col("texts") <= max_texts) & (F.col("all") <= max_shingles)
+    placed = stage(hot_join(united, sizes, ["root"], "texts", united.count()).withColumn("small", small))
     alone = F.array(F.struct(F.col("root").alias("block"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("mine")))
     whole = placed.filter("small").select(F.col("node").alias("s1"), alone.alias("at"), F.expr("cast(array() as array<bigint>)").alias("tokens"))
     large = placed.filter("not small").select(F.col("node").alias("s1"), "root", "texts", "all")
@@ -331,7 +454,7 @@ def blocks(found: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = B
     x = shared.join(large.select("s1", "root", cut.alias("cut")), "s1")
     denser = x.groupBy("root").agg((F.sum("g") >= F.first("cut") * F.countDistinct("s1")).alias("dense"))
     x = hot_join(x.drop("mine"), stage(denser.join(sizes.select("root", "texts"), "root")), ["root"], "texts", total)
-    x = x.withColumn("g", F.when(F.col("dense"), F.col("cut")).otherwise(F.greatest(F.col("g"), _parts("all", max_shingles)))).withColumn("mine", F.pmod(F.xxhash64("s1"), F.col("g")).cast("int"))
+    x = x.withColumn("g", F.when(F.col("dense"), F.col("cut")).otherwise(F.greatest(F.col("g"), _parts("every", max_shingles)))).withColumn("mine", F.pmod(F.xxhash64("s1"), F.col("g")).cast("int"))
     parts = x.filter("dense").select("s1", "root", "g", "mine").distinct().select("s1", _places("root", "g", "mine").alias("at"), F.expr("cast(array() as array<bigint>)").alias("tokens"))
     split = x.filter("not dense").groupBy("s1").agg(F.flatten(F.collect_list(_places("token", "g", "mine"))).alias("at"), F.collect_list("token").alias("tokens"))
     return whole.union(parts).union(split)
@@ -398,8 +521,8 @@ def _judge(rows: pa.Table) -> pa.Table:
     """All blocks of one task: for each class with links, their number in documents, and the least class that it reaches in its block."""
     rows = rows.sort_by([(c, "ascending") for c in ("block", "i", "j", "s1", "s2")])
     col = {c: rows.column(c).to_numpy() for c in ("block", "i", "j", "mine", "s1", "s2", "size")}
-    blob, tokens = rows.column("set").to_pylist(), rows.column("tokens").to_pylist()
-    new = np.ones(len(blob) + 1, bool)
+    tokens = rows.column("tokens").to_pylist()
+    new = np.ones(len(tokens) + 1, bool)
     new[1:-1] = (col["block"][1:] != col["block"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])
     edge, out = np.flatnonzero(new).tolist(), []
     for a, z in zip(edge, edge[1:]):
@@ -410,7 +533,7 @@ def _judge(rows: pa.Table) -> pa.Table:
         links, label = np.zeros(len(own), np.int64), np.arange(len(own))
         size, mine = col["size"][own], col["mine"][own]
         sent = [frozenset(tokens[k]) for k in own] if by_token else []
-        for x, like in tree_join([np.frombuffer(blob[k], np.uint64) for k in own]):
+        for x, like in tree_join(sets(rows.column("text").take(own).combine_chunks())):
             like = like[like != x]
             if i != j:
                 like = like[mine[like] != mine[x]]
@@ -431,20 +554,12 @@ def _judge(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=names)
 
 
-def _load(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the rows whose text has the class's signature; of a task's copies, the first."""
-    seen: set[int] = set()
-    for b in batches(it, "text", 4 << 20):
-        b = b.filter(pa.array([s not in seen for s in b.column("s1").to_pylist()], pa.bool_()))
-        found = sets(b.column("text"))
-        ok = []
-        for x, s, t in zip(found, b.column("s1").to_pylist(), b.column("s2").to_pylist()):
-            ok.append(s not in seen and _signature(x) == (s, t))
-            if ok[-1]:
-                seen.add(s)
-        keep = [c for c in b.schema.names if c != "text"]
-        blob = pa.array([x.tobytes() if o else None for x, o in zip(found, ok)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], blob], names=[*keep, "set"]).filter(pa.array(ok, pa.bool_()))
+_KEY = ["_id", "_no", "_h"]
+
+
+def _row_key(doc_id: Column, h: Column) -> list[Column]:
+    """An id and its text's hash, as a key without nulls."""
+    return [F.coalesce(doc_id, F.lit(0)).cast("long").alias("_id"), doc_id.isNull().alias("_no"), h.alias("_h")]
 
 
 def _linked(docs: DataFrame, max_texts: int, max_shingles: int) -> DataFrame:
@@ -455,12 +570,11 @@ def _linked(docs: DataFrame, max_texts: int, max_shingles: int) -> DataFrame:
     classes = stage(signed.filter("s1 is not null").groupBy("s1", "s2").agg(own.alias("own"), F.count("*").alias("size"), F.first("n").alias("n")))
     count = signed.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     at = blocks(prefixes(docs, count["n"] or 0), max_texts, max_shingles)
-    needed = stage(classes.join(at, "s1"))
-    # the small side is hashed: texts are shuffled once, unsorted; an id and a text's hash tell a class's row, also without id
-    key = needed.select(F.col("own.id").alias("_id"), F.col("own.h").alias("_h"), "s1", "s2", "size", "at", "tokens")
-    rows = docs.join(key.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["h"] == F.col("_h"))).select("s1", "s2", "size", "at", "tokens", "text")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    loaded = rows.mapInArrow(_load, f"{kinds}, set binary").withColumn("at", F.explode("at")).select("at.*", "s1", "s2", "size", "tokens", "set")
+    needed = stage(classes.join(at, "s1").select(*_row_key(F.col("own.id"), F.col("own.h")), "s1", "s2", "size", "n", "at", "tokens"))
+    # texts of other rows don't move; of rows with the same id and text, one does
+    rows = docs.select("text", *_row_key(F.col("doc_id"), F.col("h")))
+    rows = maybe_in(rows, F.xxhash64(*_KEY), needed.select(F.xxhash64(*_KEY).alias("key"))).groupBy(*_KEY).agg(F.first("text").alias("text"))
+    loaded = rows.join(needed.drop("n").hint("shuffle_hash"), _KEY).withColumn("at", F.explode("at")).select("at.*", "s1", "s2", "size", "tokens", "text")
     spread = needed.agg(F.sum(F.col("n") * F.size("at")).alias("n")).first()["n"] or 0
     bins = max(8, -(-spread // (BLOCK_SHINGLES // 2)))
     links = stage(loaded.groupBy(F.pmod(F.xxhash64("block", "i", "j"), F.lit(bins)).alias("_bin")).applyInArrow(_judge, _LINKS))
@@ -483,15 +597,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, but of each component only one, of the smallest id (nulls last). Rows without shingles all stay."""
     marked = stage(_linked(docs, BLOCK_TEXTS, BLOCK_SHINGLES).filter("first is not null"))
     mine = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
-    row = [F.col("doc_id").alias("_id"), F.col("h").alias("_h")]
-    cond = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h"))
-    drop = marked.filter(~mine).select(*row).distinct()
-    stay = docs.join(drop.hint("shuffle_hash"), cond, "left_anti")  # ids and hashes are hashed, texts aren't sorted
-    again = stage(marked.filter(mine).groupBy(*row).count().filter("count > 1").drop("count"))
-    if again.isEmpty():
-        return stay
-    one = stay.join(again, cond, "left_semi").dropDuplicates(["doc_id", "text"])
-    return stay.join(again, cond, "left_anti").union(one)
+    key = _row_key(F.col("doc_id"), F.col("h"))
+    drop = marked.filter(~mine).select(*key).withColumn("_all", F.lit(True)).distinct()
+    again = marked.filter(mine).groupBy(*key).count().filter("count > 1").select(*_KEY, F.lit(False).alias("_all"))
+    out = stage(drop.unionByName(again))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, *_row_key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    at = out.select(F.xxhash64(*_KEY).alias("key"))
+    # rows that the bitmap clears stay where they are; the others are few
+    clear = maybe_in(rows, F.xxhash64(*_KEY), at, False).select("_row.*")
+    met = maybe_in(rows, F.xxhash64(*_KEY), at).join(out.hint("shuffle_hash"), _KEY, "left")
+    one = met.filter("not _all").groupBy(*_KEY).agg(F.first("_row").alias("_row"))
+    return clear.unionByName(met.filter("_all is null").select("_row.*")).unionByName(one.select("_row.*"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
