@@ -23,7 +23,7 @@ def registry_of(a: argparse.Namespace, cwd: str) -> tuple[dict[str, tuple[str, b
 def main(argv: list[str] | None = None, spark=None) -> int:
     p = argparse.ArgumentParser(prog="stratalint")
     p.add_argument("paths", nargs="*", metavar="NAME=PATH")
-    p.add_argument("--config")
+    p.add_argument("--config", help="a YAML registry: packages, and what is known of them: stems, layers, libraries, transports")
     p.add_argument("--packages", help="names, comma-separated")
     p.add_argument("--severity", default="info")
     p.add_argument("--json", action="store_true")
@@ -51,14 +51,17 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("stratalint").getOrCreate()
-    config = replace(ScanConfig(), duplicate_lines=a.min_duplicate_lines, twin_ratio=a.twin_similarity)
+    config = replace(files.read_settings(a.config) if a.config else ScanConfig(), duplicate_lines=a.min_duplicate_lines, twin_ratio=a.twin_similarity)
     r, root = api.scan(spark, registry, config, excludes), files.workspace_root(cwd)
     if a.plan:
         print(report.plan_report(r, a.severity, a.top, root), end="")
     elif a.json:
-        print(report.json_report(r, a.severity, root))
+        for part in report.json_parts(r, a.severity, root):
+            print(part, end="")
+        print()
     else:
-        print(report.text_report(r, a.severity, root), end="")
+        for line in report.text_lines(r, a.severity, root):
+            print(line)
     code = report.exit_code(r)
     r.facts.unpersist()
     return code

@@ -44,6 +44,6 @@ class ScanConfig:
 EFFORT = {
     5.0: "import-cycle god-class", 4.0: "layer-violation transport-in-library god-module high-coupling", 3.0: "sync-async-duplication duplicate-function-body high-complexity deep-inheritance",
     2.5: "long-function potential-circular-import long-file", 2.0: "deep-nesting too-many-params scope-mutation",
-    1.5: "boolean-flag-params excessive-returns swallowed-exception global-mutable lazy-class orphan-interface", 1.0: "missing-return-type bare-except encapsulation-violation syntax-error message-chain excessive-decorators pass-through-method",
+    1.5: "boolean-flag-params excessive-returns swallowed-exception global-mutable lazy-class", 1.0: "missing-return-type bare-except encapsulation-violation syntax-error message-chain excessive-decorators pass-through-method",
     0.5: "missing-param-type untyped-dict unused-import star-import mutable-default todo-marker dead-code magic-number magic-string missing-else",
 }

@@ -12,7 +12,7 @@ import os
 import re
 import sys
 import warnings
-from collections import deque
+from collections import Counter, deque
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _LOOPS = (ast.For, ast.AsyncFor, ast.While)
@@ -351,7 +351,9 @@ def module_names(root: str, path: str) -> tuple[str, str, list[str]]:
 
 
 class _Shredder:
-    def __init__(self, source: str, lines: list[str]) -> None:
+    def __init__(self, source: str, wanted: frozenset[str] | None) -> None:
+        self.need = (lambda *names: True) if wanted is None else lambda *names: not wanted.isdisjoint(names)
+        self.statements_only = not self.need("used", "dicts", "compares", "privates")
         self.bytes = [x.encode("utf-8", "replace") for x in re.split(r"\r\n|\r|\n", source)]
         self.out: dict[str, list] = {k: [] for k in ("functions", "classes", "ifs", "handlers", "writes", "literals", "compares", "privates", "chains", "assigns", "twins", "dead")}
         self.used: set[str] = set()
@@ -367,7 +369,7 @@ class _Shredder:
             self.visit(x, None, None, True, True)
             if isinstance(x, ast.Assign):
                 self.out["assigns"] += [{"line": x.lineno, "name": t.id, "is_mutable": isinstance(x.value, _MUTABLE)} for t in x.targets if isinstance(t, ast.Name)]
-        for i, x in enumerate(tree.body):
+        for i, x in enumerate(tree.body if self.need("chains") else ()):
             queue = deque([x])
             while queue:  # nearer to the statement first
                 y = queue.popleft()
@@ -379,7 +381,7 @@ class _Shredder:
         by_name: dict[str, list[list[str]]] = {}
         for name, bases, _ in self.named:
             by_name.setdefault(name, []).append(bases)
-        for name, bases, row in self.named:
+        for name, bases, row in self.named if self.need("ancestors") else ():
             seen, queue = set(), deque(bases)
             while queue:
                 b = queue.popleft()
@@ -388,7 +390,20 @@ class _Shredder:
                     for more in by_name.get(b, []):
                         queue.extend(more)
             row["ancestors"] = len(seen)
-        self.twins()
+        self.mark()
+        if self.need("twins"):
+            self.twins()
+
+    def mark(self) -> None:
+        """What rules ask of a fact's place among its like, so that none compares each with all."""
+        seen: set[int] = set()
+        for w in self.out["writes"]:
+            w["first"] = not w["guarded"] and w["func"] not in seen
+            if w["first"]:
+                seen.add(w["func"])
+        times = Counter(c["value"] for c in self.out["compares"] if not c["excluded"])
+        for c in self.out["compares"]:
+            c["times"] = times[c["value"]]
 
     def twins(self) -> None:
         place, texts = 0, {}
@@ -427,7 +442,10 @@ class _Shredder:
         elif isinstance(x, ast.AnnAssign):
             self.dicts.update(_bare_dicts(x.annotation))
         elif isinstance(x, ast.If):
-            out["ifs"].append({"line": x.lineno, "n_body": len(x.body), "n_else": len(x.orelse), "last": _last_kind(x.body), "else_if": len(x.orelse) == 1 and isinstance(x.orelse[0], ast.If), "body_hash": _hash(x.body) if x.orelse else None, "else_hash": _hash(x.orelse) if x.orelse else None})
+            if self.need("ifs"):
+                hashed = bool(x.orelse) and self.need("else_hash")
+                else_if = len(x.orelse) == 1 and isinstance(x.orelse[0], ast.If)
+                out["ifs"].append({"line": x.lineno, "n_body": len(x.body), "n_else": len(x.orelse), "last": _last_kind(x.body), "else_if": else_if, "body_hash": _hash(x.body) if hashed else None, "else_hash": _hash(x.orelse) if hashed else None})
         elif isinstance(x, ast.ExceptHandler):
             silent = len(x.body) == 1 and (isinstance(x.body[0], ast.Pass) or isinstance(x.body[0], ast.Expr) and isinstance(x.body[0].value, ast.Constant) and x.body[0].value.value is ...)
             out["handlers"].append({"line": x.lineno, "type_name": None if x.type is None else x.type.id if isinstance(x.type, ast.Name) else "Exception", "silent": silent})
@@ -448,7 +466,8 @@ class _Shredder:
                 out["privates"].append({"line": x.lineno, "form": f.id, "attr": a[1].value, "allowed": self.own(a[0], cls, first)})
         inner = in_defs and isinstance(x, (*_DEFS, ast.ClassDef))
         for y in kids(x):
-            self.visit(y, cls, first, False, inner and isinstance(y, (*_DEFS, ast.ClassDef)))
+            if not (self.statements_only and isinstance(y, ast.expr)):
+                self.visit(y, cls, first, False, inner and isinstance(y, (*_DEFS, ast.ClassDef)))
 
     @staticmethod
     def own(base: ast.expr, cls: str | None, first: str | None) -> bool:
@@ -459,32 +478,47 @@ class _Shredder:
     def function(self, x: ast.FunctionDef, cls: str | None, top: bool) -> None:
         out, seq = self.out, len(self.out["functions"])
         self.scopes.setdefault(cls, {})[x.name] = x
+        get = lambda name, f: f(x) if self.need(name) else None
         out["functions"].append({
-            "seq": seq, "name": x.name, "class_name": cls, "line": x.lineno, "span": x.end_lineno - x.lineno + 1, "cc": complexity(x), "nesting": nesting(x), "nested_returns": nested_returns(x),
-            "has_return": x.returns is not None, "params": _params(x.args), "n_decorators": len(x.decorator_list), "trivial": _is_trivial(x.body), "body_hash": _hash(x.body), "target": _delegate(x), "top": top,
+            "seq": seq, "name": x.name, "class_name": cls, "line": x.lineno, "span": x.end_lineno - x.lineno + 1, "cc": get("cc", complexity), "nesting": get("nesting", nesting), "nested_returns": get("nested_returns", nested_returns),
+            "has_return": x.returns is not None, "params": _params(x.args) if self.need("params") else None, "n_decorators": len(x.decorator_list), "trivial": _is_trivial(x.body),
+            "body_hash": _hash(x.body) if self.need("body_hash") else None, "target": get("target", _delegate), "top": top,
         })
-        out["dead"] += _dead_lines(x)
-        out["writes"] += _outer_writes(x, seq)
-        if x.name != "__init__":
+        if self.need("dead"):
+            out["dead"] += _dead_lines(x)
+        if self.need("writes"):
+            out["writes"] += _outer_writes(x, seq)
+        if x.name != "__init__" and self.need("literals"):
             out["literals"] += _numbers(x, self.text)
 
     def klass(self, x: ast.ClassDef, top: bool, in_defs: bool) -> None:
         methods = [m for m in x.body if isinstance(m, _DEFS)]
-        attrs = {a.attr for m in methods for a in ast.walk(m) if isinstance(a, ast.Attribute) and isinstance(a.ctx, ast.Store) and isinstance(a.value, ast.Name) and a.value.id == "self"}
-        row = {"name": x.name, "line": x.lineno, "n_methods": len(methods), "n_attrs": len(attrs), "wmc": sum(map(complexity, methods)), "n_decorators": len(x.decorator_list), "exempt": _is_data_class(x), "top": top, "ancestors": 0}
+        attrs = {a.attr for m in (methods if self.need("n_attrs") else ()) for a in ast.walk(m) if isinstance(a, ast.Attribute) and isinstance(a.ctx, ast.Store) and isinstance(a.value, ast.Name) and a.value.id == "self"}
+        row = {"name": x.name, "line": x.lineno, "n_methods": len(methods), "n_attrs": len(attrs), "wmc": sum(map(complexity, methods)) if self.need("wmc") else None, "n_decorators": len(x.decorator_list), "exempt": _is_data_class(x), "top": top, "ancestors": 0}
         self.out["classes"].append(row)
         if in_defs:
             self.named.append((x.name, _bases(x), row))
 
 
-def shred(package: str, root: str, path: str, source: str | None) -> dict:
-    """The row of facts of a file. A file that doesn't parse has its lines and an error, and no other facts."""
+def unparsed(source: str | None) -> list[tuple[str, int, str]]:
+    """Name, line and canonical text of every function; nothing of a file that doesn't parse."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(source or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    return [(x.name, x.lineno, ast.unparse(x)) for x in ast.walk(tree) if isinstance(x, _DEFS)]
+
+
+def shred(package: str, root: str, path: str, source: str | None, wanted: frozenset[str] | None = None) -> dict:
+    """The row of facts of a file. A file that doesn't parse has its lines and an error, and no other facts. Of the families and fields, those not in `wanted` may stay empty."""
     source = source or ""
     lines = split_lines(source)
     module, of, parts = module_names(root, path)
     row = {
         "package": package, "root": root, "path": path, "rel_path": os.path.relpath(path, root), "module": module, "is_test": is_test_path(path), "is_init": os.path.basename(path) == "__init__.py",
-        "parts": parts, "n_lines": len(lines), "parse_error": None, "lines": lines,
+        "parts": parts, "n_lines": len(lines), "parse_error": None, "lines": lines if wanted is None or "lines" in wanted else [],
     }
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 8000))
@@ -492,12 +526,17 @@ def shred(package: str, root: str, path: str, source: str | None) -> dict:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(source)
-        s = _Shredder(source, lines)
+        s = _Shredder(source, wanted)
         s.run(tree)
-        imports, at_import = _imports(tree)
+        imports, at_import = _imports(tree) if s.need("imports", "edges", "chains") else ([], [])
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return row | {"parse_error": f"{type(e).__name__}: {e}"[:200]}
     finally:
         sys.setrecursionlimit(limit)
+    bound = {m["bound"]: m for m in imports}  # the last import of a name
+    for m in imports:
+        m["final"] = m["bound"] is not None and bound[m["bound"]] is m
+    for c in s.out["chains"]:
+        c["imported"] = c["root"] is not None and c["root"] in bound
     edges = sorted({t for m, level, names in at_import for t in _targets(of, m, level, names)})
     return row | s.out | {"imports": imports, "used": sorted(s.used), "dicts": sorted(s.dicts), "edges": edges}

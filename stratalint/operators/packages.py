@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from stratalint.functions.config import ScanConfig
 
+#: What the rules over graphs, bodies and twins need of the facts.
+GRAPH, BODIES, TWINS = frozenset(["imports", "edges"]), frozenset(["functions", "body_hash"]), frozenset(["functions", "twins"])
 COLUMNS = ["package", "path", "line", "severity", "rule", "message", "rule_no", "pos"]
 
 
@@ -34,14 +36,14 @@ def cycles_of(edges: list[tuple[str, str]]) -> list[list[str]]:
         if start in visited:
             continue
         visited.add(start)
-        path, todo = [start], [sorted(graph[start])]
+        path, on_path, todo = [start], {start}, [sorted(graph[start])]
         while todo:
             if not todo[-1]:
                 todo.pop()
-                path.pop()
+                on_path.discard(path.pop())
                 continue
             n = todo[-1].pop()
-            if n in path:
+            if n in on_path:
                 cycle = path[path.index(n) :]
                 if (key := frozenset(cycle)) not in seen:
                     seen.add(key)
@@ -49,6 +51,7 @@ def cycles_of(edges: list[tuple[str, str]]) -> list[list[str]]:
             elif n not in visited:
                 visited.add(n)
                 path.append(n)
+                on_path.add(n)
                 todo.append(sorted(graph.get(n, [])))
     return out
 

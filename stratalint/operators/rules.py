@@ -6,6 +6,8 @@ functions over the arrays of a row, so adding a rule adds no pass over the data.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,9 @@ def file_rules(c: ScanConfig) -> list[str]:
     public_classes = "size(filter(classes, k -> k.top and not k.exempt and not startswith(k.name, '_')))"
     public_functions = "size(filter(functions, k -> k.top and not startswith(k.name, '_')))"
     one = "array(named_struct('line', 1))"
-    last_import = "filter(transform(imports, (m, j) -> named_struct('name', m.bound, 'line', m.line, 'j', j)), m -> m.name is not null)"
-    final = f"filter({last_import}, m -> not exists({last_import}, o -> o.name = m.name and o.j > m.j))"
+    # bound once as a: of neighbours in a statement, the first
+    chained = f"filter(chains, h -> h.depth > {c.chain} and not h.imported)"
+    first_chain = f"flatten(transform(array({chained}), a -> filter(a, (h, j) -> j = 0 or a[j - 1].stmt <> h.stmt)))"
     todo = r"(?U)#.*\\b(TODO|FIXME|XXX|HACK)\\b"
     trim = r"regexp_replace(x.text, '(?U)^\\s+|\\s+$', '')"
     numbered = "transform(lines, (l, n) -> named_struct('text', l, 'line', n + 1))"
@@ -67,17 +70,17 @@ def file_rules(c: ScanConfig) -> list[str]:
         _rule(12, "functions", "exists(x.params, q -> q.default = 'mutable')", warn, "mutable-default", named("() has a mutable default argument")),
         _rule(13, "handlers", "x.type_name is null", warn, "bare-except", "'except without an exception type'"),
         _rule(14, "ifs", "x.n_else = 0 and x.n_body >= 2 and x.last not in ('return', 'raise', 'break', 'continue', 'if', 'call', 'loop', 'store')", info, "missing-else", "concat('if with ', x.n_body, ' statements has no else')"),
-        _rule(15, final, "not is_init and not array_contains(used, x.name)", warn, "unused-import", "concat(x.name, ' is imported and not used')"),
+        _rule(15, "filter(imports, m -> m.final)", "not is_init and not array_contains(used, x.bound)", warn, "unused-import", "concat(x.bound, ' is imported and not used')"),
         _rule(16, "handlers", "x.silent", warn, "swallowed-exception", "concat(coalesce(x.type_name, 'Exception'), ' is discarded silently')"),
         _rule(17, "imports", "x.kind = 'from' and x.name = '*'", warn, "star-import", "concat('star import from ', coalesce(x.module, ''))"),
         _rule(18, "assigns", "x.is_mutable and not startswith(x.name, '_')", info, "global-mutable", "concat('module-level ', x.name, ' is mutable')"),
-        _rule(19, "filter(transform(writes, (w, j) -> named_struct('w', w, 'j', j)), a -> not a.w.guarded and not exists(transform(writes, (w, j) -> named_struct('w', w, 'j', j)), b -> b.w.func = a.w.func and not b.w.guarded and b.j < a.j))", "true", info, "scope-mutation", "concat(x.w.name, '() assigns outer variable ', x.w.target, ' (', x.w.via, ')')", "x.w.line"),
+        _rule(19, "writes", "x.first", info, "scope-mutation", "concat(x.name, '() assigns outer variable ', x.target, ' (', x.via, ')')"),
         _rule(20, "dead", "true", warn, "dead-code", "'unreachable statement'", "x"),
         _rule(21, "functions", f"x.n_decorators > {c.decorators}", info, "excessive-decorators", f"concat(x.name, '() has ', x.n_decorators, ' decorators (max {c.decorators})')"),
         _rule(21, "classes", f"x.n_decorators > {c.decorators}", info, "excessive-decorators", f"concat('class ', x.name, ' has ', x.n_decorators, ' decorators (max {c.decorators})')"),
         _rule(22, "classes", f"not x.exempt and x.n_methods < {c.min_methods}", info, "lazy-class", "concat('class ', x.name, ' has ', x.n_methods, ' method(s)')"),
         f"if(size(array_distinct(transform(filter(literals, x -> {number}), x -> x.display))) >= {c.dense_numbers}, cast(array() as array<{ISSUE}>), {_rule(23, 'literals', number, info, 'magic-number', unnamed)})",
-        _rule(24, "filter(compares, m -> not m.excluded)", "not is_test and size(filter(compares, o -> not o.excluded and o.value = x.value)) >= 2", info, "magic-string", "concat('string ', x.value, ' is compared ', size(filter(compares, o -> not o.excluded and o.value = x.value)), ' times')"),
+        _rule(24, "filter(compares, m -> not m.excluded)", "not is_test and x.times >= 2", info, "magic-string", "concat('string ', x.value, ' is compared ', x.times, ' times')"),
         _rule(25, "dicts", "true", info, "untyped-dict", "'dict annotation without key and value types'", "x"),
         _rule(26, "ifs", "x.n_else > 0 and not x.else_if and x.body_hash = x.else_hash", warn, "duplicate-branch", "'both branches of the if are the same'"),
         _rule(27, "privates", "not x.allowed", info, "encapsulation-violation", "if(x.form = 'attribute', concat('reads private .', x.attr, ' of another object'), concat(x.form, '() reaches private ', x.attr))"),
@@ -85,7 +88,7 @@ def file_rules(c: ScanConfig) -> list[str]:
         _rule(30, one, f"{public_classes} + {public_functions} > {c.public_symbols}", warn, "god-module", f"concat('module has ', {public_classes} + {public_functions}, ' public symbols (', {public_classes}, ' classes, ', {public_functions}, ' functions)')"),
         _rule(31, "classes", f"x.ancestors >= {c.inheritance}", warn, "deep-inheritance", f"concat('class ', x.name, ' has ', x.ancestors, ' ancestors (max {c.inheritance})')"),
         _rule(32, "functions", "x.target is not null and not (startswith(x.name, '__') and endswith(x.name, '__'))", info, "pass-through-method", "concat(x.name, '() only calls ', x.target, '()')"),
-        _rule(33, f"filter(transform(chains, (h, j) -> named_struct('h', h, 'j', j)), a -> {_chain('a', c)} and not exists(transform(chains, (h, j) -> named_struct('h', h, 'j', j)), b -> b.h.stmt = a.h.stmt and {_chain('b', c)} and b.j < a.j))", "true", info, "message-chain", f"concat('attribute chain of depth ', x.h.depth, ' (max {c.chain})')", "x.h.line"),
+        _rule(33, first_chain, "true", info, "message-chain", f"concat('attribute chain of depth ', x.depth, ' (max {c.chain})')"),
         _rule(35, "imports", "x.kind = 'from' and x.alias = 0 and x.top and x.module is not null and size(split(x.module, '[.]')) < size(parts) and slice(parts, 1, size(split(x.module, '[.]'))) = split(x.module, '[.]')", warn, "potential-circular-import", "concat('imports its parent package ', x.module)"),
     ]
     if c.libraries:
@@ -99,13 +102,17 @@ def file_rules(c: ScanConfig) -> list[str]:
     return out
 
 
-def _chain(v: str, c: ScanConfig) -> str:
-    return f"{v}.h.depth > {c.chain} and not coalesce(exists(imports, m -> m.bound = {v}.h.root), false)"
+def _chosen(config: ScanConfig, only: frozenset[str]) -> list[str]:
+    return [r for r in file_rules(config) if not only or any(f"'rule', '{name}'" in r for name in only)]
+
+
+def needs(config: ScanConfig, only: frozenset[str]) -> frozenset[str]:
+    """The families and fields that some rules read, for shredding no others: the words of their SQL."""
+    return frozenset(w for r in _chosen(config, only) for w in re.findall(r"\w+", r))
 
 
 def file_issues(facts: DataFrame, config: ScanConfig, only: frozenset[str] = frozenset()) -> DataFrame:
     """package, path, and the columns of an issue; one row for each issue of the per-file rules, or of some of them."""
     empty = f"cast(array() as array<{ISSUE}>)"
-    chosen = [r for r in file_rules(config) if not only or any(f"'rule', '{name}'" in r for name in only)]
-    every = "flatten(array(" + ", ".join(f"coalesce({r}, {empty})" for r in chosen) + "))"
+    every = "flatten(array(" + ", ".join(f"coalesce({r}, {empty})" for r in _chosen(config, only)) + "))"
     return facts.select("package", "path", F.explode(F.expr(every)).alias("issue")).select("package", "path", "issue.*")

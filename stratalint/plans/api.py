@@ -25,8 +25,8 @@ from stratalint.sources.files import read_packages
 _BATCH = 1 << 20
 
 
-def shred_sources(sources: DataFrame) -> DataFrame:
-    """The facts of package, root, path, source; a row for each file."""
+def shred_sources(sources: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
+    """The facts of package, root, path, source; a row for each file. wanted: the families and fields that are needed; others may be left empty."""
     schema = to_arrow_schema(T.StructType.fromDDL(FACTS))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +35,7 @@ def shred_sources(sources: DataFrame) -> DataFrame:
         rows, size = [], 0
         for b in it:
             for package, root, path, source in zip(*(b.column(c).to_pylist() for c in ("package", "root", "path", "source"))):
-                rows.append(shred(package, root, path, source))
+                rows.append(shred(package, root, path, source, wanted))
                 size += len(source or "")
                 if size > _BATCH:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -46,14 +46,34 @@ def shred_sources(sources: DataFrame) -> DataFrame:
     return sources.select("package", "root", "path", "source").mapInArrow(run, FACTS)
 
 
+def unparse_functions(sources: DataFrame) -> DataFrame:
+    """path, name, line, text: every function's canonical text."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from stratalint.functions.shred import unparsed
+
+        for b in it:
+            rows = [(path, *x) for path, source in zip(b.column("path").to_pylist(), b.column("source").to_pylist()) for x in unparsed(source)]
+            cols = zip(*rows) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string()))], names=["path", "name", "line", "text"])
+
+    return sources.select("path", "source").mapInArrow(run, "path string, name string, line int, text string")
+
+
 @dataclass
 class ScanResult:
-    """all: every issue with suppressed and reason; stats: one row of n_files, n_lines, n_functions."""
+    """all: every issue with suppressed and reason; stats: one row of n_files, n_lines, n_functions. In a with block, the facts are given up at its end."""
 
     all: DataFrame
     stats: DataFrame
     facts: DataFrame
 
+    def __enter__(self) -> ScanResult:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.facts.unpersist()
+
     @property
     def issues(self) -> DataFrame:
         return self.all.filter(~F.col("suppressed")).drop("suppressed", "reason")

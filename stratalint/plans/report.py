@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 
 from stratalint.plans import score
 from stratalint.plans.api import ScanResult, in_scan_order
@@ -16,23 +19,48 @@ def shown(path: str, root: str | None) -> str:
     return os.path.relpath(path, root) if root and path.startswith(root.rstrip("/") + "/") else path
 
 
-def text_report(r: ScanResult, severity: str = "info", root: str | None = None) -> str:
+def text_lines(r: ScanResult, severity: str = "info", root: str | None = None) -> Iterator[str]:
+    """The report line by line; findings stream from the cluster, a partition at a time."""
     n = {x["severity"]: x["n"] for x in r.counts().collect()}
-    ignored = r.ignored.orderBy("path", "line", "rule", "pos").collect()
     stats, health = r.stats.first(), r.health().first()
-    out = ["=" * WIDTH, f"{stats['n_files']} files, {stats['n_functions']} functions, {stats['n_lines']} lines", ", ".join(f"{n.get(s, 0)} {s}" for s in ("error", "warning", "info"))]
-    out += [f"{len(ignored)} suppressed", HINT, f"health {health['score']:.1f} ({health['grade']})", "=" * WIDTH]
-    out += [f"ignored {shown(x['path'], root)}:{x['line']} {x['rule']}" + (f": {x['reason']}" if x["reason"] else "") for x in ignored]
-    out += [f"{shown(x['path'], root)}:{x['line']}: {x['severity']} [{x['rule']}] {x['message']} ({x['package']})" for x in in_scan_order(r.at_least(severity)).toLocalIterator()]
-    return "\n".join(out) + "\n"
+    yield "=" * WIDTH
+    yield f"{stats['n_files']} files, {stats['n_functions']} functions, {stats['n_lines']} lines"
+    yield ", ".join(f"{n.get(s, 0)} {s}" for s in ("error", "warning", "info"))
+    yield f"{r.ignored.count()} suppressed"
+    yield HINT
+    yield f"health {health['score']:.1f} ({health['grade']})"
+    yield "=" * WIDTH
+    for x in r.ignored.orderBy("path", "line", "rule", "pos").toLocalIterator():
+        yield f"ignored {shown(x['path'], root)}:{x['line']} {x['rule']}" + (f": {x['reason']}" if x["reason"] else "")
+    for x in in_scan_order(r.at_least(severity)).toLocalIterator():
+        yield f"{shown(x['path'], root)}:{x['line']}: {x['severity']} [{x['rule']}] {x['message']} ({x['package']})"
 
 
-def json_report(r: ScanResult, severity: str = "info", root: str | None = None) -> str:
-    """issues are filtered by severity, ignored ones aren't."""
+def text_report(r: ScanResult, severity: str = "info", root: str | None = None) -> str:
+    return "\n".join(text_lines(r, severity, root)) + "\n"
+
+
+def json_parts(r: ScanResult, severity: str = "info", root: str | None = None) -> Iterator[str]:
+    """The report in parts; issues are filtered by severity, ignored ones aren't."""
     keys = ["line", "severity", "rule", "message", "package"]
-    issues = [{"file": shown(x["path"], root)} | {k: x[k] for k in keys} for x in in_scan_order(r.at_least(severity)).toLocalIterator()]
-    ignored = [{"file": shown(x["path"], root)} | {k: x[k] for k in [*keys, "reason"]} for x in in_scan_order(r.ignored).toLocalIterator()]
-    return json.dumps({"issues": issues, "suppressed": len(ignored), "suppression_help": HINT, "ignored": ignored}, indent=2, ensure_ascii=False)
+
+    def rows(df: DataFrame, more: list[str]) -> Iterator[str]:
+        before = "\n    "
+        for x in in_scan_order(df).toLocalIterator():
+            text = json.dumps({"file": shown(x["path"], root)} | {k: x[k] for k in [*keys, *more]}, indent=2, ensure_ascii=False)
+            yield before + text.replace("\n", "\n    ")
+            before = ",\n    "
+        yield "" if before == "\n    " else "\n  "
+
+    yield '{\n  "issues": ['
+    yield from rows(r.at_least(severity), [])
+    yield f'],\n  "suppressed": {r.ignored.count()},\n  "suppression_help": {json.dumps(HINT, ensure_ascii=False)},\n  "ignored": ['
+    yield from rows(r.ignored, ["reason"])
+    yield "]\n}"
+
+
+def json_report(r: ScanResult, severity: str = "info", root: str | None = None) -> str:
+    return "".join(json_parts(r, severity, root))
 
 
 def plan_report(r: ScanResult, severity: str = "info", top: int = 5, root: str | None = None) -> str:

@@ -28,6 +28,11 @@ def effort(rule: Column) -> Column:
     return out
 
 
+def issue_score(severity: Column, rule: Column) -> Column:
+    """The priority score of a finding: its severity's weight times its rule's effort."""
+    return F.bround(weight(severity) * effort(rule), 6)
+
+
 def effort_label(e: Column) -> Column:
     return F.when(e >= 4, "major").when(e >= 2.5, "moderate").when(e >= 1, "minor").otherwise("trivial")
 
@@ -52,8 +57,7 @@ def remediation(issues: DataFrame) -> DataFrame:
     """priority, rule, severity, effort, n_files, first_file, n_issues, description, score; a row for each rule, best first."""
     first = F.struct(rank(F.col("severity")).alias("r"), "severity")
     g = issues.groupBy("rule").agg(F.max(first)["severity"].alias("severity"), F.countDistinct("path").alias("n_files"), F.min("path").alias("first_file"), F.count("*").alias("n_issues"), F.min_by("message", F.struct("package", "path", "line", "pos")).alias("description"))
-    e = effort(F.col("rule"))
-    g = g.withColumn("score", F.bround(weight(F.col("severity")) * e, 6)).withColumn("effort", effort_label(e)).withColumn("priority", priority(F.col("score")))
+    g = g.withColumn("score", issue_score(F.col("severity"), F.col("rule"))).withColumn("effort", effort_label(effort(F.col("rule")))).withColumn("priority", priority(F.col("score")))
     return g.orderBy(F.desc("score"), F.desc("n_issues"), "rule")
 
 

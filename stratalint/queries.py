@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalint.functions.config import ScanConfig
 from stratalint.operators import packages, rules, suppress
 from stratalint.plans import api, score
+from stratalint.tree_queries import QUERIES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +89,7 @@ FILE_RULES: dict[str, tuple[str, str, str]] = {
 
 def _file_rule(rule: str, source: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        facts = api.shred_sources(_modules(_table(spark, sf_dir, "part"), source))
+        facts = api.shred_sources(_modules(_table(spark, sf_dir, "part"), source), rules.needs(_CONFIG, frozenset([rule])))
         return rules.file_issues(facts, _CONFIG, frozenset([rule])).select("path", "line", "severity")
 
     return run
@@ -96,7 +98,7 @@ def _file_rule(rule: str, source: str) -> Callable[[SparkSession, str], DataFram
 def duplicate_function_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies by brand, packages by type."""
     source = r"concat('def f', p_partkey, '():\n    a = \'', p_brand, '\'\n    b = 1\n    c = 2\n    return a\n')"
-    facts = api.shred_sources(_modules(_table(spark, sf_dir, "part"), source, package="p_type"))
+    facts = api.shred_sources(_modules(_table(spark, sf_dir, "part"), source, package="p_type"), packages.BODIES)
     return packages.duplicate_functions(facts, _CONFIG).select("package", "path", "line")
 
 
@@ -105,7 +107,7 @@ _DUPLICATES = f"SELECT p_type AS package, min({_PATH}) AS path, CAST(1 AS INTEGE
 
 def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = r"concat('def f', p_partkey, '():\n    a = \'', p_brand, '\'\n    b = 1\n    c = 2\n    return a\n')"
-    facts = api.shred_sources(_modules(_table(spark, sf_dir, "part"), source, package="p_type"))
+    facts = api.shred_sources(_modules(_table(spark, sf_dir, "part"), source, package="p_type"), packages.BODIES)
     return packages.duplicate_members(facts, _CONFIG).select("package", "path", "line", "name")
 
 
@@ -116,7 +118,7 @@ def sync_async_duplication(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function and its asynchronous twin, of the same body, in a package of their own."""
     body = r"repeat('    x = x + 1\n', p_size % 6 + 1)"
     source = rf"concat('def load(x):\n', {body}, 'async def aload(x):\n', {body})"
-    facts = api.shred_sources(_modules(_table(spark, sf_dir, "part"), source, package="concat('g', p_partkey)"))
+    facts = api.shred_sources(_modules(_table(spark, sf_dir, "part"), source, package="concat('g', p_partkey)"), packages.TWINS)
     return packages.twins(facts, _CONFIG).select("package", "path", "line", "severity")
 
 
@@ -124,41 +126,41 @@ _TWINS = f"SELECT 'g' || p_partkey AS package, {_PATH} AS path, CAST(1 AS INTEGE
 
 
 def _ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A region's nations import each other in a ring; module nN of package gR."""
-    n = _table(spark, sf_dir, "nation").alias("a")
-    pairs = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("keys"))  # 25 rows in all
-    x = n.join(pairs, "n_regionkey").withColumn("at", F.expr("array_position(keys, n_nationkey)"))
-    nxt = "element_at(keys, cast(at % size(keys) as int) + 1)"
-    return _modules(x, rf"concat('import g', n_regionkey, '.n', {nxt}, '\n')", "concat('/w/g', n_regionkey, '/n', n_nationkey, '.py')", "concat('g', n_regionkey)", "concat('/w/g', n_regionkey)")
+    """A nation's suppliers import each other in a ring; module sN of package gM."""
+    at = W.partitionBy("s_nationkey").orderBy("s_suppkey")
+    nxt = F.coalesce(F.lead("s_suppkey").over(at), F.min("s_suppkey").over(W.partitionBy("s_nationkey")))
+    x = _table(spark, sf_dir, "supplier").withColumn("next", nxt)
+    return _modules(x, r"concat('import g', s_nationkey, '.s', next, '\n')", "concat('/w/g', s_nationkey, '/s', s_suppkey, '.py')", "concat('g', s_nationkey)", "concat('/w/g', s_nationkey)")
+
+
+_NATIONS = ScanConfig(stems={f"g{i}": f"g{i}" for i in range(25)})
 
 
 def import_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = ScanConfig(stems={f"g{i}": f"g{i}" for i in range(10)})
-    return packages.import_cycles(api.shred_sources(_ring(spark, sf_dir)), config).select("package", "path", "line", "severity")
+    facts = api.shred_sources(_ring(spark, sf_dir), packages.GRAPH)
+    return packages.import_cycles(facts, _NATIONS).select("package", "path", "line", "severity")
 
 
-_CYCLES = "SELECT 'g' || n_regionkey AS package, '/w/g' || n_regionkey || '/n' || arg_min(n_nationkey, 'g' || n_regionkey || '.n' || n_nationkey) || '.py' AS path, CAST(1 AS INTEGER) AS line, 'error' AS severity FROM nation GROUP BY n_regionkey"
+_CYCLES = "SELECT 'g' || s_nationkey AS package, '/w/g' || s_nationkey || '/s' || arg_min(s_suppkey, 's' || s_suppkey) || '.py' AS path, CAST(1 AS INTEGER) AS line, 'error' AS severity FROM supplier GROUP BY s_nationkey"
 
 
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = ScanConfig(stems={f"g{i}": f"g{i}" for i in range(10)})
-    return packages.import_edges(api.shred_sources(_ring(spark, sf_dir)), config)
+    return packages.import_edges(api.shred_sources(_ring(spark, sf_dir), packages.GRAPH), _NATIONS)
 
 
-_EDGES = """SELECT 'g' || n_regionkey AS package, 'g' || n_regionkey || '.n' || n_nationkey AS src,
-'g' || n_regionkey || '.n' || coalesce(lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), min(n_nationkey) OVER (PARTITION BY n_regionkey)) AS dst FROM nation"""
+_EDGES = """SELECT 'g' || s_nationkey AS package, 'g' || s_nationkey || '.s' || s_suppkey AS src,
+'g' || s_nationkey || '.s' || coalesce(lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey), min(s_suppkey) OVER (PARTITION BY s_nationkey)) AS dst FROM supplier"""
 
 
 def high_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers modulo 40 are modules that import the buckets of the parts that they sell, modulo 40."""
-    li = _table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("s"), (F.col("l_partkey") % 40).alias("p")).filter("(s * 7 + p) % 3 < s % 4").distinct()
-    g = li.groupBy("s").agg(F.array_sort(F.collect_list("p")).alias("ps"))  # 40 groups of at most 40
-    facts = api.shred_sources(_modules(g, r"concat_ws('', transform(ps, p -> concat('import g.m', p, '\n')))", "concat('/w/g/m', s, '.py')"))
+    """Every key is a module; that of a supplier imports the modules of the parts that it sells."""
+    sold = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    g = sold.groupBy("l_suppkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("keys"))  # a supplier's parts: a file's imports
+    facts = api.shred_sources(_modules(g, r"concat_ws('', transform(keys, p -> concat('import g.m', p, '\n')))", "concat('/w/g/m', l_suppkey, '.py')"), packages.GRAPH)
     return packages.high_coupling(facts, ScanConfig(stems={"g": "g"})).select("path", "line", "severity")
 
 
-_COUPLING = """WITH e AS (SELECT DISTINCT l_suppkey % 40 AS s, l_partkey % 40 AS p FROM lineitem WHERE ((l_suppkey % 40) * 7 + l_partkey % 40) % 3 < (l_suppkey % 40) % 4),
-o AS (SELECT s AS m, count(*) AS n FROM e GROUP BY 1), i AS (SELECT p AS m, count(*) AS n FROM e GROUP BY 1)
+_COUPLING = """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), o AS (SELECT s AS m, count(*) AS n FROM e GROUP BY 1), i AS (SELECT p AS m, count(*) AS n FROM e GROUP BY 1)
 SELECT '/w/g/m' || o.m || '.py' AS path, CAST(1 AS INTEGER) AS line, 'warning' AS severity FROM o JOIN i USING (m) WHERE o.n > 8 AND i.n > 8"""
 
 _MARKED = r"""concat('try:\n    x = 1\n', if(p_size % 4 = 1, '# lint-ignore[bare-except]: known\n', ''), 'except:', element_at(array('', '', '  # lint-ignore', '  # lint-ignore[other]'), p_size % 4 + 1), '\n    raise\n')"""
@@ -175,13 +177,23 @@ _SUPPRESSION = f"SELECT {_PATH} AS path, CAST(CASE WHEN p_size % 4 = 1 THEN 4 EL
 _MIXED = r"""concat('def f(x: int) -> int:\n', repeat('    if x:\n        x = 1\n', p_size), '    return x\n', if(p_size % 3 = 0, 'g = []\n', ''), if(p_size % 2 = 0, 'from m import *\n', ''))"""
 
 
+_last: list[api.ScanResult] = []
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> api.ScanResult:
-    return api.scan_sources(_modules(_table(spark, sf_dir, "part"), _MIXED, package="p_type"), ScanConfig(duplicate_lines=10_000))
+    """A scan with all limits at their defaults, repeated bodies included. Its facts are given up when the next one begins."""
+    while _last:
+        _last.pop().facts.unpersist()
+    _last.append(api.scan_sources(_modules(_table(spark, sf_dir, "part"), _MIXED, package="p_type")))
+    return _last[-1]
 
 
-_MIXED_SQL = f"""WITH i AS (SELECT {_PATH} AS path, 'high-complexity' AS rule, CASE WHEN p_size + 1 > 15 THEN 'error' ELSE 'warning' END AS severity FROM part WHERE p_size + 1 > 10
-UNION ALL SELECT {_PATH}, 'global-mutable', 'info' FROM part WHERE p_size % 3 = 0 UNION ALL SELECT {_PATH}, 'star-import', 'warning' FROM part WHERE p_size % 2 = 0
-UNION ALL SELECT {_PATH}, 'long-function', 'warning' FROM part WHERE false), w AS (SELECT *, CASE severity WHEN 'error' THEN 6.0 WHEN 'warning' THEN 1.5 ELSE 0.3 END AS weight FROM i)
+# a body is the same within a type and size, and its function has 2 * p_size + 2 lines
+_MIXED_SQL = f"""WITH i AS (SELECT p_type AS package, {_PATH} AS path, 1 AS line, CASE WHEN p_size + 1 > 15 THEN 'error' ELSE 'warning' END AS severity, 'high-complexity' AS rule FROM part WHERE p_size + 1 > 10
+UNION ALL SELECT p_type, {_PATH}, 2 * p_size + 3, 'info', 'global-mutable' FROM part WHERE p_size % 3 = 0
+UNION ALL SELECT p_type, {_PATH}, 2 * p_size + 3 + (p_size % 3 = 0)::INT, 'warning', 'star-import' FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT p_type, min({_PATH}), 1, 'warning', 'duplicate-function-body' FROM part WHERE 2 * p_size + 2 >= 5 GROUP BY p_type, p_size HAVING count(*) > 1),
+w AS (SELECT *, CASE severity WHEN 'error' THEN 6.0 WHEN 'warning' THEN 1.5 ELSE 0.3 END AS weight FROM i)
 """
 
 
@@ -218,47 +230,21 @@ _LINES_SQL = "2 * p_size + 2 + (p_size % 3 = 0)::INT + (p_size % 2 = 0)::INT"
 _PLAN_SQL = (
     _MIXED_SQL
     + """, g AS (SELECT rule, max(weight) AS weight, count(DISTINCT path) AS n_files, min(path) AS first_file, count(*) AS n_issues FROM w GROUP BY rule),
-e AS (SELECT *, CASE weight WHEN 6.0 THEN 'error' WHEN 1.5 THEN 'warning' ELSE 'info' END AS severity, CASE rule WHEN 'high-complexity' THEN 3.0 WHEN 'global-mutable' THEN 1.5 ELSE 0.5 END AS cost FROM g),
+e AS (SELECT *, CASE weight WHEN 6.0 THEN 'error' WHEN 1.5 THEN 'warning' ELSE 'info' END AS severity, CASE rule WHEN 'high-complexity' THEN 3.0 WHEN 'duplicate-function-body' THEN 3.0 WHEN 'global-mutable' THEN 1.5 ELSE 0.5 END AS cost FROM g),
 plan AS (SELECT CASE WHEN weight * cost >= 12 THEN 'P0' WHEN weight * cost >= 7 THEN 'P1' WHEN weight * cost >= 3 THEN 'P2' ELSE 'P3' END AS priority, rule, severity,
 CASE WHEN cost >= 4 THEN 'major' WHEN cost >= 2.5 THEN 'moderate' WHEN cost >= 1 THEN 'minor' ELSE 'trivial' END AS effort, n_files, first_file, n_issues, CAST(weight * cost AS DOUBLE) AS score FROM e)
 """
 )
 
 
-def _whole(spark: SparkSession, sf_dir: str) -> api.ScanResult:
-    """The scan of the same modules with all limits at their defaults, so that repeated bodies count."""
-    return api.scan_sources(_modules(_table(spark, sf_dir, "part"), _MIXED, package="p_type"))
-
-
 def whole_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole(spark, sf_dir).issues.select("package", "path", "line", "severity", "rule")
-
-
-def whole_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole(spark, sf_dir).health().select(F.bround("score", 6).alias("score"), "grade")
-
-
-def whole_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.remediation(_whole(spark, sf_dir).issues).select("priority", "rule", "severity", "effort", "n_files", "first_file", "n_issues", "score")
-
-
-# a body is the same within a type and size, and its function has 2 * p_size + 2 lines
-_WHOLE_SQL = f"""WITH i AS (SELECT p_type AS package, {_PATH} AS path, 1 AS line, CASE WHEN p_size + 1 > 15 THEN 'error' ELSE 'warning' END AS severity, 'high-complexity' AS rule FROM part WHERE p_size + 1 > 10
-UNION ALL SELECT p_type, {_PATH}, 2 * p_size + 3, 'info', 'global-mutable' FROM part WHERE p_size % 3 = 0
-UNION ALL SELECT p_type, {_PATH}, 2 * p_size + 3 + (p_size % 3 = 0)::INT, 'warning', 'star-import' FROM part WHERE p_size % 2 = 0
-UNION ALL SELECT p_type, min({_PATH}), 1, 'warning', 'duplicate-function-body' FROM part WHERE 2 * p_size + 2 >= 5 GROUP BY p_type, p_size HAVING count(*) > 1),
-w AS (SELECT *, CASE severity WHEN 'error' THEN 6.0 WHEN 'warning' THEN 1.5 ELSE 0.3 END AS weight FROM i)
-"""
-_WHOLE_PLAN = """, g AS (SELECT rule, max(weight) AS weight, count(DISTINCT path) AS n_files, min(path) AS first_file, count(*) AS n_issues FROM w GROUP BY rule),
-e AS (SELECT *, CASE weight WHEN 6.0 THEN 'error' WHEN 1.5 THEN 'warning' ELSE 'info' END AS severity, CASE rule WHEN 'high-complexity' THEN 3.0 WHEN 'duplicate-function-body' THEN 3.0 WHEN 'global-mutable' THEN 1.5 ELSE 0.5 END AS cost FROM g)
-SELECT CASE WHEN weight * cost >= 12 THEN 'P0' WHEN weight * cost >= 7 THEN 'P1' WHEN weight * cost >= 3 THEN 'P2' ELSE 'P3' END AS priority, rule, severity,
-CASE WHEN cost >= 4 THEN 'major' WHEN cost >= 2.5 THEN 'moderate' WHEN cost >= 1 THEN 'minor' ELSE 'trivial' END AS effort, n_files, first_file, n_issues, CAST(weight * cost AS DOUBLE) AS score FROM e"""
+    return _mixed(spark, sf_dir).issues.select("package", "path", "line", "severity", "rule")
 
 
 def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of their source's package: files, lines and how many don't parse."""
+    """Documents as files of their source's package: files and lines."""
     d = _table(spark, sf_dir, "documents").select(F.col("source").alias("package"), F.lit("/d").alias("root"), F.concat(F.lit("/d/"), "doc_id", F.lit(".py")).alias("path"), F.coalesce("text", F.lit("")).alias("source"))
-    f = api.shred_sources(d)
+    f = api.shred_sources(d, frozenset())
     return f.groupBy("package").agg(F.count("*").alias("n_files"), F.sum("n_lines").alias("n_lines"))
 
 
@@ -284,16 +270,14 @@ _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "top_steps": (top_steps, _PLAN_SQL + "SELECT rule, score FROM plan ORDER BY score DESC, n_issues DESC, rule LIMIT 2"),
     "priority_breakdown": (priority_breakdown, _PLAN_SQL + "SELECT priority, count(*) AS n_rules FROM plan GROUP BY priority"),
     "plan_files": (plan_files, _MIXED_SQL + "SELECT rule, path, count(*) AS n FROM w GROUP BY rule, path"),
-    "whole_scan": (whole_scan, _WHOLE_SQL + "SELECT package, path, CAST(line AS INTEGER) AS line, severity, rule FROM i"),
-    "whole_score": (whole_score, _WHOLE_SQL + f", s AS (SELECT greatest(0.0, 100 - sum(weight) / ((SELECT sum({_LINES_SQL}) FROM part) / 1000.0)) AS x FROM w) SELECT CAST(round(x, 6) AS DOUBLE) AS score, CASE WHEN x >= 90 THEN 'A' WHEN x >= 75 THEN 'B' WHEN x >= 60 THEN 'C' WHEN x >= 40 THEN 'D' ELSE 'F' END AS grade FROM s"),
-    "whole_plan": (whole_plan, _WHOLE_SQL + _WHOLE_PLAN),
+    "whole_scan": (whole_scan, _MIXED_SQL + "SELECT package, path, CAST(line AS INTEGER) AS line, severity, rule FROM i"),
     "scan_counters": (scan_counters, _COUNTERS), "function_metrics": (function_metrics, _METRICS),
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _file_rule(rule, source) for name, (rule, source, _) in FILE_RULES.items()} | {name: f for name, (f, _) in _OTHERS.items()}
+    return {name: _file_rule(rule, source) for name, (rule, source, _) in FILE_RULES.items()} | {name: f for name, (f, _) in (_OTHERS | QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, _, sql) in FILE_RULES.items()} | {name: sql for name, (_, sql) in _OTHERS.items()}
+    return {name: sql for name, (_, _, sql) in FILE_RULES.items()} | {name: sql for name, (_, sql) in (_OTHERS | QUERIES).items()}

@@ -1,20 +1,27 @@
 """Sources: registries of packages, and a DataSource that reads their Python files.
 
 Spark's own file sources skip names that start with an underscore or a dot, so `__init__.py` among them; this one reads
-every file of a tree. One input partition holds a batch of paths; the walk prunes before any file is opened.
+every file of a tree. The driver lists the upper directories; an input partition is a batch of their files, or a directory
+below, which its task walks. The walk prunes before any file is opened.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import tomllib
 from collections.abc import Iterator
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from stratalint.functions.config import ScanConfig
 from stratalint.functions.schema import SOURCE
 
+#: Directories that a driver lists before it leaves them to tasks, and levels of them.
+SPREAD, DEPTH = 256, 6
+
 #: Directories that aren't packages of their own.
 NOISE = frozenset("build dist node_modules site-packages __pycache__".split())
 #: Parts of paths that a bare scan of a working directory leaves out.
@@ -40,31 +47,82 @@ def discover(cwd: str) -> dict[str, tuple[str, bool]]:
     return dict(sorted(out.items()))
 
 
+def _scalar(x: str) -> str:
+    x = x.strip()
+    return x[1:-1] if len(x) > 1 and x[0] == x[-1] and x[0] in "'\"" else x
+
+
+def _inline(x: str) -> str | list | dict:
+    """A value on one line: a scalar, [a, b] or {a: b}."""
+    x = x.strip()
+    if x[:1] == "[" and x[-1:] == "]":
+        return [_scalar(v) for v in x[1:-1].split(",") if v.strip()]
+    if x[:1] == "{" and x[-1:] == "}":
+        return dict(_pair(v) for v in x[1:-1].split(",") if v.strip())
+    return _scalar(x)
+
+
+def _pair(line: str) -> tuple[str, str]:
+    k, sep, v = line.strip().partition(":")
+    if not sep:
+        raise ValueError(f"not a pair: {line.strip()}")
+    return _scalar(k), _scalar(v)
+
+
+def _block(lines: list[tuple[int, str]], i: int) -> tuple[dict | list, int]:
+    """The mapping or list whose first line is i, and the line after it."""
+    indent, items, out = lines[i][0], [], {}
+    while i < len(lines) and lines[i][0] == indent:
+        line = lines[i][1]
+        i += 1
+        if line.startswith("- "):
+            items.append(_scalar(line[2:]))
+            continue
+        k, sep, v = line.partition(":")
+        if not sep:
+            raise ValueError(f"not a pair: {line}")
+        if v.strip():
+            out[_scalar(k)] = _inline(v)
+        elif i < len(lines) and lines[i][0] > indent:
+            out[_scalar(k)], i = _block(lines, i)
+        else:
+            out[_scalar(k)] = None
+    if i < len(lines) and lines[i][0] > indent:
+        raise ValueError(f"unexpected indent: {lines[i][1]}")
+    return items or out, i
+
+
+def read_yaml(path: str) -> dict:
+    """The subset of YAML that registries need: nested mappings, lists of scalars, and both inline."""
+    with open(path, encoding="utf-8") as f:
+        rows = [x.split(" #")[0].rstrip() for x in f]
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in rows if x.strip() and not x.lstrip().startswith("#") and x.strip() != "---"]
+    out, i = {}, 0
+    while i < len(lines):
+        block, i = _block(lines, i)
+        if not isinstance(block, dict):
+            raise ValueError(f"{path} isn't a mapping")
+        out |= block
+    return out
+
+
 def read_registry(path: str) -> dict[str, tuple[str, bool]]:
     """The packages of a YAML file of the form packages: {name: path}; paths are relative to the file."""
-    out, inside, base = {}, False, os.path.dirname(os.path.abspath(path))
-    with open(path, encoding="utf-8") as f:
-        for raw in f:
-            line = raw.split(" #")[0].rstrip()
-            if not line.strip() or line.lstrip().startswith("#"):
-                continue
-            if not line[0].isspace():
-                head, _, rest = line.partition(":")
-                inside = head.strip().strip("'\"") == "packages"
-                if inside and rest.strip() not in ("", "{}"):
-                    for pair in rest.strip().strip("{}").split(","):
-                        k, sep, v = pair.partition(":")
-                        if not sep:
-                            raise ValueError(f"not a package: {pair}")
-                        out[k.strip().strip("'\"")] = v.strip().strip("'\"")
-            elif inside:
-                k, sep, v = line.strip().partition(":")
-                if not sep or not v.strip():
-                    raise ValueError(f"not a package: {line}")
-                out[k.strip().strip("'\"")] = v.strip().strip("'\"")
-    if not out:
+    found, base = read_yaml(path).get("packages"), os.path.dirname(os.path.abspath(path))
+    if not found:
         raise ValueError(f"{path} names no packages")
-    return {k: (os.path.normpath(os.path.join(base, v)), True) for k, v in sorted(out.items())}
+    if not isinstance(found, dict) or (bad := [k for k, v in found.items() if not isinstance(v, str) or not v]):
+        raise ValueError(f"not a package: {found if not isinstance(found, dict) else bad[0]}")
+    return {k: (os.path.normpath(os.path.join(base, v)), True) for k, v in sorted(found.items())}
+
+
+def read_settings(path: str, config: ScanConfig = ScanConfig()) -> ScanConfig:
+    """config with what a registry file says of its packages: stems: {package: stem}, libraries: [package, ...], transports: [module, ...] and layers: {package: {path prefix: [forbidden import prefix, ...]}}."""
+    x = read_yaml(path)
+    listed = lambda v: [v] if isinstance(v, str) else list(v or [])
+    layers = {p: [(prefix, listed(banned)) for prefix, banned in (own or {}).items()] for p, own in (x.get("layers") or {}).items()}
+    more = {k: tuple(listed(x[k])) for k in ("libraries", "transports") if x.get(k)}
+    return replace(config, stems={**config.stems, **(x.get("stems") or {})}, layers={**config.layers, **layers}, **more)
 
 
 def named(args: list[str], cwd: str) -> dict[str, tuple[str, bool]]:
@@ -93,25 +151,30 @@ def workspace_root(start: str) -> str | None:
         at = up
 
 
-def walk(root: str, recursive: bool = True, excludes: list[str] = ()) -> Iterator[str]:
-    """Paths named *.py, each directory's entries by name; a directory of such a name counts as an unreadable file."""
+def _entries(root: str, excludes: list[str]) -> list[tuple[str, bool, bool]]:
+    """Path, whether it is named *.py, and whether it is a directory, of a directory's entries by name."""
     try:
-        entries = sorted(os.scandir(root), key=lambda e: e.name)
+        found = sorted(os.scandir(root), key=lambda e: e.name)
     except OSError:
-        return
-    for e in entries:
-        if "__pycache__" in e.path or any(x in e.path for x in excludes):
-            continue
-        if os.path.splitext(e.name)[1] == ".py":
-            yield e.path
-        if recursive and e.is_dir(follow_symlinks=False):
-            yield from walk(e.path, True, excludes)
+        return []
+    return [(e.path, os.path.splitext(e.name)[1] == ".py", e.is_dir(follow_symlinks=False)) for e in found if "__pycache__" not in e.path and not any(x in e.path for x in excludes)]
 
 
-class _Files(InputPartition):
-    def __init__(self, files: list[tuple[str, str, str]]) -> None:
+def walk(root: str, recursive: bool = True, excludes: list[str] = ()) -> Iterator[str]:
+    """Paths named *.py, each directory's entries by name; a directory of such a name counts as an unreadable file."""
+    for path, python, deep in _entries(root, excludes):
+        if python:
+            yield path
+        if recursive and deep:
+            yield from walk(path, True, excludes)
+
+
+class _Part(InputPartition):
+    """Files to read, and directories to walk, of package and root."""
+
+    def __init__(self, files: list[tuple[str, str, str]], trees: list[tuple[str, str, str]]) -> None:
         super().__init__(0)
-        self.files = files
+        self.files, self.trees = files, trees
 
 
 class _Reader(DataSourceReader):
@@ -119,11 +182,29 @@ class _Reader(DataSourceReader):
         self.packages, self.excludes, self.batch = packages, excludes, batch
 
     def partitions(self) -> list[InputPartition]:
-        files = [(p, root, f) for p, root, deep in self.packages for f in walk(root, deep, self.excludes)]
-        return [_Files(files[i : i + self.batch]) for i in range(0, len(files), self.batch)] or [_Files([])]
-
-    def read(self, part: _Files) -> Iterator[tuple[str, str, str, str]]:
-        for package, root, path in part.files:
+        """The driver lists the upper directories, until there are SPREAD of them or DEPTH levels; tasks walk those below."""
+        files, level = [], [(p, root, root, deep) for p, root, deep in self.packages]
+        for _ in range(DEPTH):
+            if not level or len(level) >= SPREAD:
+                break
+            below = []
+            for p, root, at, deep in level:
+                for path, python, is_dir in _entries(at, self.excludes):
+                    if python:
+                        files.append((p, root, path))
+                    if deep and is_dir:
+                        below.append((p, root, path, True))
+            level = below
+        # a directory that wasn't listed: its own files and all below
+        trees = [(p, root, at) for p, root, at, deep in level if deep]
+        flat = [(p, root, f) for p, root, at, deep in level if not deep for f in walk(at, False, self.excludes)]
+        files += flat
+        parts = [_Part(files[i : i + self.batch], []) for i in range(0, len(files), self.batch)] + [_Part([], [x]) for x in trees]
+        return parts or [_Part([], [])]
+
+    def read(self, part: _Part) -> Iterator[tuple[str, str, str, str]]:
+        found = ((p, root, f) for p, root, at in part.trees for f in walk(at, True, self.excludes))
+        for package, root, path in itertools.chain(part.files, found):
             try:
                 with open(path, encoding="utf-8", newline="") as f:
                     text = f.read()

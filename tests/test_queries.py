@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from stratalint import queries
+from stratalint import queries, tree_queries
 
 SQL = queries.oracle_sql()
+TREES = sorted(tree_queries.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +31,7 @@ def test_query(spark, sf, tables, name):
     assert _rows(queries.queries()[name](spark, sf).toPandas()) == _rows(tables.execute(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["whole_scan", "whole_score", "whole_plan"])
+@pytest.mark.parametrize("name", ["whole_scan", "remediation_plan", "severity_counts", "plan_files", "high_coupling"])
 def test_whole_scan(spark, sf, tables, name):
     """With the default limits, repeated bodies are among a scan's issues, and in its score and plan."""
     assert _rows(queries.queries()[name](spark, sf).toPandas()) == _rows(tables.execute(SQL[name]).df())
@@ -40,3 +41,8 @@ def test_whole_scan(spark, sf, tables, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(SQL) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", TREES)
+def test_sources_and_reports(spark, sf, tables, name):
+    assert _rows(queries.queries()[name](spark, sf).toPandas()) == _rows(tables.execute(SQL[name]).df())
