@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,22 @@ def drop_staged(spark: SparkSession, since: int = 0) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def named(name: str, df: DataFrame | None = None) -> Column:
+    """A column by its name, whatever the name holds; of df, if one is given."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(quoted) if df is None else df[quoted]
+
+
+def whole_row(df: DataFrame, alias: str = "_row") -> Column:
+    """All columns of df as one."""
+    return F.struct(*[named(c) for c in df.columns]).alias(alias)
+
+
+def spread_row(df: DataFrame, names: list[str], put: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of df's whole row (`_row`) again, those in `put` replaced."""
+    return [put[c].alias(c) if put and c in put else F.col("_row").getField(c).alias(c) for c in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,10 +83,6 @@ def batches(it: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> I
             i = j
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def small_join(df: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "left", salts: int = 32) -> DataFrame:
     """Join with a table of `rows` counted rows: broadcast it up to BROADCAST_ROWS; beyond, salt both sides, so that a hot key spreads over `salts` tasks."""
     if rows <= BROADCAST_ROWS:
@@ -97,6 +110,15 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total
     return df.select(*left.columns, *[F.coalesce(F.col("_hot")[v], F.col("_rest")[v]).alias(v) for v in values])
 
 
+def release() -> None:
+    """Give memory that a worker has freed back to the system: workers are reused, and the next stage's peak would come on top."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, inside: bool = True) -> DataFrame:
     """Rows of df whose 64-bit hash may be one of keys (column `key`, non-null), by a broadcast bitmap; with inside=False the rows whose hash surely isn't. The bitmap has at most BITMAP_WORDS words of 64 bits, whatever the number of keys: with more keys it only clears fewer rows."""
     n = keys.count()

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, components, hot_join, maybe_in, stage, table, union_find
+from .common import batches, components, hot_join, maybe_in, release, spread_row, stage, table, union_find, whole_row
 
 #: Shingles of a counting task, texts of a shingle beyond which its group is cut before it is gathered, and texts and shingles of a block, beyond which it is divided.
 RANGE, HOT_TEXTS, BLOCK_TEXTS, BLOCK_SHINGLES = 2_000_000, 100_000, 2_000, 2_000_000
@@ -123,6 +123,7 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = [_signature(x) or (None, None) for x in found]
         cols = [pa.array([len(x) for x in found], pa.int64()), *[pa.array([s[i] for s in sig], pa.int64()) for i in (0, 1)]]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *cols], names=["doc_id", "h", "n", "s1", "s2"])
+    release()
 
 
 _BLOB = "bucket int, chunk long, docs binary, at binary, times binary, ids binary, codes binary"
@@ -188,6 +189,7 @@ def _blobs(bits: int):
                 rows.append((int(bucket[a]), chunk, of[at].tobytes(), _gaps(at), _planes(times), _three(ids[a:z]), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _BLOB_KINDS)], names=_BLOB_NAMES)
             chunk += 1
+        release()
 
     return run
 
@@ -203,21 +205,29 @@ def _count(rows: pa.Table) -> pa.Table:
         return rows
     parts = [_of_three(x) for x in rows.column("ids").to_pylist()]
     runs = [_whole(x) for x in rows.column("times").to_pylist()]
-    _, inv, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    many, of = n[inv] > 1, np.concatenate([np.repeat(np.frombuffer(d, np.int64), t) for d, t in zip(rows.column("docs").to_pylist(), runs)])
-    # copies of a text in several chunks are one class: count each class of an id once
-    i, c = inv[many], of[many]
-    order = np.lexsort((c, i))
-    i, c = i[order], c[order]
-    n = np.bincount(i[np.concatenate([[True], (i[1:] != i[:-1]) | (c[1:] != c[:-1])])] if len(i) else i, minlength=len(n))[inv]
+    ids, s1 = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("docs").to_pylist()])
+    run = np.repeat(np.arange(len(s1), dtype=np.int32), np.concatenate(runs))
+    code = np.zeros(len(ids), np.uint8)  # 0: of one class alone
+    for part in range(8):  # by leading bits, for a smaller peak of memory
+        at = np.flatnonzero(ids >> np.uint32(21) == part)
+        if not len(at):
+            continue
+        i, c = ids[at], s1[run[at]]
+        order = np.lexsort((c, i))
+        i, c, at = i[order], c[order], at[order]
+        new = np.concatenate([[True], i[1:] != i[:-1]])
+        # copies of a text in several chunks are one class: count each class of an id once
+        n = np.add.reduceat((new | np.concatenate([[True], c[1:] != c[:-1]])).astype(np.int32), np.flatnonzero(new))
+        code[at] = np.where(n > 1, _code(n), 0)[np.cumsum(new) - 1]
     done, out = 0, []
-    for bucket, chunk, ids, at, run in zip(rows.column("bucket").to_pylist(), rows.column("chunk").to_pylist(), parts, rows.column("at").to_pylist(), runs):
-        times = n[done : done + len(ids)]
+    for bucket, chunk, ids, at, times in zip(rows.column("bucket").to_pylist(), rows.column("chunk").to_pylist(), parts, rows.column("at").to_pylist(), runs):
+        own = code[done : done + len(ids)]
         done += len(ids)
-        many = times > 1
+        many = own > 0
         if many.any():
-            place, k = _runs(np.repeat(np.cumsum(_whole(at)), run)[many])
-            out.append((bucket, chunk, None, _gaps(place), _planes(k), _three(ids[many]), _code(times[many]).tobytes()))
+            place, k = _runs(np.repeat(np.cumsum(_whole(at)), times)[many])
+            out.append((bucket, chunk, None, _gaps(place), _planes(k), _three(ids[many]), own[many].tobytes()))
+    release()
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, _BLOB_KINDS)], names=_BLOB_NAMES)
 
 
@@ -419,6 +429,7 @@ def _unite(rows: pa.Table) -> pa.Table:
             label = to[label]
         x = x[left[x] > d]
     far = label != np.arange(len(nodes))
+    release()
     return pa.table([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["a", "b"])
 
 
@@ -550,6 +561,7 @@ def _judge(rows: pa.Table) -> pa.Table:
         np.minimum.at(least, label, s1)
         for k in np.flatnonzero(links).tolist():
             out.append((s1[k], col["s2"][own[k]], links[k], least[label[k]]))
+    release()
     names = ["s1", "s2", "links", "root"]
     return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=names)
 
@@ -601,14 +613,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     drop = marked.filter(~mine).select(*key).withColumn("_all", F.lit(True)).distinct()
     again = marked.filter(mine).groupBy(*key).count().filter("count > 1").select(*_KEY, F.lit(False).alias("_all"))
     out = stage(drop.unionByName(again))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(row, *_row_key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    rows = docs.select(whole_row(docs), *_row_key(F.col("doc_id").cast("long"), F.xxhash64("text")))
     at = out.select(F.xxhash64(*_KEY).alias("key"))
     # rows that the bitmap clears stay where they are; the others are few
-    clear = maybe_in(rows, F.xxhash64(*_KEY), at, False).select("_row.*")
+    clear = maybe_in(rows, F.xxhash64(*_KEY), at, False)
     met = maybe_in(rows, F.xxhash64(*_KEY), at).join(out.hint("shuffle_hash"), _KEY, "left")
     one = met.filter("not _all").groupBy(*_KEY).agg(F.first("_row").alias("_row"))
-    return clear.unionByName(met.filter("_all is null").select("_row.*")).unionByName(one.select("_row.*"))
+    stay = clear.select("_row").union(met.filter("_all is null").select("_row")).union(one.select("_row"))
+    return stay.select(*spread_row(stay, docs.columns))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
