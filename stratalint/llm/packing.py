@@ -6,7 +6,8 @@ same length. The histogram of lengths, at most CAPACITY numbers whatever the cor
 1. Multiplicative weights solve the program "least number of bins, each filled by some configuration of lengths, that
    covers the histogram". A length's price falls as it gets covered. Each round prices by a knapsack dynamic program,
    whose table also gives the best configuration that holds each length; all those near the optimum get a share.
-2. Rounding: configurations are taken a whole number of times, most used first, while their pieces last.
+2. Rounding: the program's support is taken from the fullest configurations on, each a whole number of times while its
+   pieces last. Most lengths are rare, so most uses are fractions; rounding all down would place next to nothing.
 3. What is left goes best fit, longest first, into the open room of those bins and then new ones, by groups of equal
    bins, so that this too depends on the histogram and not on the number of pieces.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import batches, stage, table
+from .common import batches, named, stage, table
 
 CAPACITY, END = 2048, 0
 #: Rounds of multiplicative weights, the rate at which weights fall, and how near the optimum a configuration must price.
@@ -192,21 +193,28 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     return {tuple((int(sizes[i]), k) for i, k in sorted(Counter(x).items(), reverse=True)): n for x, n in used.items()}
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
-    """Configurations and how many bins of each; every piece of the histogram has one place."""
-    plain = _Bins(capacity)
-    plain.best_fit(dict(histogram))
-    left, rounded = dict(histogram), _Bins(capacity)
+def rounded(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[_Bins, dict[int, int]]:
+    """Bins of the program's configurations, and what they leave of the histogram. Fullest first, then most used, each is taken its number of times, rounded, but once at least, while all its pieces last."""
+    left, out = dict(histogram), _Bins(capacity)
     if full := left.pop(capacity, 0):
-        rounded.add(((capacity, 1),), full)
-    for config, x in sorted(configurations(left, capacity).items(), key=lambda y: (-y[1], y[0])):
-        n = min([int(x), *[left[a] // k for a, k in config]])
+        out.add(((capacity, 1),), full)
+    room = lambda config: capacity - sum(a * k for a, k in config)
+    for config, x in sorted(configurations(left, capacity).items(), key=lambda y: (room(y[0]), -y[1], y[0])):
+        n = min([max(1, round(x)), *[left[a] // k for a, k in config]])
         if n:
-            rounded.add(config, n)
+            out.add(config, n)
             for a, k in config:
                 left[a] -= n * k
-    rounded.best_fit({a: n for a, n in left.items() if n})
-    best = min(rounded, plain, key=_Bins.total)
+    return out, {a: n for a, n in left.items() if n}
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
+    """Configurations and how many bins of each; every piece of the histogram has one place."""
+    plain = _Bins(capacity)
+    plain.best_fit(dict(histogram))
+    of_program, left = rounded(histogram, capacity)
+    of_program.best_fit(left)
+    best = min(of_program, plain, key=_Bins.total)
     return [(c, n) for room in sorted(best.by_room) for c, n in sorted(best.by_room[room].items()) if n]
 
 
@@ -244,7 +252,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     out = pieces.join(offsets, ["part", "length"]).withColumn("_at", place(F.col("length"), F.col("_before") + F.col("rank")))
     keep = [c for c in pieces.columns if c not in ("part", "rank", "sequence_id", "offset")]
-    return out.select(*keep, "_at.sequence_id", "_at.offset")
+    return out.select(*[named(c) for c in keep], "_at.sequence_id", "_at.offset")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
