@@ -1,7 +1,8 @@
 """WARC (4): a deterministic sharded writer of web archives, and a reader of what it has committed.
 
-Pages are range-sorted by page_id into shards of about equal bytes, from a histogram of at most BUCKETS id ranges; a range
-that alone exceeds a shard's share, such as one id that many rows have, is split further by digest. A shard's task
+Pages are range-sorted by page_id into shards of about equal bytes, from histograms of at most BUCKETS cells, in which
+heavy cells are divided again, so that outlying ids do no harm; only a single id that alone exceeds a shard's share, or
+the null ids, are split further by digest. A shard's task
 streams its rows into gzip members, rolls files by their compressed size, and writes them under temporary names. The
 manifest, itself a table that Spark commits, names the files of the attempts that count; a second job renames them, and
 readers follow the manifest alone, so lost, repeated or speculative tasks leave nothing that is read. With the same
@@ -22,18 +23,19 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import STAGED, batches, hot_join, shared_dir, stage, table
 
-BUCKETS, MIN_REVISIT, SHARD_BYTES, ROLL_BYTES = 65_536, 100, 256 << 20, 64 << 20
+BUCKETS, PER_SHARD, MIN_REVISIT, SHARD_BYTES, ROLL_BYTES, CHUNK = 65_536, 8, 100, 256 << 20, 64 << 20, 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("7d1c1b0a-52b8-5e0e-9b43-1d8c1a7b6f10")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -131,6 +133,50 @@ def _renamer(root: str):
     return run
 
 
+def _cuts(slim: DataFrame, lo: int | None, hi: int | None, n: int, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where ranges of ids start, about PER_SHARD to a shard or finer; then for the null ids, the first range and so on, the first shard and over how many shards it spreads. From exact histograms of BUCKETS cells at most, of which those that hold more than a range's share are divided again, so ids may lie anyhow."""
+    most = max(1, share // PER_SHARD)
+    heavy = [] if lo is None else [(lo, hi + 1)]
+    cells = {}
+    while heavy:
+        each = max(2, BUCKETS // len(heavy))
+        at = np.array([a for a, _ in heavy], np.int64)
+        stop = np.array([b - 1 for _, b in heavy], np.int64)
+        width = np.array([-(-(b - a) // each) for a, b in heavy], np.uint64)
+
+        def tally(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                ids, size = b.column("page_id").to_numpy(), b.column("bytes").to_numpy()
+                i = np.searchsorted(at, ids, side="right") - 1
+                ok = (i >= 0) & (ids <= stop[i])
+                i, ids, size = i[ok], ids[ok], size[ok]
+                # differences of 64-bit integers, in unsigned arithmetic
+                cell = i * each + ((ids.view(np.uint64) - at[i].view(np.uint64)) // width[i]).astype(np.int64)
+                cell, inv = np.unique(cell, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.bincount(inv, size, len(cell)).astype(np.int64))], names=["cell", "bytes"])
+
+        rows = slim.filter("page_id is not null").select("page_id", (F.col("bytes") + 512).alias("bytes")).mapInArrow(tally, "cell long, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes")).toArrow()
+        again = []
+        for cell, size in zip(rows.column("cell").to_pylist(), rows.column("bytes").to_pylist()):
+            a, w = int(at[cell // each]) + cell % each * int(width[cell // each]), int(width[cell // each])
+            if size > most and w > 1:
+                again.append((a, min(a + w, int(stop[cell // each]) + 1)))
+            else:
+                cells[a] = size
+        heavy = sorted(again)
+    of_null = slim.filter("page_id is null").agg(F.sum(F.col("bytes") + 512)).first()[0] or 0
+    starts, sizes = [], [of_null]
+    for a in sorted(cells):
+        if not starts or sizes[-1] + cells[a] > most:
+            starts.append(a)
+            sizes.append(0)
+        sizes[-1] += cells[a]
+    sizes = np.array(sizes, np.int64)
+    first = np.minimum(n - 1, (np.cumsum(sizes) - sizes) // share)
+    # values under the first start don't occur; index 0 is of null ids
+    return np.array(starts, np.int64), first.astype(np.int32), np.maximum(1, -(-sizes // share)).astype(np.int32)
+
+
 def write_archives(pages: DataFrame, root: str, shards: int | None = None, roll: int = ROLL_BYTES) -> DataFrame:
     """Write the pages (page_id, url, html) under the URI root, new or empty; the committed manifest, one row for each file."""
     spark = pages.sparkSession
@@ -139,20 +185,24 @@ def write_archives(pages: DataFrame, root: str, shards: int | None = None, roll:
     slim = stage(full.select("page_id", "digest", F.octet_length("html").cast("long").alias("bytes")))
     span = slim.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum(F.col("bytes") + 512).alias("bytes"), F.count("*").alias("n")).first()
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(span["bytes"] or 0) // SHARD_BYTES))
-    lo, width = span["lo"] or 0, max(1, -(-((span["hi"] or 0) - (span["lo"] or 0) + 1) // BUCKETS))
-    bucket = F.coalesce(F.expr(f"(page_id - {lo}L) div {width}L"), F.lit(0)).cast("int")
     share = max(1, -(-(span["bytes"] or 1) // n))
-    by = slim.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("bytes") + 512).alias("bytes"))  # at most BUCKETS rows
-    before = F.sum("bytes").over(W.orderBy("bucket")) - F.col("bytes")
-    by = by.select("bucket", F.least(F.lit(n - 1), F.floor(before / share).cast("int")).alias("first_shard"), F.ceil(F.col("bytes") / share).cast("int").alias("parts"))
+    starts, first_shard, parts = _cuts(slim, span["lo"], span["hi"], n, share)
+    known = spark.sparkContext.broadcast((starts, first_shard, parts))  # a few numbers for each shard
+
+    @F.pandas_udf("first_shard int, parts int")
+    def place(page_id: pd.Series) -> pd.DataFrame:
+        starts, first_shard, parts = known.value
+        own = page_id.isna().to_numpy()
+        at = np.where(own, 0, np.searchsorted(starts, page_id.fillna(0).astype("int64").to_numpy(), side="right"))
+        return pd.DataFrame({"first_shard": first_shard[at], "parts": parts[at]})
 
     firsts = slim.filter(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
     again = hot_join(slim.filter(F.col("bytes") >= MIN_REVISIT), stage(firsts), ["digest"], "n", span["n"])
     again = again.filter("first_id is not null and not (page_id <=> first_id)").select("page_id", "digest", "first_id").distinct()
     marker = again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first_id")
     rows = full.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("first_id")).union(marker)
-    rows = rows.withColumn("bucket", bucket).join(F.broadcast(by), "bucket", "left")
-    shard = F.least(F.lit(n - 1), F.coalesce("first_shard", F.lit(0)) + F.when(F.col("parts") > 1, F.pmod(F.xxhash64("digest"), F.col("parts"))).otherwise(F.lit(0)).cast("int"))
+    rows = rows.withColumn("_at", place("page_id"))
+    shard = F.least(F.lit(n - 1), F.col("_at.first_shard") + F.pmod(F.xxhash64("digest"), F.col("_at.parts")).cast("int"))
     rows = rows.select(shard.alias("shard"), "page_id", "url", "html", "digest", "first_id")
     rows = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("first_id").desc_nulls_last(), F.col("url").asc_nulls_first())
     files, at = fs.FileSystem.from_uri(root)
@@ -163,17 +213,25 @@ def write_archives(pages: DataFrame, root: str, shards: int | None = None, roll:
     return spark.read.parquet(f"{root}/_manifest")
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of a file of gzip members: headers by lower-case name, and the block, whose digest has to hold."""
-    view = memoryview(data)
-    while len(view):
-        z = zlib.decompressobj(31)
-        text = z.decompress(view) + z.flush()
-        view = view[len(view) - len(z.unused_data) :]
-        head, _, rest = text.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        headers = {k.lower(): v for k, v in (re.split(r":\s*", x, maxsplit=1) for x in lines[1:])}
-        block = rest[: int(headers["content-length"])]
+def members(read: Callable[[int], bytes]) -> Iterator[bytes]:
+    """The contents of a stream's gzip members. It is read by CHUNK bytes, so the rest of a file is never held or copied."""
+    z, parts, data = zlib.decompressobj(31), [], b""
+    while data or (data := read(CHUNK)):
+        parts.append(z.decompress(data))
+        data = b""
+        if z.eof:
+            yield b"".join(parts)
+            data, parts, z = z.unused_data, [], zlib.decompressobj(31)
+    if parts:
+        raise ValueError("a file that ends within a record")
+
+
+def parse(read: Callable[[int], bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a stream of gzip members: headers by lower-case name, and the block, whose digest has to hold."""
+    for text in members(read):
+        end = text.index(b"\r\n\r\n")
+        headers = {k.lower(): v for k, v in (re.split(r":\s*", x, maxsplit=1) for x in text[:end].decode().split("\r\n")[1:])}
+        block = text[end + 4 : end + 4 + int(headers["content-length"])]
         if headers["warc-block-digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
             raise ValueError(f"a damaged block: {headers.get('warc-record-id')}")
         yield headers, block
@@ -190,25 +248,30 @@ def _reader(root: str):
 
         for b in it:
             for name, sha in zip(b.column("name").to_pylist(), b.column("sha256").to_pylist()):
+                rows, size, whole = [], 0, hashlib.sha256()
                 with files.open_input_stream(f"{at}/{name}", compression=None) as f:
-                    data = f.read()
-                if hashlib.sha256(data).hexdigest() != sha:
+
+                    def read(n: int) -> bytes:
+                        data = f.read(n)
+                        whole.update(data)
+                        return data
+
+                    for h, block in parse(read):
+                        if h["warc-type"] == "warcinfo":
+                            continue
+                        payload = block.partition(b"\r\n\r\n")[2] if h["warc-type"] == "response" else None
+                        digest = h["warc-payload-digest"].removeprefix("sha256:")
+                        if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
+                            raise ValueError(f"a damaged payload: {h['warc-record-id']}")
+                        page, to = h.get("x-page-id"), h.get("x-refers-to-page-id")
+                        length = len(payload) if payload is not None else int(h["x-payload-length"])
+                        rows.append((None if page is None else int(page), h["warc-target-uri"], h["warc-type"], payload, length, digest, None if to is None else int(to)))
+                        size += len(payload or b"")
+                        if size > 8 << 20:
+                            yield batch(rows)
+                            rows, size = [], 0
+                if whole.hexdigest() != sha:
                     raise ValueError(f"{name} isn't the file of the manifest")
-                rows, size = [], 0
-                for h, block in parse(data):
-                    if h["warc-type"] == "warcinfo":
-                        continue
-                    payload = block.partition(b"\r\n\r\n")[2] if h["warc-type"] == "response" else None
-                    digest = h["warc-payload-digest"].removeprefix("sha256:")
-                    if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"a damaged payload: {h['warc-record-id']}")
-                    page, to = h.get("x-page-id"), h.get("x-refers-to-page-id")
-                    length = len(payload) if payload is not None else int(h["x-payload-length"])
-                    rows.append((None if page is None else int(page), h["warc-target-uri"], h["warc-type"], payload, length, digest, None if to is None else int(to)))
-                    size += len(payload or b"")
-                    if size > 8 << 20:
-                        yield batch(rows)
-                        rows, size = [], 0
                 if rows:
                     yield batch(rows)
 
