@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batches, table
+from .common import batches, spread_row, table, whole_row
 
 #: Entries of the memo of pre-tokens and of the table of pairs, in each worker.
 MEMO, PAIRS = 400_000, 1_000_000
@@ -206,27 +207,31 @@ def codec(path: str) -> Codec:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs with ids, array<int>."""
     kept = docs.drop("ids")
+    rows = kept.select(whole_row(kept), F.col("text").alias("_text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches(it, "text"):
-            ids = pa.array([c.encode(x or "") for x in b.column("text").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
+        for b in batches(it, "_text"):
+            ids = pa.array([c.encode(x or "") for x in b.column("_text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("_row"), ids], names=["_row", "_ids"])
 
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", ids array<int>")
+    out = rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
+    return out.select(*spread_row(out, kept.columns), F.col("_ids").alias("ids"))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with decoded, the bytes of ids (null: none)."""
     kept = encoded.drop("decoded")
+    rows = kept.select(whole_row(kept), F.col("ids").alias("_ids"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in it:
-            out = pa.array([c.decode(x or []) for x in b.column("ids").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
+            out = pa.array([c.decode(x or []) for x in b.column("_ids").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("_row"), out], names=["_row", "_bytes"])
 
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", decoded binary")
+    out = rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField("_bytes", T.BinaryType())]))
+    return out.select(*spread_row(out, kept.columns), F.col("_bytes").alias("decoded"))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hot_join, stage, table
+from .common import hot_join, named, spread_row, stage, table
 
 ROLES = ["user", "assistant", "system"]
 PAGE = 256
@@ -161,7 +162,8 @@ def fit(labelled: DataFrame) -> Model:
 
 def parse_transcripts(df: DataFrame, model: Model, keys: list[str], text: str = "transcript") -> DataFrame:
     """The keys, turn (from 0), role, text and rendered, a row for each turn found."""
-    kept = df.select(*keys, F.col(text).alias("_text"))
+    own = df.select(*[named(c) for c in keys])
+    kept = df.select(F.struct(*[named(c) for c in keys]).alias("_row"), named(text).alias("_text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -171,10 +173,12 @@ def parse_transcripts(df: DataFrame, model: Model, keys: list[str], text: str =
                     at.append(i)
                     rows.append((j, role, said, render(role, said)))
             cols = list(zip(*rows)) if rows else [[]] * 4
-            own = b.take(pa.array(at, pa.int64())).drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.string()))]], names=[*keys, "turn", "role", "text", "rendered"])
+            row = b.column("_row").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([row, *[pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.string()))]], names=["_row", "turn", "role", "text", "rendered"])
 
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", turn int, role string, text string, rendered string")
+    more = [T.StructField("turn", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("role", "text", "rendered")]]
+    out = kept.mapInArrow(run, T.StructType([kept.schema["_row"], *more]))
+    return out.select(*spread_row(out, own.columns), "turn", "role", "text", "rendered")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

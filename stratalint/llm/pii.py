@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batches, stage, table
+from .common import batches, spread_row, stage, table, whole_row
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELERS, ACCEPT, ROUNDS = 5, 0.9, 60
@@ -265,16 +266,16 @@ def redact(text: str | None, accepted: frozenset[int]) -> str | None:
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with personal data in text replaced; all else, n_chars included if it is there, follows the new text or stays."""
     accepted = fit(find(docs)).accepted
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("_text"))
+    row = docs.select(whole_row(docs), F.col("text").alias("_text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, "_text"):
             new = pa.array([redact(x, accepted) for x in b.column("_text").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("_row"), new], names=["_row", "_text"])
 
-    new = row.mapInArrow(run, f"_row {row.schema['_row'].dataType.simpleString()}, _text string")
+    new = row.mapInArrow(run, T.StructType([row.schema["_row"], T.StructField("_text", T.StringType())]))
     put = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return new.select(*[put[c].alias(c) if c in put else F.col("_row")[c].alias(c) for c in docs.columns])
+    return new.select(*spread_row(new, docs.columns, put=put))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from .common import batches, small_join, stage, table
+from .common import batches, small_join, spread_row, stage, table, whole_row
 
 #: Measure -> (K, FLOOR): per mille of words, of word length or of lines.
 FENCES = {"symbols": (4, 50), "length": (30, 100), "lines": (4, 100), "repeats": (4, 50)}
@@ -66,7 +67,7 @@ def _measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame, *carried: str) -> DataFrame:
     """doc_id, lang, source (null: ""), the counts, the measures in per mille and base_failed; one row per document."""
     kept = docs.select(*carried, F.col("doc_id").cast("long"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text") + "".join(f", {c} long" for c in [*COUNTS, "n_lines"])
+    schema = T.StructType([*[f for f in kept.schema if f.name != "text"], *[T.StructField(c, T.LongType()) for c in [*COUNTS, "n_lines"]]])
     per = lambda a, b: F.when(F.col(b) > 0, F.expr(f"(1000 * {a}) div {b}")).otherwise(F.lit(0)).cast("long")
     return kept.mapInArrow(_measure, schema).select(
         "*", per("n_symbols", "n_words").alias("symbols"), per("word_chars", "n_words").alias("length"),
@@ -131,8 +132,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the rules keep. Texts are measured twice, once for the sketches and once for the verdicts; no text is shuffled."""
     limits = stage(thresholds(sketches(measure(docs))))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text"))
-    return _verdicts(measure(rows, "_row"), limits).filter("kept").select("_row.*")
+    rows = docs.select(whole_row(docs), "doc_id", "lang", "source", "text")
+    return _verdicts(measure(rows, "_row"), limits).filter("kept").select(*spread_row(docs, docs.columns))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

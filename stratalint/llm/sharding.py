@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread_row, table, whole_row
 
 #: Rows that a target, a task's part of a shard, has at most.
 ROWS = 20_000
@@ -111,13 +111,13 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, rows:
         if labels is not None and at < len(labels):
             raise RuntimeError("a partition has fewer rows than when it was counted: stage the input first")
 
-    x = kept.withColumn("_to", label.asNondeterministic()(F.spark_partition_id()))
+    x = kept.select(whole_row(kept), label.asNondeterministic()(F.spark_partition_id()).alias("_to"))
     x = x.repartitionById(len(sizes), F.col("_to.target")).sortWithinPartitions("_to.key")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     of_, first_ = F.lit(of.tolist()), F.lit(first.tolist())
     x = x.withColumn("_n", place)
     t = F.col("_to.target") + 1
-    return x.select(*kept.columns, F.element_at(of_, t).cast("int").alias("shard"), (F.element_at(first_, t) + F.col("_n")).cast("long").alias("slot"))
+    return x.select(*spread_row(x, kept.columns), F.element_at(of_, t).cast("int").alias("shard"), (F.element_at(first_, t) + F.col("_n")).cast("long").alias("slot"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

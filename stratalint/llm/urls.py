@@ -20,14 +20,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stage, table
+from .common import named, small_join, spread_row, stage, table, whole_row
 
-#: Bits for each key of a level, probes of each key, and the filters' bytes up to which they are broadcast.
-BITS, PROBES, BROADCAST_BYTES = 12, 6, 32 << 20
+#: Bits for each key of a level, probes of each key, the filters' bytes up to which they are broadcast, and beyond them the rows that meet a segment at once.
+BITS, PROBES, BROADCAST_BYTES, SEGMENT_ROWS = 12, 6, 32 << 20, 100_000
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Words in a host's label by which the corpus's own hosts come on the list.
-TERMS = ["spam", "pills", "casino", "malware", "phish"]
+TERMS = ["spam", "pills", "casino", "malware", "phish", "adult", "free-bets", "ads-track"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -118,11 +119,13 @@ class Cascade:
         total = self.keys.filter("x = 1").count()
         self.segments = max(1, -(-2 * total * BITS // 8 // broadcast_bytes))  # later levels need far less than the first
         tagged = self.keys.withColumn("segment", F.pmod("a", F.lit(self.segments)))
+        self.levels = 0
         parts, level, encode, other = [], 0, tagged.filter("x = 1"), tagged.filter("x = 0")
         while (n := encode.groupBy("segment").count().agg(F.max("count")).first()[0]) is not None:
             parts.append(stage(_filter(encode, level, n, self.segments)))
             taken = self._taken(other, parts[-1], level)
             encode, other, level = stage(taken), encode, level + 1
+        self.levels = level
         self.filters = parts[0] if parts else None
         for p in parts[1:]:
             self.filters = self.filters.union(p)
@@ -159,17 +162,20 @@ class Cascade:
                 return pd.Series(listed(levels, a.to_numpy(), b.to_numpy()))
 
             return df.withColumn(out, key.isNotNull() & test(*hashes(F.coalesce(key, F.lit("")))))
-        salts = 16
-        row = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), *hashes(F.coalesce(key, F.lit(""))), key.isNotNull().alias("_is"))
-        row = row.withColumn("segment", F.pmod("a", F.lit(self.segments))).withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
-        parts = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        row = df.select(whole_row(df), *hashes(F.coalesce(key, F.lit(""))), key.isNotNull().alias("_is")).withColumn("segment", F.pmod("a", F.lit(self.segments)))
+        # a row for each segment, of which there is one for some millions of listed keys
+        salts = row.groupBy("segment").agg(F.ceil(F.count("*") / SEGMENT_ROWS).cast("int").alias("salts"))
+        row, parts = small_join(row, salts, ["segment"], self.segments), small_join(self.filters, salts, ["segment"], self.segments, "inner")
+        row = row.withColumn("salt", F.pmod(F.xxhash64("_row"), F.col("salts")).cast("int")).drop("salts")
+        parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
         def of_rows(left: pa.Table, right: pa.Table) -> pa.Table:
             yes = listed(_arrays(right), left.column("a").to_numpy(), left.column("b").to_numpy())
-            return left.select(["_row", "_is"]).append_column(out, pa.array(yes & left.column("_is").to_numpy(zero_copy_only=False)))
+            return left.select(["_row"]).append_column("_yes", pa.array(yes & left.column("_is").to_numpy(zero_copy_only=False)))
 
-        schema = f"_row {row.schema['_row'].dataType.simpleString()}, _is boolean, `{out}` boolean"
-        return row.groupBy("segment", "salt").cogroup(parts.groupBy("segment", "salt")).applyInArrow(of_rows, schema).select("_row.*", out)
+        schema = T.StructType([row.schema["_row"], T.StructField("_yes", T.BooleanType())])
+        found = row.groupBy("segment", "salt").cogroup(parts.groupBy("segment", "salt")).applyInArrow(of_rows, schema)
+        return found.select(*spread_row(found, df.columns), F.col("_yes").alias(out))
 
 
 def hashes(key: Column) -> tuple[Column, Column]:
@@ -183,7 +189,7 @@ def judge_urls(pages: DataFrame, keys: DataFrame, rules: list[tuple[str, str]],
     cascade = Cascade(keys, x.select("host"), broadcast_bytes)
     x = cascade.mark(x, F.when(F.col("host") != "", F.col("host")), "_listed")
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    return x.select(*kept.columns, "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("_listed"), "block").otherwise("allow")).alias("verdict"))
+    return x.select(*[named(c) for c in kept.columns], "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("_listed"), "block").otherwise("allow")).alias("verdict"))
 
 
 def suspicious_hosts(pages: DataFrame, terms: list[str] = TERMS) -> DataFrame:

@@ -1,16 +1,22 @@
 """Packing, sharding, near duplicates, nearest neighbours, URL filters, archives and chat against brute force."""
 
 import hashlib
+import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from stratalint.llm import ann, chat, common, jaccard, packing, sharding, urls, warc
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from stratalint.llm import ann, bpe, chat, common, jaccard, packing, pii, quality, sharding, urls, warc
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -67,6 +73,43 @@ def test_plans_place_every_piece():
         assert sum(n for _, n in p) <= plain.total()
 
 
+def test_program_places_most_pieces():
+    """The program's bins hold most pieces, and the plan needs no more bins than plain best fit: here the least possible."""
+    import public_tokenizers
+
+    e, h = packing.encoder(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist():
+        n = len(e.ids(t or "")) + 1
+        at = packing.cuts(n)
+        h.update(b - a for a, b in zip(at, [*at[1:], n]))
+    bins, left = packing.rounded(dict(h))
+    assert sum(left.values()) < 0.3 * (sum(h.values()) - h[2048])
+    total = sum(n for _, n in packing.plan(dict(h)))
+    plain = packing._Bins(2048)
+    plain.best_fit(dict(h))
+    assert -(-sum(a * n for a, n in h.items()) // 2048) == total <= plain.total()
+
+
+def test_program_beats_best_fit():
+    h = {1026: 600, 516: 600, 514: 600, 508: 1200}
+    plain = packing._Bins(2048)
+    plain.best_fit(dict(h))
+    assert sum(n for _, n in packing.plan(h)) <= 0.9 * plain.total()
+
+
+def test_every_code_point_has_the_tokenizers_ids():
+    """The fast encoder gives the ids of the tokenizers library for every code point, alone, after a space, and between letters and digits."""
+    import public_tokenizers
+
+    e = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert e.fast
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    step = 256
+    texts = [sep.join(points[i : i + step]) for sep in ("", " ", "a", "1") for i in range(0, len(points), step)]
+    bad = [k for k, (t, x) in enumerate(zip(texts, e.slow.encode_batch(texts, add_special_tokens=False))) if e.ids(t) != x.ids]
+    assert not bad, [texts[k][:20] for k in bad[:5]]
+
+
 def test_program_covers():
     """The fractional cover comes near the least number of bins where lengths fit perfectly."""
     x = packing.configurations({1024: 500, 512: 400, 300: 100}, rounds=60)
@@ -367,3 +410,109 @@ def test_joins_survive_hot_keys(spark):
     assert common_.count() == 3299 and common_.filter("x = 2").count() == 3000
     for rows in (10, 10**9):
         assert common.small_join(left, right.select("k", "x"), ["k"], rows).filter("x = k * 2").count() == 3298
+
+
+NAMED = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `s t` string, `q``r` int, _to int, _n int, _row string, _text string, _word int, _id string"
+
+
+@pytest.fixture(scope="module")
+def named_docs(spark):
+    """Rows whose other columns have awkward names and nulls."""
+    rows = [(i if i % 7 else None, t, "en", None if i % 5 == 0 else "s", 3, i, "x", None, 4, 5, "r", "t", 6, "d") for i, t in enumerate([None, "", "one two three four five six seven eight nine ten eleven twelve", "mail a.b@example.com now please thank you very much for it all"] * 8)]
+    return spark.createDataFrame(rows, NAMED)
+
+
+def same_but(got, docs, *more):
+    """got has docs' columns, then others, and its rows' numbers are those of docs."""
+    assert got.columns == [*docs.columns, *more]
+    return [r.asDict() for r in got.collect()]
+
+
+def test_names_of_columns(spark, named_docs, tmp_path):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = named_docs
+    assert len(same_but(bpe.decode_documents(bpe.encode_documents(docs, path), path), docs, "ids", "decoded")) == 32
+    rows = same_but(quality.filter_documents(docs), docs)
+    assert rows and all(r["a.b"] % 4 in (2, 3) and r["s t"] == "x" and r["_to"] == 4 for r in rows)
+    rows = same_but(pii.redact_documents(docs), docs)
+    assert sum("[EMAIL]" in (r["text"] or "") for r in rows) == 8 and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    staged = common.stage(docs)
+    rows = same_but(sharding.shuffle_into_shards(staged, 3), docs, "shard", "slot")
+    assert sorted(r["a.b"] for r in rows) == list(range(32)) and all(r["_to"] == 4 and r["_n"] == 5 for r in rows)
+    rows = same_but(jaccard.keep_one(docs), docs)
+    assert sorted(r["a.b"] for r in rows if not r["text"]) == [i for i in range(32) if i % 4 < 2] and len(rows) == 18
+    pages = docs.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "url")
+    assert len(same_but(urls.judge_urls(pages, spark.createDataFrame([("h",)], "k string"), urls.RULES), pages, "host", "path", "rule", "verdict")) == 32
+    pieces = common.stage(packing.tokenise(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn("a.b", F.lit(1)).withColumn("s t", F.lit(2)))
+    assert packing.pack(pieces).columns == ["doc_id", "piece", "start", "length", "ids", "a.b", "s t", "sequence_id", "offset"]
+    said = spark.createDataFrame([(1, "User: hi\nBot: yes", 2)], "`a.b` int, `s t` string, turn int")
+    model = chat.fit(chat.pages(spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")))
+    assert chat.parse_transcripts(said, model, ["a.b"], "s t").columns == ["a.b", "turn", "role", "text", "rendered"]
+
+
+@pytest.mark.parametrize("kind", ["nullable", "not null"])
+def test_url_segments(spark, kind):
+    """A cascade in many segments, over awkward and non-nullable columns and repeated rows, answers exactly."""
+    rng = random.Random(3)
+    hosts = [f"h{i}.com" for i in range(300)]
+    bad = set(rng.sample(hosts, 60))
+    rows = [(i, f"http://{h}/{'x' * (100_000 if i == 5 else 3)}", 1, "y") for i, h in enumerate(hosts * 2)] + [(1, f"http://{hosts[1]}/xxx", 1, "y")] * 3
+    schema = T.StructType([T.StructField(n, t, kind == "nullable") for n, t in (("page_id", T.LongType()), ("url", T.StringType()), ("a.b", T.IntegerType()), ("_row", T.StringType()))])
+    pages = spark.createDataFrame(rows, schema)
+    keys = spark.createDataFrame([(h,) for h in bad], "k string")
+    cascade = urls.Cascade(keys, pages.select(urls.host_of(F.col("url")).alias("host")), 24)
+    assert cascade.segments > 3
+    got = urls.judge_urls(pages, keys, [], 24)
+    assert got.columns == ["page_id", "url", "a.b", "_row", "host", "path", "rule", "verdict"]
+    got = got.collect()
+    assert len(got) == len(rows) and all((r["verdict"] == "block") == (r["host"] in bad) and r["_row"] == "y" for r in got)
+
+
+def test_cascade_has_levels(spark):
+    """A list that no pattern tells, long enough that levels after the second exist, in one segment and in several."""
+    rng = random.Random(6)
+    every = [f"{rng.getrandbits(40):x}.org" for _ in range(20_000)]
+    bad = set(rng.sample(every, 5_000))
+    df, keys = spark.createDataFrame([(h,) for h in every], "host string"), spark.createDataFrame([(h,) for h in bad], "k string")
+    for most in (1 << 20, 4_000):
+        c = urls.Cascade(keys, df, most)
+        assert c.levels >= 3 and (c.segments == 1) == (most > 4_000)
+        assert {r["host"] for r in c.mark(df, F.col("host"), "yes").filter("yes").collect()} == bad
+
+
+def test_archive_ranges_with_outliers(spark, tmp_path):
+    """Outlying ids don't crowd the others into one shard; shards are sorted by range; an id of too many rows spreads."""
+    ids = [*range(1000, 1400), 2**63 - 1, -(2**63), None, None, *[5000] * 300]
+    df = spark.createDataFrame([(i, "http://h/", f"{k}" * 60) for k, i in enumerate(ids)], "page_id long, url string, html string").repartition(6)
+    root = f"file://{tmp_path}/r"
+    warc.write_archives(df, root, shards=6)
+    found = {}
+    for f in sorted((tmp_path / "r").glob("*.warc.gz")):
+        with f.open("rb") as stream:
+            own = [int(h["x-page-id"]) if "x-page-id" in h else -(2**64) for h, _ in warc.parse(stream.read) if h["warc-type"] == "response"]
+        assert own == sorted(own)
+        found[f.name] = own
+    assert len(found) == 6 and sorted(x for own in found.values() for x in own) == sorted(-(2**64) if i is None else i for i in ids)
+    for a, b in zip(list(found.values()), list(found.values())[1:]):
+        assert a[-1] <= b[0] or a[-1] == b[0] == 5000 or set(b) & {5000}
+    assert sum(5000 in own for own in found.values()) >= 2 and max(map(len, found.values())) < 300
+
+
+def test_archives_are_read_in_chunks():
+    rng = random.Random(1)
+    records = [warc._member(warc.page_record(i, "u", rng.randbytes(rng.choice([0, 10, 3_000, 200_000])), None)) for i in range(2_000)]
+    data, at, asked = b"".join(records), 0, []
+
+    def read(n):
+        nonlocal at
+        asked.append(n)
+        at += n
+        return data[at - n : at]
+
+    start = time.time()
+    assert [int(h["x-page-id"]) for h, _ in warc.parse(read)] == list(range(2_000))
+    assert len(data) > 64 << 20 and max(asked) == warc.CHUNK and time.time() - start < 10
+    with pytest.raises(ValueError):
+        list(warc.parse(io.BytesIO(data[: len(records[0]) + 20]).read))
