@@ -1,19 +1,25 @@
 """PII (7): weak supervision finds personal data beyond the base rules.
 
 Base rules find emails, IPv4 addresses, payment cards and phone numbers; their spans always stay. A generous second set
-of patterns proposes candidates (written-out emails, addresses in other notation, numbers without a country code or that
-failed a base rule's check). Five labelers vote 1, 0 or -1 on each candidate and each base span: the base rule, a
-checksum or shape test, a gazetteer, words before it, and its edges. Votes and two coarse features make a pattern, of
-which there are at most 4 * 3^5 * 32, so the corpus's counts by pattern are bounded; from them expectation-maximisation
-estimates each labeler's reliability for each kind, and its posteriors train a logistic classifier. Candidates that it
-gives more than ACCEPT become spans. Whole texts are scanned, every pattern in time linear in the text.
-
-Null text: empty, no spans. Null doc_id and repeated rows: scanned like others. Empty table: empty result.
-`redact_documents` carries all other columns. Offsets are code points, ends exclusive.
+of patterns proposes candidates: emails that are written out, IPv6 and masked addresses, cards with other separators,
+national numbers and numbers within longer runs, and matches that failed a base rule's check. Five labelers vote 1, 0 or
+-1 on each candidate and base span, each from a source of its own: the base rule (for only), a test of form (checksum,
+octets, digits), a gazetteer (top-level domains, address blocks, card issuers with their lengths, country and area
+codes), words before it, and its edges. Votes and two coarse features make a pattern, of which there are at most
+4 * 3^5 * 32, so the corpus's counts by pattern are bounded. From them expectation-maximisation estimates each labeler's
+reliability for each kind: base spans are seeds, an abstention tells nothing. The posteriors train a logistic classifier
+on all votes but the base rule's. Candidates that it gives more than ACCEPT become spans; only then are overlaps
+resolved, by score in hundredths. Whole texts are scanned, every pattern in time linear in the text.
+
+Null text: empty, no spans. Null doc_id and repeated rows: scanned like others. Empty table: empty result. Ties of score
+go to the earlier, then the longer span. `redact_documents` carries all other columns. Offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,24 +32,39 @@ from pyspark.sql import types as T
 from .common import batches, spread_row, stage, table, whole_row
 
 KINDS = ["email", "ip", "card", "phone"]
-LABELERS, ACCEPT, ROUNDS = 5, 0.9, 60
+LABELERS, ACCEPT, ROUNDS, SEED = 5, 0.9, 60, 0.97
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SOME = re.compile(r"[0-9@]|[(\[]at[)\]]")
-#: Candidates beyond the base rules. Every repetition is bounded or runs over disjoint classes.
-_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]{1,63}){1,5}")
+#: What every span and candidate has: a digit, an @, a colon, or a written-out at or dot.
+_SOME = re.compile(r"[0-9@:]|[(\[{] ?at ?[)\]}]|[ (\[{]dot[ )\]}]", re.I)
+#: Candidates beyond the base rules. Every repetition is bounded or runs over disjoint classes; written-out emails are
+#: looked for only around such an at or dot.
+_TRIGGER = re.compile(r"[(\[{] ?at ?[)\]}]|[ (\[{]dot[ )\]}]", re.I)
+_AT, _DOT = r"(?: ?[(\[{] ?at ?[)\]}] ?|@| at )", r"(?: ?[(\[{] ?dot ?[)\]}] ?| dot |\.)"
+_WRITTEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}(?![A-Za-z0-9-])", re.I)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
-_SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+_HEX = "[0-9A-Fa-f]{1,4}"
+_SIX = re.compile(rf"(?<![0-9A-Za-z:])(?:(?:{_HEX}:){{2,7}}{_HEX}|(?:{_HEX}:){{1,6}}:{_HEX}(?::{_HEX}){{0,5}})(?![0-9A-Za-z:])")
+_MASKED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9.])")
+_SPACED = re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]{1,3}[0-9]{4}){3}(?![0-9])")
+_GROUP = re.compile(r"[0-9]+")
 _PLAIN = re.compile(r"(?<![0-9.+-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
+_NATIONAL = re.compile(r"(?<![0-9.+/-])\(?0[1-9][0-9]{1,3}\)?[ /.-]{1,3}[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
 _WORDS = {
-    0: re.compile(r"mail|contact|kontakt|correo|courriel|write|schreib"), 1: re.compile(r"\bip\b|host|server|address|adress|direcci"),
-    2: re.compile(r"card|karte|carte|tarjeta|visa|master|credit|pay"), 3: re.compile(r"phone|tel|call|fax|mobil|anruf|appel|llam|t[ée]l"),
+    0: re.compile(r"mail|contact|kontakt|correo|courriel|write|schreib|reach"), 1: re.compile(r"\bip\b|host|server|address|adress|direcci|client|login"),
+    2: re.compile(r"card|karte|carte|tarjeta|visa|master|credit|pay"), 3: re.compile(r"phone|\btel|call|fax|mobil|anruf|appel|llam|t[ée]l|ring"),
 }
-_AGAINST = re.compile(r"version|\bv$|isbn|issn|order|section|figure|page|invoice|doi|\bid\b|build|no\.$|nr\.$")
-_ENDS = frozenset("com org net edu gov mil int info biz io co de fr es uk us eu it nl ch at be ru cn jp in br ca au".split())
+_AGAINST = re.compile(r"version|\bv$|isbn|issn|order|section|figure|page|invoice|doi|\bid\b|build|serial|ticket|part\b|no\.? ?$|nr\.? ?$|# ?$")
+_ENDS = frozenset("com org net edu gov mil int info biz io co de fr es uk us eu it nl ch at be ru cn jp in br ca au se no dk fi pl pt ie nz mx ar app dev me tv".split())
+#: Card issuers: the range of the first six digits, and the lengths.
+_ISSUERS = [(400000, 499999, (13, 16, 19)), (510000, 559999, (16,)), (222100, 272099, (16,)), (340000, 349999, (15,)), (370000, 379999, (15,)), (601100, 601199, (16, 17, 18, 19)), (644000, 659999, (16, 17, 18, 19)),
+            (352800, 358999, (16, 17, 18, 19)), (300000, 305999, (14,)), (309500, 309599, (14,)), (360000, 360999, (14,)), (361000, 369999, (14,)), (380000, 399999, (14, 16)), (620000, 629999, (16, 17, 18, 19)), (500000, 509999, (13, 16, 19)), (560000, 589999, (13, 16, 19))]
+_COUNTRIES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()) | frozenset(
+    str(x) for a, b in ((211, 213), (216, 216), (218, 218), (220, 269), (290, 291), (297, 299), (350, 359), (370, 378), (380, 383), (385, 387), (389, 389), (420, 421), (423, 423), (500, 509), (590, 599), (670, 670), (672, 692), (800, 800), (808, 808), (850, 850), (852, 853), (855, 856), (870, 870), (880, 880), (886, 886), (960, 968), (970, 977), (979, 979), (992, 996), (998, 998)) for x in range(a, b + 1)
+)
 
 
 def luhn(digits: str) -> bool:
@@ -103,36 +124,76 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 
 
 def candidates(text: str, base: list[tuple[int, int, int]], failed: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """What else may be personal data, no span over a base span or over another."""
-    found = list(failed)
-    for kind, p in ((0, _WRITTEN), (1, _SIX), (3, _PLAIN)):
-        found += [(kind, *m.span()) for m in p.finditer(text)]
+    """What else may be personal data, in order; they may overlap each other, but no base span."""
+    found = set(failed)
+    for kind, p in ((1, _SIX), (1, _MASKED), (2, _SPACED), (3, _PLAIN), (3, _NATIONAL)):
+        found |= {(kind, *m.span()) for m in p.finditer(text)}
+    for kind, a, b in failed:
+        n = 0
+        for m in _GROUP.finditer(text, a, b) if kind == 3 else ():  # a run of too many digits: a number may end at any group
+            n += m.end() - m.start()
+            if n > 15:
+                break
+            if n >= 9:
+                found.add((3, a, m.end()))
+    last = 0
+    for t in _TRIGGER.finditer(text):
+        if t.start() >= last:  # else it was in a match's window already
+            last = t.start() + 200
+            found |= {(0, *m.span()) for m in _WRITTEN.finditer(text, max(0, t.start() - 160), last + 200)}
     taken = sorted((a, b) for _, a, b in base)
-    out, i, last = [], 0, 0
-    for kind, a, b in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
-        while i < len(taken) and taken[i][1] <= a:
-            i += 1
-        if a >= last and not any(s < b for s, _ in taken[i : i + 1]):
-            out.append((kind, a, b))
-            last = b
-    return out
+    starts, stops = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+    # an earlier base span that ends after the start, or one that starts within
+    free = lambda a, b: (i := bisect.bisect_left(starts, b)) == 0 or stops[i - 1] <= a
+    return sorted(x for x in found if free(x[1], x[2]))
+
+
+def _block(s: str) -> int:
+    """What the address plan says: 1 of public blocks, 0 of private ones, -1 of reserved ones."""
+    if ":" in s:
+        head = int(s.split(":")[0], 16)
+        return 1 if head >> 13 == 1 else 0 if head >> 8 in (0xFC, 0xFD, 0xFE) else -1
+    a, b = [int(x[-4:]) for x in re.findall(r"[0-9]+", s)[:2]]
+    if a == 0 or a >= 224:
+        return -1
+    return 0 if a in (10, 127) or (a, b) == (192, 168) or a == 172 and 16 <= b < 32 else 1
+
+
+def _code_of(s: str, d: str) -> int:
+    """What numbering plans say of a phone number."""
+    if s[0] == "+" or s.startswith("00"):
+        d = d.removeprefix("00")
+        known = next((d[:n] for n in (1, 2, 3) if d[:n] in _COUNTRIES), None)
+        return -1 if not known or known == "1" and len(d) != 11 else 1
+    if len(d) == 10 and d[0] != "0":
+        return 1 if d[0] in "23456789" and d[3] in "23456789" and d[1:3] != "11" else -1
+    return 0
 
 
 def pattern(text: str, kind: int, a: int, b: int, rule: int) -> int:
-    """The votes and features of a span, as one integer. rule: 1 base, -1 failed a base check, 0 neither."""
-    s, before = text[a:b], text[max(0, a - 24) : a].lower()
+    """The votes and features of a span, as one integer. rule: 1 of a base span, else 0."""
+    s, before = text[a:b], text[max(0, a - 40) : a].lower()
     d = _digits(s)
     if kind == 0:
-        tail = re.split(r"[.\s)\]]+", s.rstrip(")]"))[-1].lower()
-        shape, gazette = (1 if tail.isalpha() and len(tail) > 1 else -1), (1 if tail in _ENDS else -1)
+        parts = [x for x in re.split(r"[^A-Za-z0-9-]+", s) if x and x.lower() not in ("at", "dot")]
+        tail = parts[-1].lower() if parts else ""
+        shape = 1 if tail.isalpha() and 1 < len(tail) < 12 and len(parts) > 2 and any(c.isalpha() for c in parts[0]) else -1
+        gazette = 1 if tail in _ENDS else -1
     elif kind == 1:
-        shape = 1 if ":" in s or _octets(s) else -1
-        gazette = -1 if s.startswith(("0.", "255.")) else (0 if ":" in s else (1 if rule == 1 else -1))
+        if ":" in s:
+            groups = s.replace("::", ":0:").split(":")
+            shape = 1 if len(groups) == 8 or "::" in s and len(groups) < 8 else -1
+        else:
+            plain = re.sub(r"[\[\]()]", "", s)
+            shape = 1 if _octets(plain) and not re.search(r"(?:^|\.)0[0-9]", plain) else -1
+        gazette = _block(s)
     elif kind == 2:
-        shape, gazette = (1 if luhn(d) else -1), (1 if d[0] in "3456" else -1)
+        shape = 1 if 13 <= len(d) <= 19 and luhn(d) else -1
+        gazette = 1 if any(lo <= int(d[:6]) <= hi and len(d) in sizes for lo, hi, sizes in _ISSUERS) else -1
     else:
-        shape, gazette = (1 if 10 <= len(d) <= 13 else -1), (1 if s[0] == "+" else 0)
-    context = 1 if _WORDS[kind].search(before) else (-1 if _AGAINST.search(before) else 0)
+        shape = 1 if 9 <= len(d.removeprefix("00")) <= 15 and len(set(d)) > 2 else -1
+        gazette = _code_of(s, d)
+    context = -1 if _AGAINST.search(before[-16:]) else 1 if _WORDS[kind].search(before) else 0
     edge = (text[a - 1].isalnum() if a else False) or (text[b].isalnum() if b < len(text) else False)
     votes = (rule, shape, gazette, context, -1 if edge else 1)
     out = kind
@@ -154,22 +215,28 @@ class Model:
         order = np.argsort(patterns)
         self.patterns, w = patterns[order].astype(np.int64), counts[order].astype(np.float64)
         kind, votes, size, share = _unpack(self.patterns)
-        post = 1 / (1 + np.exp(-1.5 * (votes - 1).sum(1)))
+        base = votes[:, 0] == 2
+        post = np.where(base, SEED, 1 / (1 + np.exp(-1.5 * (votes[:, 1:] - 1).sum(1))))
         self.reliability: dict[str, np.ndarray] = {}
         for k in np.unique(kind):
             own = kind == k
-            v, c, q = votes[own], w[own], post[own]
+            v, c, q, seed = votes[own], w[own], post[own], base[own]
             for _ in range(ROUNDS):
-                # M: how often a labeler casts each vote, by class; one pseudo-count each. E: posteriors
-                theta = np.ones((LABELERS, 2, 3))
+                # M: how often a labeler that votes votes for and against, by class, with a few counts in advance
+                theta = np.array([[[4.0, 1.0], [0.5, 8.0]]] * LABELERS)
                 for i in range(LABELERS):
-                    for j in range(3):
-                        theta[i, 1, j] += (c * q)[v[:, i] == j].sum()
-                        theta[i, 0, j] += (c * (1 - q))[v[:, i] == j].sum()
+                    for j, x in ((0, 0), (1, 2)):
+                        theta[i, 1, j] += (c * q)[v[:, i] == x].sum()
+                        theta[i, 0, j] += (c * (1 - q))[v[:, i] == x].sum()
                 theta /= theta.sum(2, keepdims=True)
-                prior = ((c * q).sum() + 1) / (c.sum() + 2)
-                log = np.log(prior / (1 - prior)) + sum(np.log(theta[i, 1, v[:, i]] / theta[i, 0, v[:, i]]) for i in range(LABELERS))
-                q = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
+                # E: posteriors of candidates; a labeler that abstains tells nothing, and the base rule only of its own spans
+                free = ~seed
+                prior = ((c * q)[free].sum() + 1) / (c[free].sum() + 2)
+                log = np.full(len(q), np.log(prior / (1 - prior)))
+                for i in range(1, LABELERS):
+                    for j, x in ((0, 0), (1, 2)):
+                        log += np.where(v[:, i] == x, np.log(theta[i, 1, j] / theta[i, 0, j]), 0)
+                q = np.where(seed, SEED, 1 / (1 + np.exp(-np.clip(log, -30, 30))))
             post[own], self.reliability[KINDS[k]] = q, theta
         x = self._features(kind, votes, size, share)
         beta = np.zeros(x.shape[1])
@@ -178,12 +245,12 @@ class Model:
             h = (x * (w * p * (1 - p))[:, None]).T @ x + np.eye(len(beta))
             beta += np.linalg.solve(h, x.T @ (w * (post - p)) - beta)
         self.score = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        self.accepted = frozenset(self.patterns[self.score > ACCEPT].tolist())
+        self.accepted = {p: float(y) for p, y, b in zip(self.patterns.tolist(), self.score, base) if y > ACCEPT and not b}
 
     @staticmethod
     def _features(kind: np.ndarray, votes: np.ndarray, size: np.ndarray, share: np.ndarray) -> np.ndarray:
         hot = lambda a, n: np.eye(n)[a]
-        by_kind = [hot(kind, 4)[:, k : k + 1] * np.concatenate([hot(votes[:, i], 3) for i in range(LABELERS)], 1) for k in range(4)]
+        by_kind = [hot(kind, 4)[:, k : k + 1] * np.concatenate([hot(votes[:, i], 3) for i in range(1, LABELERS)], 1) for k in range(4)]
         return np.concatenate([hot(kind, 4), *by_kind, hot(size, 8), hot(share, 4)], 1)
 
 
@@ -192,13 +259,25 @@ def _scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     if not text or not _SOME.search(text):
         return [], []
     base, failed = base_spans(text)
-    bad = set(failed)
-    more = candidates(text, base, failed)
     out = [(*x, -1 - pattern(text, *x, 1)) for x in base]
-    out += [(*x, pattern(text, *x, -1 if x in bad else 0)) for x in more]
+    out += [(*x, pattern(text, *x, 0)) for x in candidates(text, base, failed)]
     return base, out
 
 
+def chosen(voted: list[tuple[int, int, int, int]], accepted: dict[int, float]) -> list[tuple[int, int, int]]:
+    """The base spans, and of the accepted candidates (kind, start, end, pattern) those that overlap no better one."""
+    out = [x[:3] for x in voted if x[3] < 0]
+    starts: list[int] = []
+    taken: dict[int, int] = {}
+    for kind, a, b, p in sorted((x for x in voted if x[3] in accepted), key=lambda x: (-round(accepted[x[3]], 2), x[1], -x[2], x[0])):
+        i = bisect.bisect_left(starts, b)
+        if i == 0 or taken[starts[i - 1]] <= a:
+            bisect.insort(starts, a)
+            taken[a] = b
+            out.append((kind, a, b))
+    return out
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
@@ -243,16 +322,16 @@ def pii_spans(docs: DataFrame) -> DataFrame:
                 if not any(x["pattern"] in accepted for x in more):
                     spans.append(base)
                 else:
-                    spans.append(_joined([(x["kind"], x["start"], x["stop"]) for x in more if x["pattern"] < 0 or x["pattern"] in accepted]))
+                    spans.append(_joined(chosen([(x["kind"], x["start"], x["stop"], x["pattern"]) for x in more], accepted)))
             keep = [c for c in b.schema.names if c != "more"]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(spans, pa.string())], names=[*keep, "spans"])
 
     return found.mapInArrow(run, "doc_id long, base string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string")
 
 
-def redact(text: str | None, accepted: frozenset[int]) -> str | None:
+def redact(text: str | None, accepted: dict[int, float]) -> str | None:
     """The text with each span, or each run of overlapping spans, replaced by its kind in brackets."""
-    spans = sorted((a, -b, k) for k, a, b, p in _scan(text or "")[1] if p < 0 or p in accepted)
+    spans = sorted((a, -b, k) for k, a, b in chosen(_scan(text or "")[1], accepted))
     if not spans:
         return text
     out, last = [], 0

@@ -156,11 +156,75 @@ def test_pii_documents(spark):
     assert pii.pii_spans(docs.limit(0)).count() == 0 and pii.redact_documents(docs.limit(0)).count() == 0
 
 
+def planted(rng):
+    """A text with a planted candidate or decoy: text, the kind that is personal data or None, and where it is."""
+    word = lambda: "".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(3, 9)))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    def card(ok):
+        while True:
+            d = rng.choice("4456") + digits(15) if ok else digits(16)
+            if pii.luhn(d) == ok and (not ok or d[0] == "4"):
+                return d
+    code = lambda: f"{rng.randint(212, 989)}-{rng.randint(223, 989)}-{digits(4)}"
+    end = rng.choice(["com", "org", "de", "net"])
+    near = lambda *w: rng.choice([*w, word(), word()])
+    what, before = rng.choice([
+        (("email", f"{word()} (at) {word()} (dot) {end}"), near("write to", "mail")), (("email", f"{word()}.{word()}[at]{word()}.{end}"), near("contact")), (("email", f"{word().upper()} (AT) {word().upper()} (DOT) {end.upper()}"), near("reach")),
+        (("phone", code()), near("call", "phone")), (("ip", f"{rng.randint(20, 99)}[.]{rng.randint(1, 250)}[.]{rng.randint(1, 250)}[.]{rng.randint(1, 250)}"), near("host", "server")), (("ip", f"2001:db8:85a3:{digits(4)}::8a2e:{digits(3)}"), near("server")),
+        (("card", re.sub("(?<=.)(?=(?:.{4})+$)", ".", card(True))), near("card")),
+        ((None, card(False)), near("ref", "order")), ((None, card(False)), word()), ((None, f"1{rng.randint(0, 1)}{digits(1)}-0{digits(2)}-{digits(4)}"), near("order no.", "part")), ((None, f"{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(300, 999)}.{rng.randint(300, 900)}"), near("version", "build")),
+        ((None, f"{rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}:{rng.randint(10, 99)}"), word()), ((None, f"{rng.randint(2, 9)} (at) {digits(2)}.{digits(1)}"), word()),
+    ])
+    head = f"{word()} {before} "
+    return head + what[1] + f" {word()}", what[0], (len(head), len(head) + len(what[1]))
+
+
+BASES = ["mail me.now@x.example.com", "call +1 (310) 555-4510 today", "host 93.184.216.34 is up", "card 4111111111111111", "see a-b@c.org or 5500005555555559", "+49 30 1234567", "10.0.0.1 or 192.168.7.7", "tel +44 20 7946 0958"]
+
+
+def test_added_spans_on_held_out_texts(spark):
+    """Fitted on unlabelled texts, the model accepts planted candidates of others and rejects decoys; precision and recall are at least 0.95 and 0.9. Labelers differ in reliability."""
+    rng = random.Random(12)
+    train = [planted(rng)[0] for _ in range(1500)] + BASES * 60
+    docs = spark.createDataFrame(list(enumerate(train)), "doc_id long, text string")
+    model = pii.fit(pii.find(docs))
+    right = wrong = missed = 0
+    for _ in range(3000):
+        text, kind, (a, b) = planted(rng)
+        base, voted = pii._scan(text)
+        spans = pii.chosen(voted, model.accepted)
+        assert set(base) <= set(spans)
+        added = {(pii.KINDS[k], x, y) for k, x, y in spans} - {(pii.KINDS[k], x, y) for k, x, y in base}
+        hit = any(k == kind and x < b and a < y for k, x, y in added)
+        right, wrong, missed = right + hit, wrong + len(added) - hit, missed + (kind is not None and not hit)
+    assert right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.9, (right, wrong, missed)
+    # how often each votes against what isn't personal data, if it votes
+    no = {k: [round(float(t[i, 0, 0]), 2) for i in range(1, 5)] for k, t in model.reliability.items()}
+    assert len(no) == 4 and all(len(set(x)) > 1 for x in no.values()), no
+
+
+def test_candidates_overlap_until_they_are_accepted():
+    """A card-like run that fails doesn't hide the phone number in it; capitals and letters alone are seen; a number is cut from a longer run."""
+    found = lambda t: {(pii.KINDS[k], t[a:b]) for k, a, b, p in pii._scan(t)[1] if p >= 0}
+    assert {("card", "2024 310-555-4510"), ("phone", "310-555-4510")} <= found("in 2024 310-555-4510 x")
+    assert ("email", "JOE (AT) SITE (DOT) COM") in found("to JOE (AT) SITE (DOT) COM")
+    assert ("ip", "fe80::abcd:ef") in found("at fe80::abcd:ef now")
+    assert ("phone", "+1 (826) 555-4081") in found("+1 (826) 555-4081 190.137.223.7")
+    t = "2024 310-555-4510 and 4111.1111.1111.1111"
+    voted = pii._scan(t)[1]
+    score = {p: 0.95 + 0.01 * k for k, _, _, p in voted}
+    spans = pii.chosen(voted, score)
+    assert len(spans) == 2 and all(x[2] <= y[1] for x, y in zip(sorted(spans, key=lambda x: x[1]), sorted(spans, key=lambda x: x[1])[1:]))
+    assert pii.chosen(voted, {}) == []
+
+
 def test_em_finds_the_reliable_labelers():
-    """Two kinds of candidates, one vote pattern each with noise: posteriors separate them, and the classifier follows."""
-    good, bad = pii.pattern("call +1 (310) 555-4510 ", 3, 5, 22, 1), pii.pattern("x 2669109448945250 y", 2, 2, 18, -1)
+    """Two kinds of candidates, one vote pattern each: posteriors separate them, and the classifier follows."""
+    good, bad = pii.pattern("call 310-555-4510 ", 3, 5, 17, 0), pii.pattern("x 9807915762804490 y", 2, 2, 18, 0)
     import numpy as np
 
     m = pii.Model(np.array([good, bad]), np.array([500, 400]))
     assert good in m.accepted and bad not in m.accepted
     assert not pii.Model(np.empty(0, np.int64), np.empty(0, np.int64)).accepted
+
+
