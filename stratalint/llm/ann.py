@@ -3,8 +3,9 @@
 Every vector goes to the cell of its nearest centroid; its residual, randomly rotated into SPREAD times its dimensions,
 leaves one bit for each of those, its length, and the inner product of its direction with its code. From these a query's
 inner product is estimated with a bound on the error. A query has a floor from the start: the k-th best inner product with
-the sample, whose k nearest are found already. In a cell it rises to the k-th best exact one of those that the estimates put first. Only vectors whose upper
-bound reaches the floor are reranked with the original vectors, in double precision: a few in a hundred.
+the sample, whose k nearest are found already. In a cell, if many are left, it rises to the k-th best exact one of those
+that the estimates put first. Only vectors whose upper bound reaches the floor are reranked with the original vectors, in
+double precision: a few in a hundred.
 
 Centroids, the number of cells to probe and the floors come from a sample of at most SAMPLE rows, those of least hash; the
 number is the least whose recall is RECALL on sample rows that the centroids weren't fitted to. Every row is indexed. Cells
@@ -99,7 +100,7 @@ def in_sample(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
         s = q[i : i + 256] @ x.T
         s[own[i : i + 256, None] == ids[None, :]] = -np.inf
         at[i : i + 256] = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    score = np.einsum("ac,abc->ab", q, x[at]) if len(q) else score
+        score[i : i + 256] = np.einsum("ac,abc->ab", q[i : i + 256], x[at[i : i + 256]])
     return at, score
 
 

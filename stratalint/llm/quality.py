@@ -3,8 +3,9 @@
 One pass over the texts gives each document's measures. Documents that pass the base rule feed a sketch for each
 (lang, source) and measure: a log-linear histogram whose cell keeps the leading six bits of an integer, hence a relative
 error of at most 1/32 for any quantile. Such sketches merge by adding counts, in any order, so Spark's partial
-aggregation builds them before the shuffle, a hot source included. A group of under MIN_GROUP documents falls back to the
-merged sketch of its language, then of all. A measure's fence is median + K * max(median - lower quartile, FLOOR): its
+aggregation builds them before the shuffle, a hot source included. A group's quantiles are drawn towards those of its
+language, and a language's towards those of all, as if PRIOR documents more had had them: every group has thresholds of its
+own, and no size switches. A measure's fence is median + K * max(median - lower quartile, FLOOR): its
 spread comes from the lower half, so junk, which is in the upper half, can't raise its own threshold.
 
 Null text: no words, base_failed. Null lang or source: the group "". Null doc_id: kept as it is. Repeated rows: each is
@@ -25,8 +26,8 @@ from .common import batches, small_join, spread_row, stage, table, whole_row
 
 #: Measure -> (K, FLOOR): per mille of words, of word length or of lines.
 FENCES = {"symbols": (4, 50), "length": (30, 100), "lines": (4, 100), "repeats": (4, 50)}
-#: Documents from which a group has thresholds of its own; words from which the mean word length tells anything.
-MIN_GROUP, MIN_WORDS = 200, 50
+#: Documents by whose weight a group's parent counts; words from which the mean word length tells anything.
+PRIOR, MIN_WORDS = 200, 50
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -103,8 +104,10 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     own, lang, every = quantiles(sketch, ["lang", "source"]), quantiles(sketch, ["lang"]), quantiles(sketch, [])
     pack = lambda df, name: df.select(*[c for c in df.columns if c not in ("docs", "q1", "q2")], F.struct("docs", "q1", "q2").alias(name))
     x = pack(own, "own").join(pack(lang, "of_lang"), ["lang", "measure"]).join(F.broadcast(pack(every, "of_all")), "measure")  # of_all: four rows
-    q = F.when(F.col("own.docs") >= MIN_GROUP, F.col("own")).when(F.col("of_lang.docs") >= MIN_GROUP, F.col("of_lang")).otherwise(F.col("of_all"))
-    x = x.select("lang", "source", "measure", q.alias("q"))
+    blend = lambda docs, own, parent: F.expr(f"({docs} * {own} + {PRIOR} * {parent}) div ({docs} + {PRIOR})")
+    for q in ("q1", "q2"):
+        x = x.withColumn(f"_{q}", blend("of_lang.docs", f"of_lang.{q}", f"of_all.{q}")).withColumn(q, blend("own.docs", f"own.{q}", f"_{q}"))
+    x = x.select("lang", "source", "measure", F.struct("q1", "q2").alias("q"))
     out = []
     for m, (k, floor) in FENCES.items():
         width = k * F.greatest(F.col("q.q2") - F.col("q.q1"), F.lit(floor))
@@ -165,8 +168,8 @@ m AS (SELECT *, CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 EN
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
 sketch AS (SELECT lang, source, measure, (v >> s) << s AS cell, count(*) AS n FROM (SELECT *, greatest(len(bin(v)) - 6, 0) AS s FROM ({cells})) GROUP BY ALL),
 {level("own", "lang, source")}, {level("of_lang", "lang")}, {level("of_all", "")},
-q AS (SELECT o.lang, o.source, measure, CASE WHEN o.docs >= {MIN_GROUP} THEN o.q1 WHEN g.docs >= {MIN_GROUP} THEN g.q1 ELSE a.q1 END AS q1, CASE WHEN o.docs >= {MIN_GROUP} THEN o.q2 WHEN g.docs >= {MIN_GROUP} THEN g.q2 ELSE a.q2 END AS q2
-  FROM own o JOIN of_lang g USING (lang, measure) JOIN of_all a USING (measure)),
+g AS (SELECT lang, measure, {", ".join(f"(g.docs * g.{q} + {PRIOR} * a.{q}) // (g.docs + {PRIOR}) AS {q}" for q in ("q1", "q2"))} FROM of_lang g JOIN of_all a USING (measure)),
+q AS (SELECT o.lang, o.source, measure, {", ".join(f"(o.docs * o.{q} + {PRIOR} * g.{q}) // (o.docs + {PRIOR}) AS {q}" for q in ("q1", "q2"))} FROM own o JOIN g USING (lang, measure)),
 h AS (SELECT lang, source, {limit}, max(q2 - {width}) FILTER (measure = 'length') AS length_lo FROM q GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(symbols > symbols_hi OR lines > lines_hi OR repeats > repeats_hi
   OR (n_words >= {MIN_WORDS} AND (length > length_hi OR length < length_lo)), false) AS kept FROM m LEFT JOIN h USING (lang, source)

@@ -59,6 +59,19 @@ def test_quality_tells_junk(spark):
     assert junk and not any(got[r["doc_id"]][1] for r in junk)
 
 
+def test_every_level_decides(spark):
+    """A large source, a small one, its language and all: each moves the thresholds of the small one by its weight, and its verdicts."""
+    rows = [(lang, source, v) for lang, source, n, v in (("en", "big", 1000, 0), ("en", "small", 50, 200), ("de", "other", 400, 100), ("fr", "few", 3, 500)) for _ in range(n)]
+    df = spark.createDataFrame([(*r[:2], r[2], 5000, 0, 0, False) for r in rows], "lang string, source string, symbols long, length long, lines long, repeats long, base_failed boolean")
+    got = {(r["lang"], r["source"]): r["symbols_hi"] for r in quality.thresholds(quality.sketches(df)).collect()}
+    cell = {v: v >> max(0, v.bit_length() - 6) << max(0, v.bit_length() - 6) for v in (0, 100, 200, 500)}
+    width, P_ = quality.FENCES["symbols"][0] * quality.FENCES["symbols"][1], quality.PRIOR
+    every = 0  # the median of all
+    en, de, fr = (0 + P_ * every) // (1050 + P_), (400 * cell[100] + P_ * every) // (400 + P_), (3 * cell[500] + P_ * every) // (3 + P_)
+    want = {("en", "big"): (P_ * en) // (1000 + P_), ("en", "small"): (50 * cell[200] + P_ * en) // (50 + P_), ("de", "other"): (400 * cell[100] + P_ * de) // (400 + P_), ("fr", "few"): (3 * cell[500] + P_ * fr) // (3 + P_)}
+    assert got == {k: v + width for k, v in want.items()} and len(set(got.values())) == 4
+
+
 def test_sketches_merge(spark):
     """Sketches of parts, added, are the sketch of the whole; a quantile is off by at most 1/32."""
     rng = random.Random(4)
