@@ -238,7 +238,7 @@ _FOUND_KINDS = (pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 6)
 _CLASS, _HOT = -1, -2
 
 
-def _prefixes(rows: pa.Table) -> pa.Table:
+def _prefixes(rows: pa.Table, hot: int) -> pa.Table:
     """For a chunk, by bucket, the prefix shingles that other texts may have, each with its reach: the most shingles that a text may have which is alike to this one and shares this shingle as the first in order. For each class that sends any, a row with its shared shingles, their number and their parities."""
     doc, token, code, info = [], [], [], None
     for bucket, docs, at, times, ids, codes in zip(*(rows.column(c).to_pylist() for c in ("bucket", "docs", "at", "times", "ids", "codes"))):
@@ -263,7 +263,7 @@ def _prefixes(rows: pa.Table) -> pa.Table:
     take = (place <= n - (60 * n + 99) // 100) & (5 * reach >= 3 * n)
     out = [(_CLASS, int(s1[k]), int(size[k]), int(many[k]), _parities(token[cut[k] : cut[k + 1]]), *[None] * 5) for k in np.unique(doc[take]).tolist()]
     doc, token, reach = doc[take], token[take], reach[take]
-    bucket = np.where(code[take] > _code(np.array([HOT_TEXTS]))[0], _HOT, token >> 24)
+    bucket = np.where(code[take] > _code(np.array([hot]))[0], _HOT, token >> 24)
     order = np.argsort(bucket, kind="stable")
     doc, token, reach, bucket = doc[order], token[order], reach[order], bucket[order]
     edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(doc) else np.zeros(1, np.int64)
@@ -309,14 +309,14 @@ class _Parities:
         return out
 
 
-def prefixes(docs: DataFrame, total: int) -> DataFrame:
+def prefixes(docs: DataFrame, total: int, hot: int = HOT_TEXTS) -> DataFrame:
     """Blobs of prefix shingles by bucket, and a row for each class that sends any; staged. total: shingles in all."""
     bits = int(np.clip(np.ceil(np.log2(max(1, total) / RANGE)), 4, 24))
     blobs = docs.select("text").mapInArrow(_blobs(bits), _BLOB)
     # a chunk's signatures wait for it under a key of their own
     key = F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket").cast("long"))
     counted = blobs.groupBy(key.alias("_key")).applyInArrow(_count, _BLOB)
-    return stage(counted.groupBy("chunk").applyInArrow(_prefixes, _FOUND))
+    return stage(counted.groupBy("chunk").applyInArrow(lambda rows: _prefixes(rows, hot), _FOUND))
 
 
 def _range_max(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -574,14 +574,14 @@ def _row_key(doc_id: Column, h: Column) -> list[Column]:
     return [F.coalesce(doc_id, F.lit(0)).cast("long").alias("_id"), doc_id.isNull().alias("_no"), h.alias("_h")]
 
 
-def _linked(docs: DataFrame, max_texts: int, max_shingles: int) -> DataFrame:
+def _linked(docs: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = BLOCK_SHINGLES, hot: int = HOT_TEXTS) -> DataFrame:
     """doc_id, h (a hash of the text), n, n_similar and first (the component's least id, nulls last, and h with it; null without shingles); one row per document."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     signed = stage(docs.mapInArrow(_sign, "doc_id long, h long, n long, s1 long, s2 long"))
     own = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "h"))
     classes = stage(signed.filter("s1 is not null").groupBy("s1", "s2").agg(own.alias("own"), F.count("*").alias("size"), F.first("n").alias("n")))
     count = signed.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
-    at = blocks(prefixes(docs, count["n"] or 0), max_texts, max_shingles)
+    at = blocks(prefixes(docs, count["n"] or 0, hot), max_texts, max_shingles)
     needed = stage(classes.join(at, "s1").select(*_row_key(F.col("own.id"), F.col("own.h")), "s1", "s2", "size", "n", "at", "tokens"))
     # texts of other rows don't move; of rows with the same id and text, one does
     rows = docs.select("text", *_row_key(F.col("doc_id"), F.col("h")))
@@ -599,15 +599,15 @@ def _linked(docs: DataFrame, max_texts: int, max_shingles: int) -> DataFrame:
     return hot_join(signed, known, ["s1", "s2"], "size", count["rows"]).select("doc_id", "h", "n", "n_similar", "first")
 
 
-def similar(docs: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def similar(docs: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = BLOCK_SHINGLES, hot: int = HOT_TEXTS) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id; one row per document."""
-    x = _linked(docs, max_texts, max_shingles)
+    x = _linked(docs, max_texts, max_shingles, hot)
     return x.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.coalesce("first.id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, but of each component only one, of the smallest id (nulls last). Rows without shingles all stay."""
-    marked = stage(_linked(docs, BLOCK_TEXTS, BLOCK_SHINGLES).filter("first is not null"))
+    marked = stage(_linked(docs).filter("first is not null"))
     mine = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
     key = _row_key(F.col("doc_id"), F.col("h"))
     drop = marked.filter(~mine).select(*key).withColumn("_all", F.lit(True)).distinct()

@@ -238,6 +238,34 @@ def test_similar_without_ids(spark, near):
         left[mine[0]] -= 1
 
 
+@pytest.mark.parametrize("limits", [(2000, 2_000_000, 100_000), (700, 10**6, 1000)])
+def test_similar_with_hot_shingles(spark, limits):
+    """Shingles that thousands of texts share: among some all are alike, among others none; also where their groups aren't gathered in one task."""
+    alike = [(i, f"aa bb cc dd e{i}") for i in range(5_000)]  # any two share 3 of 5
+    other = [(10_000 + i, f"pp qq pp qq r{i}") for i in range(3_000)]  # any two share 2 of 4
+    docs = spark.createDataFrame(alike + other, "doc_id long, text string").repartition(6)
+    got = Counter((r["n_shingles"], r["n_similar"], r["component_id"] if r["doc_id"] < 10_000 else r["component_id"] == r["doc_id"]) for r in jaccard.similar(docs, *limits).collect())
+    assert got == {(4, 4_999, 0): 5_000, (3, 0, True): 3_000}
+
+
+def test_similar_with_null_ids_of_near_copies(spark):
+    rows = [(None, "a b c d e f g h i j k"), (5, "a b c d e f g h i j z"), (None, "x y")]
+    got = sorted(map(str, map(tuple, jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert got == ["(5, 10, 1, 5)", "(None, 1, 0, None)", "(None, 10, 1, 5)"]
+
+
+def test_reaches_find_all_partners():
+    """_partnered against all pairs."""
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        m = int(rng.integers(1, 40))
+        group, n, reach = np.sort(rng.integers(0, 6, m)), rng.integers(1, 30, m), rng.integers(0, 40, m)
+        order = np.lexsort((n, group))
+        group, n, reach = group[order], n[order], reach[order]
+        want = [any(i != j and group[i] == group[j] and n[i] <= reach[j] and n[j] <= reach[i] for j in range(m)) for i in range(m)]
+        assert jaccard._partnered(group, n, reach).tolist() == want
+
+
 def test_tree_join():
     rng = np.random.default_rng(0)
     for _ in range(60):
