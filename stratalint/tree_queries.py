@@ -25,8 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which must be mounted; a temporary one only where that is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir, which must be mounted; a temporary one only where that is unset and the session local, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if shared and not shared.startswith(("file:", "/")):
         raise ValueError(f"source trees need a mounted folder, not {shared}")
     at = f"{shared.removeprefix('file:').rstrip('/')}/tree-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tree-")
