@@ -22,9 +22,11 @@ BITMAP_WORDS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; set to a temporary one only where it is unset (tests)."""
+    """The cluster's shared folder, from spark.checkpoint.dir. Where it is unset, a local session gets a temporary one, as in tests; a cluster has no folder that all its machines see, so there it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="stratalint-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -42,12 +44,23 @@ def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
 STAGED: list[str] = []
 
 
+def drop_between(spark: SparkSession, start: int, last: int = 1) -> None:
+    """Delete the staged tables from the given place in STAGED on, but for the last ones; for operators that have staged what was derived from them."""
+    gone = STAGED[start : len(STAGED) - last]
+    del STAGED[start : len(STAGED) - last]
+    for path in gone:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_staged(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables staged since the given length of STAGED; for callers that have written what was derived from them."""
-    jvm = spark.sparkContext._jvm
     while len(STAGED) > since:
-        path = jvm.org.apache.hadoop.fs.Path(STAGED.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, STAGED.pop())
 
 
 def named(name: str, df: DataFrame | None = None) -> Column:

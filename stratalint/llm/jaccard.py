@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, components, hot_join, maybe_in, release, spread_row, stage, table, union_find, whole_row
+from .common import STAGED, batches, components, drop_between, hot_join, maybe_in, release, spread_row, stage, table, union_find, whole_row
 
 #: Shingles of a counting task, texts of a shingle beyond which its group is cut before it is gathered, and texts and shingles of a block, beyond which it is divided.
 RANGE, HOT_TEXTS, BLOCK_TEXTS, BLOCK_SHINGLES = 2_000_000, 100_000, 2_000, 2_000_000
@@ -581,8 +581,10 @@ def _linked(docs: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = B
     own = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "h"))
     classes = stage(signed.filter("s1 is not null").groupBy("s1", "s2").agg(own.alias("own"), F.count("*").alias("size"), F.first("n").alias("n")))
     count = signed.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    spark, own_tables = docs.sparkSession, len(STAGED)
     at = blocks(prefixes(docs, count["n"] or 0, hot), max_texts, max_shingles)
     needed = stage(classes.join(at, "s1").select(*_row_key(F.col("own.id"), F.col("own.h")), "s1", "s2", "size", "n", "at", "tokens"))
+    drop_between(spark, own_tables)  # blobs, shingles and parities have served
     # texts of other rows don't move; of rows with the same id and text, one does
     rows = docs.select("text", *_row_key(F.col("doc_id"), F.col("h")))
     rows = maybe_in(rows, F.xxhash64(*_KEY), needed.select(F.xxhash64(*_KEY).alias("key"))).groupBy(*_KEY).agg(F.first("text").alias("text"))
@@ -590,6 +592,7 @@ def _linked(docs: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = B
     spread = needed.agg(F.sum(F.col("n") * F.size("at")).alias("n")).first()["n"] or 0
     bins = max(8, -(-spread // (BLOCK_SHINGLES // 2)))
     links = stage(loaded.groupBy(F.pmod(F.xxhash64("block", "i", "j"), F.lit(bins)).alias("_bin")).applyInArrow(_judge, _LINKS))
+    drop_between(spark, own_tables)
     united = components(links.filter("s1 <> root").select(F.col("s1").alias("a"), F.col("root").alias("b")))
     of_class = links.groupBy("s1", "s2").agg(F.sum("links").alias("links"))
     classes = stage(classes.join(of_class, ["s1", "s2"], "left").join(united, F.col("s1") == F.col("node"), "left").drop("node"))

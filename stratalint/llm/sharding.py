@@ -5,7 +5,7 @@ drawn from the multivariate hypergeometric law with the partitions' counts as it
 column sums. It is drawn by halving the range of partitions; each half's counts come from a generator seeded by the range
 alone, so a task finds its own row in O(targets * log partitions) without the matrix being held or sent. A task permutes
 its labels (permute locally), rows move once (exchange), and each target sorts by random 64-bit keys (permute again). A
-shard is made of as many targets as keep one near ROWS rows, and has a fixed range of slots for each, so no task holds a
+shard is made of as many targets as keep one near ROWS rows or BYTES bytes, and has a fixed range of slots for each, so no task holds a
 shard, and slots need no counting.
 
 Law: `rows`, shard sizes at most one apart, for any key, source or text that is hot: nothing is grouped, so equal texts
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import spread_row, table, whole_row
 
-#: Rows that a target, a task's part of a shard, has at most.
-ROWS = 20_000
+#: Rows that a target, a task's part of a shard, has at most, and bytes of files behind them.
+ROWS, BYTES = 20_000, 64 << 20
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -81,14 +81,20 @@ def target_sizes(total: int, shards: int, rows: int = ROWS) -> tuple[np.ndarray,
     return np.array(sizes, np.int64), np.array(of, np.int32), np.array(first, np.int64)
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, rows: int = ROWS) -> DataFrame:
-    """docs with shard, 0 to shards - 1, and slot, gapless from 0 in each shard."""
+def rows_of(docs: DataFrame, total: int) -> int:
+    """Rows for a target: ROWS, or fewer where the planner's size of the input, of its files, makes them over BYTES."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return ROWS if not total or size >= 1 << 60 else max(1, min(ROWS, BYTES * total // max(1, size)))
+
+
+def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, rows: int | None = None) -> DataFrame:
+    """docs with shard, 0 to shards - 1, and slot, gapless from 0 in each shard. rows: what a target has at most."""
     kept = docs.drop("shard", "slot")
     per = {r["p"]: r["n"] for r in kept.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}  # a number for each partition
     counts = np.zeros(max(per, default=-1) + 1, np.int64)
     for p, n in per.items():
         counts[p] = n
-    sizes, of, first = target_sizes(int(counts.sum()), shards, rows)
+    sizes, of, first = target_sizes(int(counts.sum()), shards, rows or rows_of(kept, int(counts.sum())))
     sc = kept.sparkSession.sparkContext
     known = sc.broadcast((counts, sizes))  # 8 bytes for each partition and target
 

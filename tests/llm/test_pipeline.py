@@ -37,3 +37,59 @@ def test_stages(spark, tmp_path):
 def test_registry():
     q = entry.queries()
     assert "pipeline" in q and [sum(x.startswith(f"op{n}_") for x in q) for n in range(1, 11)] == [1] * 10
+
+
+def test_run_with_nulls_repeats_and_long_texts(spark, tmp_path):
+    import random
+
+    from test_set_ops import check_packing
+
+    from stratalint.llm import packing
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(4, 6))) for _ in range(30_000)]
+    one, two, three, long = (" ".join(words[a:b]) for a, b in ((0, 60), (100, 160), (200, 260), (300, 30_000)))
+    rows = [(1, one, "en", "s"), (2, one, "en", "s"), (None, two, None, "s"), (None, two, None, "s"), (3, None, "en", "s"), (4, "", None, None), (5, three + " mail me.now@x.example.com", None, None), (6, long, "en", None), (6, long, "en", None)]
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "some/documents.parquet"))
+    got = pipeline.run(spark, str(tmp_path / "some")).collect()
+    import public_tokenizers as p
+
+    e = packing.encoder(p.path("byte_bpe_50k.json"))
+    want = {1: one, None: two, 5: three + " mail [EMAIL]", 6: long}
+    sizes = {k: len(e.ids(t)) + 1 for k, t in want.items()}
+    check_packing(got, sum(sizes.values()))
+    assert {k: sum(r["length"] for r in got if r["doc_id"] == k) for k in {r["doc_id"] for r in got}} == sizes
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "sequence_id" in out.columns
+
+
+def test_only_missing_modules_are_forgiven(monkeypatch):
+    """The guard lets a missing subpackage pass, but not a missing library."""
+    import builtins
+
+    real = builtins.__import__
+
+    def without(name):
+        def fake(module, *args, **kw):
+            if module == name:
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+            return real(module, *args, **kw)
+
+        return fake
+
+    monkeypatch.setattr(builtins, "__import__", without("corpus_pipeline"))
+    assert entry._optional() == ({}, {})
+    import sys
+
+    for m in [m for m in sys.modules if m.startswith("stratalint.llm.quality")]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    monkeypatch.setattr(builtins, "__import__", without("numpy"))
+    for m in [m for m in sys.modules if m.startswith("stratalint.llm")]:
+        monkeypatch.delitem(sys.modules, m)
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional()

@@ -596,3 +596,30 @@ def test_archives_are_read_in_chunks():
     assert len(data) > 64 << 20 and max(asked) == warc.CHUNK and time.time() - start < 10
     with pytest.raises(ValueError):
         list(warc.parse(io.BytesIO(data[: len(records[0]) + 20]).read))
+
+
+def test_packing_of_null_ids_and_repeated_rows(spark):
+    import public_tokenizers
+
+    rows = [(None, "one two three"), (7, "x " * 5000), (7, "x " * 5000), (None, None), (None, "one two three"), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    e = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    got = packing.packed(docs).collect()
+    check_packing(got, sum(len(e.ids(t or "")) + 1 for _, t in rows))
+    n = len(e.ids("x " * 5000)) + 1
+    assert Counter((r["doc_id"], r["piece"], r["length"]) for r in got) == Counter([(None, 0, len(e.ids("one two three")) + 1)] * 2 + [(None, 0, 1), (8, 0, 1)] + [(7, k, b - a) for _ in range(2) for k, (a, b) in enumerate(zip(packing.cuts(n), [*packing.cuts(n)[1:], n]))])
+
+
+def test_long_payloads_and_texts(spark, tmp_path):
+    long = "é" * 3_000_000
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", "x" * 200), (3, "u", long), (2, "u", "x" * 200)], "page_id long, url string, html string")
+    warc.write_archives(pages, f"file://{tmp_path}/l", shards=2, roll=1000)
+    got = sorted((r["page_id"], r["record_type"], r["payload_bytes"]) for r in warc.read_archives(spark, f"file://{tmp_path}/l").collect())
+    assert got == [(1, "response", 6_000_000), (2, "response", 200), (2, "response", 200), (3, "revisit", 6_000_000)]
+    docs = common.stage(spark.createDataFrame([(i, long if i == 5 else None, i) for i in range(40)], "doc_id long, text string, size int"))
+    out = sharding.shuffle_into_shards(docs, 3).collect()
+    assert sorted(Counter(r["shard"] for r in out).values()) == [13, 13, 14] and sum(r["text"] == long for r in out) == 1
+    assert sharding.rows_of(docs, 40) == sharding.ROWS
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sharding, "BYTES", 100)
+        assert sharding.rows_of(docs, 40) < 40
