@@ -61,20 +61,47 @@ FILE_RULES: dict[str, tuple[str, str, str]] = {
     "mutable_default": ("mutable-default", r"concat('def f(a=', element_at(array('[]', '{}', 'None', '()'), p_size % 4 + 1), '):\n    pass\n')", _rows("1", "'warning'", "p_size % 4 < 2")),
     "bare_except": ("bare-except", r"concat('try:\n    x = 1\nexcept', if(p_size % 2 = 0, ' ValueError', ''), ':\n    raise\n')", _rows("3", "'warning'", "p_size % 2 = 1")),
     "swallowed_exception": ("swallowed-exception", r"concat('try:\n    x = 1\nexcept ValueError:\n    ', element_at(array('pass', '...', 'raise', 'x = 2'), p_size % 4 + 1), '\n')", _rows("3", "'warning'", "p_size % 4 < 2")),
-    "missing_else": ("missing-else", r"concat('x = 1\nif x:\n', repeat('    x = 1\n', p_size % 4 + 1), if(p_size % 3 = 0, 'else:\n    x = 0\n', ''))", _rows("2", "'info'", "p_size % 4 >= 1 AND p_size % 3 <> 0")),
+    # the last statement of the block: of 18 kinds, five make the rule speak
+    "missing_else": (
+        "missing-else",
+        r"concat('def f(a, x):\n    for q in x:\n        if a:\n', repeat('            y = 1\n', p_size % 3), '            ', element_at(array('z = 1', 'return', 'raise x', 'break', 'continue', 'if x: z = 1', 'a()', 'yield q', 'yield from q', "
+        r"'for z in x: pass', 'while x: pass', 'a.b = 1', 'a[0] = 1', 'a.b += 1', 'z, a.b = 1, 2', 'z += 1', 'assert x', 'if x: z = 1\n            else: z = 2'), cast(p_partkey % 18 as int) + 1), '\n', if(p_size % 5 = 0, '        else:\n            y = 2\n', ''))",
+        _rows("3", "'info'", "p_size % 3 >= 1 AND p_size % 5 <> 0 AND p_partkey % 18 IN (0, 14, 15, 16, 17)"),
+    ),
     "unused_import": ("unused-import", "concat(" + _each("p_size % 5", r"concat('import m', i, '\n')") + ", " + _each("p_size % 5", r"if(i % 2 = 0, concat('m', i, '.f()\n'), '')") + ")", _rows("i", "'warning'", "i % 2 = 1", _UPTO.format("p_size % 5"))),
     "star_import": ("star-import", "concat(" + _each("p_size % 5", r"concat('from m import ', if(i % 2 = 0, '*', 'a'), '\n')") + ")", _rows("i", "'warning'", "i % 2 = 0", _UPTO.format("p_size % 5"))),
     "global_mutable": ("global-mutable", _each("p_size % 5", r"concat(if(i = 2, '_', ''), 'g', i, ' = ', if(i % 2 = 0, '[]', '{}'), '\n')"), _rows("i", "'info'", "i <> 2", _UPTO.format("p_size % 5"))),
     "scope_mutation": ("scope-mutation", r"concat('n = 0\ndef f():\n    ', if(p_size % 2 = 0, 'global n\n', 'n = 5\n'), if(p_size % 3 = 0, '    if n is None:\n        n = 1\n', '    n = 1\n'))", _rows("4", "'info'", "p_size % 2 = 0 AND p_size % 3 <> 0")),
     "dead_code": ("dead-code", r"concat('def f():\n    return 1\n', repeat('    x = 1\n', p_size % 6))", _rows("2 + i", "'warning'", "true", _UPTO.format("p_size % 6"))),
     "excessive_decorators": ("excessive-decorators", r"concat(repeat('@d\n', p_size % 7), if(p_size % 2 = 0, 'def f():\n    pass\n', 'class C:\n    pass\n'))", _rows("p_size % 7 + 1", "'info'", "p_size % 7 > 3")),
-    "lazy_class": ("lazy-class", r"concat('class C', if(p_size % 5 = 0, '(ValueError)', ''), ':\n    x = 1\n', repeat('    def m(self):\n        return self\n', p_size % 4))", _rows("1", "'info'", "p_size % 4 < 2 AND p_size % 5 <> 0")),
-    "magic_number": ("magic-number", r"concat('def f():\n    pass\n', " + _each("p_size % 12", r"concat('    x = ', 1000 + i, '\n')") + ")", _rows("2 + i", "'info'", "p_size % 12 < 8", _UPTO.format("p_size % 12"))),
-    "magic_string": ("magic-string", _each("p_size % 4", r"concat('x == \'', p_brand, '\'\n')"), _rows("i", "'info'", "p_size % 4 >= 2", _UPTO.format("p_size % 4"))),
+    # of 17 kinds of class, three aren't exempt
+    "lazy_class": (
+        "lazy-class",
+        r"concat(element_at(array('class C:', 'class C(Base):', 'class C(Errors):', 'class C(ValueError):', 'class C(BaseModel):', 'class C(BaseSettings):', 'class C(NamedTuple):', 'class C(Protocol):', 'class C(a.Enum):', 'class C(StrEnum):', 'class C(IntFlag):', "
+        r"'class C(OwnException):', 'class C(a.OwnWarning):', '@dataclass\nclass C:', '@a.dataclass(frozen=True)\nclass C:', 'class C:\n    y: Mapped[int]', 'class C:\n    y = Column(1)'), cast(p_partkey % 17 as int) + 1), '\n    x = 1\n', repeat('    def m(self):\n        return self\n', p_size % 4))",
+        _rows("1", "'info'", "p_size % 4 < 2 AND p_partkey % 17 < 3"),
+    ),
+    # of 12 forms, seven are unnamed numbers; nine different ones are a table
+    "magic_number": (
+        "magic-number",
+        r"concat('def f():\n    pass\n', if(p_size % 4 = 3, " + _each("9", r"concat('    x = ', 1000 + i, '\n')") + ", " + _each("p_size % 13", r"concat('    ', element_at(array('x = 1001', 'x = 404', 'x = 0x1F', 'x = 8080', 'x = 0.75', 'x = 1.0', 'x = -1', 'f(a=42)', 'f(a=[43])', 'f(44)', 'x = 1_000', 'x = 0o17'), i), '\n')") + "))",
+        _rows("2 + i", "'info'", "p_size % 4 <> 3 AND i IN (1, 3, 5, 9, 10, 11, 12)", _UPTO.format("p_size % 13")),
+    ),
+    # compared with a name, with a field of syntax trees, from the left, and a single character
+    "magic_string": (
+        "magic-string",
+        _each("p_size % 9", r"concat(element_at(array(concat('x == \'', p_brand, '\''), concat('x.id == \'', p_brand, '\''), concat('\'', p_brand, '\' != x'), 'x == \'B\''), (i - 1) % 4 + 1), '\n')"),
+        _rows("i", "'info'", "(p_size % 9 + 1) // 2 >= 2 AND i % 2 = 1", _UPTO.format("p_size % 9")),
+    ),
     "untyped_dict": ("untyped-dict", _each("p_size % 5", r"concat('x', i, ': ', if(i % 2 = 0, 'dict', 'dict[str, int]'), '\n')"), _rows("i", "'info'", "i % 2 = 0", _UPTO.format("p_size % 5"))),
     "duplicate_branch": ("duplicate-branch", r"concat('if x:\n    a = ', p_size % 3, '\nelse:\n    a = ', p_size % 2, '\n')", _rows("1", "'warning'", "p_size % 3 = p_size % 2")),
     "encapsulation_violation": ("encapsulation-violation", r"concat('def f(own, other):\n', " + _each("p_size % 6", r"concat('    ', element_at(array('own._a', 'other._a', 'other.__a__'), i % 3 + 1), '\n')") + r", '    return 1\n')", _rows("1 + i", "'info'", "i % 3 = 1", _UPTO.format("p_size % 6"))),
-    "god_class": ("god-class", "concat('class C:\n', " + _each("p_size", r"concat('    def m', i, '(self):\n        return 1\n')") + ")", _rows("1", "CASE WHEN p_size > 37.5 THEN 'error' ELSE 'warning' END", "p_size > 25")),
+    # many methods, many attributes, or much complexity
+    "god_class": (
+        "god-class",
+        "concat('class C:\n', case p_partkey % 3 when 0 then " + _each("p_size", r"concat('    def m', i, '(self):\n        return 1\n')") + r" when 1 then concat('    def __init__(self):\n', " + _each("p_size", r"concat('        self.a', i, ' = 1\n')") + r") else concat('    def m(self):\n', repeat('        if self:\n            pass\n', p_size * 2)) end)",
+        _rows("1", "CASE WHEN p_partkey % 3 = 0 AND p_size > 37.5 OR p_partkey % 3 = 1 AND p_size > 30 OR p_partkey % 3 = 2 AND 2 * p_size + 1 > 75 THEN 'error' ELSE 'warning' END", "CASE p_partkey % 3 WHEN 0 THEN p_size > 25 WHEN 1 THEN p_size > 20 ELSE 2 * p_size + 1 > 50 END"),
+    ),
     "god_module": ("god-module", _each("p_size", r"concat('def ', if(i % 5 = 0, '_', ''), 'f', i, '(): pass\n')"), _rows("1", "'warning'", "p_size - p_size // 5 > 15")),
     "deep_inheritance": ("deep-inheritance", r"concat('class C0: pass\n', " + _each("p_size % 8", r"concat('class C', i, '(C', i - 1, '): pass\n')") + ")", _rows("1 + i", "'warning'", "i >= 4", _UPTO.format("p_size % 8"))),
     "pass_through_method": ("pass-through-method", r"concat('def f(a, b):\n    return g(a, ', element_at(array('b', 'b + 1', '*b', '2'), p_size % 4 + 1), ')\n')", _rows("1", "'info'", "p_size % 4 IN (0, 2)")),
@@ -163,16 +190,17 @@ def high_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COUPLING = """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), o AS (SELECT s AS m, count(*) AS n FROM e GROUP BY 1), i AS (SELECT p AS m, count(*) AS n FROM e GROUP BY 1)
 SELECT '/w/g/m' || o.m || '.py' AS path, CAST(1 AS INTEGER) AS line, 'warning' AS severity FROM o JOIN i USING (m) WHERE o.n > 8 AND i.n > 8"""
 
-_MARKED = r"""concat('try:\n    x = 1\n', if(p_size % 4 = 1, '# lint-ignore[bare-except]: known\n', ''), 'except:', element_at(array('', '', '  # lint-ignore', '  # lint-ignore[other]'), p_size % 4 + 1), '\n    raise\n')"""
+_MARKED = r"""concat('try:\n    x = 1\n', element_at(array('', '# lint-ignore[bare-except]: known\n', '', '', '', '# lint-ignore[other]\n'), p_size % 6 + 1), 'except:',
+element_at(array('', '', '  # lint-ignore', '  # lint-ignore[other]', '  # own-ignore[x, bare-except]:  two words ', ''), p_size % 6 + 1), '\n    raise\n')"""
 
 
 def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A marker on the line before, on the line, or for another rule."""
+    """No marker; one on the line before, on the line, for another rule, or for several; and one for another rule on the line before."""
     facts = api.shred_sources(_modules(_table(spark, sf_dir, "part"), _MARKED))
     return suppress.suppress(rules.file_issues(facts, _CONFIG, frozenset(["bare-except"])), facts, _CONFIG).select("path", "line", "suppressed", "reason")
 
 
-_SUPPRESSION = f"SELECT {_PATH} AS path, CAST(CASE WHEN p_size % 4 = 1 THEN 4 ELSE 3 END AS INTEGER) AS line, p_size % 4 IN (1, 2) AS suppressed, CASE WHEN p_size % 4 = 1 THEN 'known' END AS reason FROM part"
+_SUPPRESSION = f"SELECT {_PATH} AS path, CAST(CASE WHEN p_size % 6 IN (1, 5) THEN 4 ELSE 3 END AS INTEGER) AS line, p_size % 6 IN (1, 2, 4) AS suppressed, CASE p_size % 6 WHEN 1 THEN 'known' WHEN 4 THEN 'two words' END AS reason FROM part"
 
 _MIXED = r"""concat('def f(x: int) -> int:\n', repeat('    if x:\n        x = 1\n', p_size), '    return x\n', if(p_size % 3 = 0, 'g = []\n', ''), if(p_size % 2 = 0, 'from m import *\n', ''))"""
 

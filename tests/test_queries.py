@@ -26,7 +26,7 @@ def _rows(df):
     return sorted(map(str, df.astype(object).where(df.notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["high_complexity", "unused_import", "magic_string", "god_class", "import_cycle", "suppression", "duplicate_function_body", "health_score", "scan_counters"])
+@pytest.mark.parametrize("name", ["high_complexity", "unused_import", "magic_string", "god_class", "missing_else", "lazy_class", "magic_number", "scope_mutation", "message_chain", "import_cycle", "import_edges", "suppression", "duplicate_function_body", "health_score", "scan_counters"])
 def test_query(spark, sf, tables, name):
     assert _rows(queries.queries()[name](spark, sf).toPandas()) == _rows(tables.execute(SQL[name]).df())
 
