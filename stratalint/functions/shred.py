@@ -18,6 +18,9 @@ _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _LOOPS = (ast.For, ast.AsyncFor, ast.While)
 _NESTS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.With, ast.Try, ast.ExceptHandler)
 _BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.Assert, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
+_MARKS = (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop)
+#: Nodes that give facts of their own, but for names.
+_TELLING = frozenset([*_DEFS, ast.ClassDef, ast.arguments, ast.AnnAssign, ast.If, ast.ExceptHandler, ast.Assign, ast.Compare, ast.Attribute, ast.Call])
 _MUTABLE = (ast.List, ast.Dict, ast.Set)
 _ENDS = {ast.Return: "return", ast.Raise: "raise", ast.Break: "break", ast.Continue: "continue"}
 _DATA_BASES = frozenset("BaseModel BaseSettings NamedTuple Protocol Enum StrEnum IntEnum IntFlag Flag".split())
@@ -38,11 +41,27 @@ def is_test_path(path: str) -> bool:
 
 
 def kids(x: ast.AST) -> list[ast.AST]:
-    """The child nodes, kept on the node: several measures walk the same subtree."""
+    """The child nodes but contexts and operators, kept on the node: several measures walk the same subtree."""
     try:
         return x._kids
     except AttributeError:
-        x._kids = out = list(ast.iter_child_nodes(x))
+        out = []
+        for name in x._fields:
+            v = getattr(x, name, None)
+            if v.__class__ is list:
+                out += [y for y in v if isinstance(y, ast.AST) and not isinstance(y, _MARKS)]
+            elif isinstance(v, ast.AST) and not isinstance(v, _MARKS):
+                out.append(v)
+        x._kids = out
+        return out
+
+
+def blocks(x: ast.AST) -> list[ast.AST]:
+    """The child nodes that may hold statements, or are some."""
+    try:
+        return x._blocks
+    except AttributeError:
+        x._blocks = out = [y for y in kids(x) if not isinstance(y, ast.expr)]
         return out
 
 
@@ -66,25 +85,47 @@ def nesting(node: ast.AST) -> int:
         x, d = stack.pop()
         d += isinstance(x, _NESTS)
         deepest = max(deepest, d)
-        stack += [(c, d) for c in kids(x)]
+        stack += [(c, d) for c in blocks(x)]
     return deepest
 
 
 def nested_returns(node: ast.AST) -> int:
     """Returns at least two blocks deep, not those of inner functions."""
-    total, stack = 0, [(c, 0) for c in kids(node)]
+    total, stack = 0, [(c, 0) for c in blocks(node)]
     while stack:
         x, d = stack.pop()
-        if isinstance(x, (*_DEFS, ast.Lambda)):
+        if isinstance(x, _DEFS):
             continue
         d += isinstance(x, _NESTS)
         total += isinstance(x, ast.Return) and d >= 2
-        stack += [(c, d) for c in kids(x)]
+        stack += [(c, d) for c in blocks(x)]
     return total
 
 
+def _write(x: object, out: list[str]) -> None:
+    """A node's kind and fields, without places."""
+    if isinstance(x, ast.AST):
+        out.append(f"{x.__class__.__name__}(")
+        for name in x._fields:
+            v = getattr(x, name, None)
+            if v is not None or name == "value":
+                out.append(f"{name}=")
+                _write(v, out)
+        out.append(")")
+    elif isinstance(x, list):
+        out.append("[")
+        for y in x:
+            _write(y, out)
+            out.append(",")
+        out.append("]")
+    else:
+        out.append(repr(x))
+
+
 def _hash(body: list[ast.stmt]) -> str:
-    return hashlib.sha256("\n".join(map(ast.dump, body)).encode("utf-8", "replace")).hexdigest()
+    out: list[str] = []
+    _write(body, out)
+    return hashlib.sha256("".join(out).encode("utf-8", "replace")).hexdigest()
 
 
 def _is_str(x: ast.AST) -> bool:
@@ -225,7 +266,7 @@ def _outer_writes(node: ast.FunctionDef, seq: int) -> list[dict]:
                 visit(y)
             return
         note(x, None) if isinstance(x, ast.stmt) else None
-        for y in kids(x):
+        for y in blocks(x):
             visit(y)
 
     for x in node.body:
@@ -320,11 +361,11 @@ def _imports(tree: ast.Module) -> tuple[list[dict], list[tuple[str | None, int,
             if runs:
                 at_import.extend([(a.name, 0, []) for a in x.names] if isinstance(x, ast.Import) else [(module, x.level, [a.name for a in x.names])])
             return
-        if isinstance(x, (*_DEFS, ast.Lambda)):
+        if isinstance(x, _DEFS):
             runs = False
         if isinstance(x, ast.If) and _name(x.test) == "TYPE_CHECKING":
             runs = False
-        for y in kids(x):
+        for y in blocks(x):
             visit(y, isinstance(x, ast.Module), runs)
 
     visit(tree, False, True)
@@ -425,8 +466,13 @@ class _Shredder:
 
     def visit(self, x: ast.AST, cls: str | None, first: str | None, top: bool, in_defs: bool) -> None:
         """cls: the nearest class; first: the nearest function's first parameter; in_defs: reached through bodies of classes and functions alone."""
-        out = self.out
-        if isinstance(x, _DEFS):
+        kind, out = type(x), self.out
+        if kind is ast.Name:
+            self.used.add(x.id)
+            return
+        if kind not in _TELLING:
+            pass
+        elif isinstance(x, _DEFS):
             self.function(x, cls, top)
             a = x.args
             first = next((p.arg for p in [*a.posonlyargs, *a.args]), None)
@@ -452,8 +498,6 @@ class _Shredder:
         elif isinstance(x, ast.Assign):
             if any(isinstance(t, ast.Name) and t.id == "__all__" for t in x.targets) and isinstance(x.value, (ast.List, ast.Tuple)):
                 self.used.update(e.value for e in x.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str))
-        elif isinstance(x, ast.Name):
-            self.used.add(x.id)
         elif isinstance(x, ast.Compare):
             if row := _string_compare(x):
                 out["compares"].append(row)
@@ -465,9 +509,8 @@ class _Shredder:
             if isinstance(f, ast.Name) and f.id in ("getattr", "setattr", "hasattr") and len(a) > 1 and isinstance(a[1], ast.Constant) and isinstance(a[1].value, str) and _private(a[1].value):
                 out["privates"].append({"line": x.lineno, "form": f.id, "attr": a[1].value, "allowed": self.own(a[0], cls, first)})
         inner = in_defs and isinstance(x, (*_DEFS, ast.ClassDef))
-        for y in kids(x):
-            if not (self.statements_only and isinstance(y, ast.expr)):
-                self.visit(y, cls, first, False, inner and isinstance(y, (*_DEFS, ast.ClassDef)))
+        for y in blocks(x) if self.statements_only else kids(x):
+            self.visit(y, cls, first, False, inner and isinstance(y, (*_DEFS, ast.ClassDef)))
 
     @staticmethod
     def own(base: ast.expr, cls: str | None, first: str | None) -> bool:
