@@ -1,5 +1,6 @@
 """Sources, suppression, score, plan, reports and the command line."""
 
+import ast
 import json
 
 import pytest
@@ -133,3 +134,61 @@ def test_text_report(spark, project):
     text = report.text_report(r, "warning", str(project))
     assert "pkg/a.py:1: warning [mutable-default]" in text and "missing-param-type" not in text and "ignored pkg/b.py:3" in text
     r.facts.unpersist()
+
+
+def test_registry_settings_reach_the_rules(spark, tmp_path, monkeypatch, capsys):
+    """Stems, layers and libraries of a registry file bring the rules over import graphs, layers and transports to the command line."""
+    many = "".join(f"import core.m{i}\n" for i in range(9))
+    _tree(tmp_path, {
+        "src/core/a.py": "import core.b\n", "src/core/b.py": "import core.a\nfrom httpx import get\n", "src/core/domain/c.py": "import core.web.views\n", "src/core/hub.py": many,
+        **{f"src/core/m{i}.py": "import core.hub\n" for i in range(9)},
+        "reg.yaml": "# known packages\npackages:\n  \"core\": src/core  # relative\nstems: {core: core}\nlibraries: [core]\nlayers:\n  core:\n    domain/: [core.web, other]\n",
+    })
+    monkeypatch.chdir(tmp_path)
+    config = files.read_settings("reg.yaml")
+    assert config.stems == {"core": "core"} and config.libraries == ("core",) and config.layers == {"core": [("domain/", ["core.web", "other"])]} and "httpx" in config.transports
+    assert main(["--config", "reg.yaml", "--json"], spark) == 2
+    found = {x["rule"] for x in json.loads(capsys.readouterr().out)["issues"]}
+    assert {"import-cycle", "high-coupling", "layer-violation", "transport-in-library"} <= found
+
+
+def test_registry_files(tmp_path):
+    def read(text):
+        (tmp_path / "r.yaml").write_text(text)
+        return files.read_registry(str(tmp_path / "r.yaml"))
+
+    assert read("packages: {a: x, 'b': \"../y\"}\n") == {"a": (f"{tmp_path}/x", True), "b": (str(tmp_path.parent / "y"), True)}
+    assert read("other:\n  - 1\n  - 2\npackages:\n    a: x\nstems:\n    a: s\n") == {"a": (f"{tmp_path}/x", True)}
+    for bad in ("", "packages:\n", "packages:\n  a:\n", "packages:\n  a\n", "packages: {}\n", "packages:\n  a: x\n      b: y\n"):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
+def test_partitions_walk_below(spark, tmp_path, monkeypatch):
+    """With few directories listed by the driver, tasks walk the others; the files are the same."""
+    _tree(tmp_path, {f"p/a{i}/b{j}/c{k}.py": f"x = {i}\n" for i in range(3) for j in range(3) for k in range(2)} | {"p/top.py": "", "p/a0/__pycache__/x.py": "", "q/flat.py": "", "q/in/deep.py": ""})
+    registry = {"p": (str(tmp_path / "p"), True), "q": (str(tmp_path / "q"), False)}
+    want = sorted([*files.walk(str(tmp_path / "p")), *files.walk(str(tmp_path / "q"), False)])
+    for spread, depth in ((1, 6), (2, 6), (256, 1), (256, 2), (256, 6)):
+        monkeypatch.setattr(files, "SPREAD", spread)
+        monkeypatch.setattr(files, "DEPTH", depth)
+        r = files._Reader([("p", str(tmp_path / "p"), True), ("q", str(tmp_path / "q"), False)], [], 4)
+        assert sorted(path for part in r.partitions() for _, _, path, _ in r.read(part)) == want
+    assert sorted(x["path"] for x in files.read_packages(spark, registry).collect()) == want and len(want) == 20
+
+
+def test_ratio_of_matched_characters():
+    """Similarity is the share of matched characters, in the order asked."""
+    import difflib
+
+    from stratalint.functions.shred import shred
+
+    def ratio(body, other):
+        facts = shred("p", "/w", "/w/a.py", f"def load(k):\n{body}async def aload(k):\n{other}")
+        return {t["name"]: t["ratio"] for t in facts["twins"]}, difflib.SequenceMatcher(None, ast.unparse(ast.parse(f"def load(k):\n{body}")), ast.unparse(ast.parse(f"async def aload(k):\n{other}"))).ratio()
+
+    same = "    a = 1\n    b = 2\n    return a\n"
+    got, want = ratio(same, same)
+    assert got["load"] == want == 2 * 45 / (45 + 52) and got["aload"] == want
+    got, want = ratio(same, "    await k.first()\n    return await k.second()\n    pass\n")
+    assert got["load"] == want < 0.6
