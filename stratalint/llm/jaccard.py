@@ -39,6 +39,8 @@ from .common import STAGED, batches, components, drop_between, hot_join, maybe_i
 
 #: Shingles of a counting task, texts of a shingle beyond which its group is cut before it is gathered, and texts and shingles of a block, beyond which it is divided.
 RANGE, HOT_TEXTS, BLOCK_TEXTS, BLOCK_SHINGLES = 2_000_000, 100_000, 2_000, 2_000_000
+#: Bits of a text's parities.
+PARITIES = 1 << 16
 #: Bytes of a window of text, and of a block's table of queries by shingle.
 _WINDOW, _TABLE = 1 << 20, 32 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -275,8 +277,8 @@ def _prefixes(rows: pa.Table, hot: int) -> pa.Table:
 
 
 def _parities(token: np.ndarray) -> bytes:
-    """Parities of a set's shingles by hash, in twice to four times as many bits, a power of two: two sets differ in at least as many shingles as their parities in bits, also when the longer ones are folded."""
-    n = max(64, 1 << (2 * len(token) - 1).bit_length())
+    """Parities of a set's shingles by hash, in twice to four times as many bits, a power of two, but PARITIES at most: two sets differ in at least as many shingles as their parities in bits, also when the longer ones are folded. They travel with each of a text's tokens, so without a bound a very long text would send the square of its length; beyond it the filter is only weaker."""
+    n = min(PARITIES, max(64, 1 << (2 * len(token) - 1).bit_length()))
     return np.packbits(np.bincount((mix(token.astype(np.uint64)) % np.uint64(n)).astype(np.int64), minlength=n) & 1).tobytes()
 
 

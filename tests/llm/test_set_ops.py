@@ -254,6 +254,18 @@ def test_similar_with_null_ids_of_near_copies(spark):
     assert got == ["(5, 10, 1, 5)", "(None, 1, 0, None)", "(None, 10, 1, 5)"]
 
 
+def test_parities_bound_differences():
+    """Also of sets of very different sizes, and of those longer than their parities."""
+    rng = np.random.default_rng(4)
+    base = rng.choice(1 << 40, 60_000, replace=False)
+    found = [base[:n] for n in (3, 40, 700, 60_000)] + [np.concatenate([base[:n], rng.choice(1 << 40, n // 3)]) for n in (40, 700, 50_000)]
+    p = jaccard._Parities([jaccard._parities(x) for x in found])
+    x, y = (np.array(z) for z in zip(*[(i, j) for i in range(len(found)) for j in range(len(found))]))
+    true = np.array([len(np.setxor1d(found[i], found[j])) for i, j in zip(x, y)])
+    got = p.differ(x, y)
+    assert (got <= true).all() and (got[x == y] == 0).all() and got[(x == 2) & (y == 5)][0] > 150
+
+
 def test_reaches_find_all_partners():
     """_partnered against all pairs."""
     rng = np.random.default_rng(7)
