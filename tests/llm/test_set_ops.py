@@ -378,7 +378,7 @@ def test_codes_bound_errors():
     c = ann.Codes(ann.k_means(x, 1))
     _, bits, length, along = c.encode(x)
     about, wide = c.estimate(q, 0, bits, length, along)
-    assert bits.shape == (2000, 16) and (np.abs(about - q @ x.T) <= wide).mean() > 0.95
+    assert bits.shape == (2000, 16) and (q @ x.T <= about + wide).mean() > 0.96  # the upper bound is what chooses
 
 
 PARTS = [None, "", "nourl", "http://A.example.net/en/x?q#f", "x://h", "https://H.net", "://", "http://spam.example.org/fr/a", "http://b.com?x/", "http://u@h.example.com/de/", "mailto:a", "http://x.net/", "a://b://c/d", "http://SPAM.com/é\n/en"]
