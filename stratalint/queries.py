@@ -176,7 +176,8 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGES = """SELECT 'g' || s_nationkey AS package, 'g' || s_nationkey || '.s' || s_suppkey AS src,
-'g' || s_nationkey || '.s' || coalesce(lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey), min(s_suppkey) OVER (PARTITION BY s_nationkey)) AS dst FROM supplier"""
+'g' || s_nationkey || '.s' || coalesce(lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey),
+  min(s_suppkey) OVER (PARTITION BY s_nationkey)) AS dst FROM supplier"""
 
 
 def high_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +188,8 @@ def high_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.high_coupling(facts, ScanConfig(stems={"g": "g"})).select("path", "line", "severity")
 
 
-_COUPLING = """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), o AS (SELECT s AS m, count(*) AS n FROM e GROUP BY 1), i AS (SELECT p AS m, count(*) AS n FROM e GROUP BY 1)
+_COUPLING = """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), o AS (SELECT s AS m, count(*) AS n FROM e GROUP BY 1), i AS (
+  SELECT p AS m, count(*) AS n FROM e GROUP BY 1)
 SELECT '/w/g/m' || o.m || '.py' AS path, CAST(1 AS INTEGER) AS line, 'warning' AS severity FROM o JOIN i USING (m) WHERE o.n > 8 AND i.n > 8"""
 
 _MARKED = r"""concat('try:\n    x = 1\n', element_at(array('', '# lint-ignore[bare-except]: known\n', '', '', '', '# lint-ignore[other]\n'), p_size % 6 + 1), 'except:',
@@ -217,7 +219,8 @@ def _mixed(spark: SparkSession, sf_dir: str) -> api.ScanResult:
 
 
 # a body is the same within a type and size, and its function has 2 * p_size + 2 lines
-_MIXED_SQL = f"""WITH i AS (SELECT p_type AS package, {_PATH} AS path, 1 AS line, CASE WHEN p_size + 1 > 15 THEN 'error' ELSE 'warning' END AS severity, 'high-complexity' AS rule FROM part WHERE p_size + 1 > 10
+_MIXED_SQL = f"""WITH i AS (SELECT p_type AS package, {_PATH} AS path, 1 AS line, CASE WHEN p_size + 1 > 15 THEN 'error' ELSE 'warning' END AS severity,
+  'high-complexity' AS rule FROM part WHERE p_size + 1 > 10
 UNION ALL SELECT p_type, {_PATH}, 2 * p_size + 3, 'info', 'global-mutable' FROM part WHERE p_size % 3 = 0
 UNION ALL SELECT p_type, {_PATH}, 2 * p_size + 3 + (p_size % 3 = 0)::INT, 'warning', 'star-import' FROM part WHERE p_size % 2 = 0
 UNION ALL SELECT p_type, min({_PATH}), 1, 'warning', 'duplicate-function-body' FROM part WHERE 2 * p_size + 2 >= 5 GROUP BY p_type, p_size HAVING count(*) > 1),
@@ -258,9 +261,11 @@ _LINES_SQL = "2 * p_size + 2 + (p_size % 3 = 0)::INT + (p_size % 2 = 0)::INT"
 _PLAN_SQL = (
     _MIXED_SQL
     + """, g AS (SELECT rule, max(weight) AS weight, count(DISTINCT path) AS n_files, min(path) AS first_file, count(*) AS n_issues FROM w GROUP BY rule),
-e AS (SELECT *, CASE weight WHEN 6.0 THEN 'error' WHEN 1.5 THEN 'warning' ELSE 'info' END AS severity, CASE rule WHEN 'high-complexity' THEN 3.0 WHEN 'duplicate-function-body' THEN 3.0 WHEN 'global-mutable' THEN 1.5 ELSE 0.5 END AS cost FROM g),
+e AS (SELECT *, CASE weight WHEN 6.0 THEN 'error' WHEN 1.5 THEN 'warning' ELSE 'info' END AS severity, CASE rule WHEN 'high-complexity'
+  THEN 3.0 WHEN 'duplicate-function-body' THEN 3.0 WHEN 'global-mutable' THEN 1.5 ELSE 0.5 END AS cost FROM g),
 plan AS (SELECT CASE WHEN weight * cost >= 12 THEN 'P0' WHEN weight * cost >= 7 THEN 'P1' WHEN weight * cost >= 3 THEN 'P2' ELSE 'P3' END AS priority, rule, severity,
-CASE WHEN cost >= 4 THEN 'major' WHEN cost >= 2.5 THEN 'moderate' WHEN cost >= 1 THEN 'minor' ELSE 'trivial' END AS effort, n_files, first_file, n_issues, CAST(weight * cost AS DOUBLE) AS score FROM e)
+CASE WHEN cost >= 4 THEN 'major' WHEN cost >= 2.5 THEN 'moderate' WHEN cost >= 1 THEN 'minor' ELSE 'trivial' END AS effort, n_files, first_file, n_issues,
+  CAST(weight * cost AS DOUBLE) AS score FROM e)
 """
 )
 

@@ -145,7 +145,8 @@ def walk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_packages(spark, {"w": (root, True)}).select("package", F.expr(f"substring(path, {len(root) + 2})").alias("path"))
 
 
-_WALK = """SELECT 'w' AS package, concat('d', p_size, CASE p_partkey % 3 WHEN 1 THEN '/_in/' ELSE '/' END, CASE p_partkey % 4 WHEN 0 THEN '_p' WHEN 1 THEN '.p' ELSE 'p' END, p_partkey, '.py') AS path
+_WALK = """SELECT 'w' AS package, concat('d', p_size, CASE p_partkey % 3 WHEN 1 THEN '/_in/' ELSE '/' END, CASE p_partkey % 4 WHEN 0 THEN '_p' WHEN 1
+  THEN '.p' ELSE 'p' END, p_partkey, '.py') AS path
 FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0"""
 
 
@@ -156,7 +157,8 @@ def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.expr(f"substring(path, {len(root) + 2})").alias("path"), F.char_length("source").cast("long").alias("n"), F.sha2("source", 256).alias("sha256"))
 
 
-_READ = r"""WITH t AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'é = 1' || chr(13) || chr(10) || repeat('x' || chr(10), p_size) ELSE p_name END AS t FROM part)
+_READ = r"""WITH t AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'é = 1' || chr(13) || chr(10) || repeat('x' || chr(10),
+  p_size) ELSE p_name END AS t FROM part)
 SELECT 'p' || p_partkey || '.py' AS path, length(t) AS n, sha256(t) AS sha256 FROM t"""
 
 
@@ -173,10 +175,12 @@ _EXCLUDES = f"SELECT 'pkg' AS package, 'pkg/' || ['src', 'venvs', 'git'][p_size
 # Reports: a complex function, a suppressed or open star import and a mutable global, in a package of the part's brand.
 _SOURCE = r"""concat('def f(x: int) -> int:\n', repeat('    if x:\n        x = 1\n', p_size), '    return x_', p_partkey, '\n', if(p_size % 2 = 0, concat('from m import *', if(p_size % 3 = 0, '  # lint-ignore[star-import]: known\n', '\n')), ''), if(p_size % 5 = 0, 'g = []\n', ''))"""
 _PATH = "'/w/' || p_brand || '/p' || p_partkey || '.py'"
-_ISSUES = f"""WITH i AS (SELECT p_brand AS package, {_PATH} AS path, 1 AS line, CASE WHEN p_size + 1 > 15 THEN 'error' ELSE 'warning' END AS severity, 'high-complexity' AS rule, 5 AS rule_no, false AS ignored,
+_ISSUES = f"""WITH i AS (SELECT p_brand AS package, {_PATH} AS path, 1 AS line, CASE WHEN p_size + 1 > 15 THEN 'error' ELSE 'warning' END AS severity,
+  'high-complexity' AS rule, 5 AS rule_no, false AS ignored,
   'f() has cyclomatic complexity ' || (p_size + 1) || ' (max 10)' AS message FROM part WHERE p_size + 1 > 10
 UNION ALL SELECT p_brand, {_PATH}, 2 * p_size + 3, 'warning', 'star-import', 17, p_size % 3 = 0, 'star import from m' FROM part WHERE p_size % 2 = 0
-UNION ALL SELECT p_brand, {_PATH}, 2 * p_size + 3 + (p_size % 2 = 0)::INT, 'info', 'global-mutable', 18, false, 'module-level g is mutable' FROM part WHERE p_size % 5 = 0),
+UNION ALL SELECT p_brand, {_PATH}, 2 * p_size + 3 + (p_size % 2 = 0)::INT, 'info', 'global-mutable', 18, false, 'module-level g is mutable' FROM part
+  WHERE p_size % 5 = 0),
 w AS (SELECT *, CASE severity WHEN 'error' THEN 6.0 WHEN 'warning' THEN 1.5 ELSE 0.3 END AS weight FROM i WHERE NOT ignored),
 n AS (SELECT count(*) AS n_files, sum(2 * p_size + 2 + (p_size % 2 = 0)::INT + (p_size % 5 = 0)::INT) AS n_lines FROM part),
 """
@@ -198,12 +202,16 @@ def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _printed(spark, report.text_lines(r, "warning", "/w"))
 
 
-_TEXT = _ISSUES + f"""c AS (SELECT count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS a, count(*) FILTER (severity = 'info') AS o, greatest(0.0, 100 - coalesce(sum(weight), 0)::DOUBLE / (any_value(n_lines) / 1000.0)) AS x FROM w, n),
+_TEXT = _ISSUES + f"""c AS (SELECT count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS a,
+  count(*) FILTER (severity = 'info') AS o, greatest(0.0, 100 - coalesce(sum(weight), 0)::DOUBLE / (any_value(n_lines) / 1000.0)) AS x FROM w, n),
 t AS (SELECT 0 AS k, 0 AS j, repeat('=', {report.WIDTH}) AS text UNION ALL SELECT 0, 1, n_files || ' files, ' || n_files || ' functions, ' || n_lines || ' lines' FROM n
-UNION ALL SELECT 0, 2, e || ' error, ' || a || ' warning, ' || o || ' info' FROM c UNION ALL SELECT 0, 3, (SELECT count(*) FROM i WHERE ignored) || ' suppressed' UNION ALL SELECT 0, 4, '{report.HINT}'
-UNION ALL SELECT 0, 5, 'health ' || printf('%.1f', x) || ' (' || CASE WHEN x >= 90 THEN 'A' WHEN x >= 75 THEN 'B' WHEN x >= 60 THEN 'C' WHEN x >= 40 THEN 'D' ELSE 'F' END || ')' FROM c UNION ALL SELECT 0, 6, repeat('=', {report.WIDTH})
+UNION ALL SELECT 0, 2, e || ' error, ' || a || ' warning, ' || o || ' info' FROM c UNION ALL SELECT 0, 3, (SELECT count(*) FROM i WHERE ignored)
+  || ' suppressed' UNION ALL SELECT 0, 4, '{report.HINT}'
+UNION ALL SELECT 0, 5, 'health ' || printf('%.1f', x) || ' (' || CASE WHEN x >= 90 THEN 'A' WHEN x >= 75 THEN 'B' WHEN x >= 60 THEN 'C' WHEN x >= 40
+  THEN 'D' ELSE 'F' END || ')' FROM c UNION ALL SELECT 0, 6, repeat('=', {report.WIDTH})
 UNION ALL SELECT 1, row_number() OVER (ORDER BY path, line, rule), 'ignored ' || path[4:] || ':' || line || ' ' || rule || ': known' FROM i WHERE ignored
-UNION ALL SELECT 2, row_number() OVER (ORDER BY package, path, rule_no, line), path[4:] || ':' || line || ': ' || severity || ' [' || rule || '] ' || message || ' (' || package || ')' FROM w WHERE severity <> 'info')
+UNION ALL SELECT 2, row_number() OVER (ORDER BY package, path, rule_no, line), path[4:] || ':' || line || ': ' || severity || ' [' || rule || '] '
+  || message || ' (' || package || ')' FROM w WHERE severity <> 'info')
 SELECT CAST(row_number() OVER (ORDER BY k, j) - 1 AS INTEGER) AS at, text FROM t"""
 
 
@@ -217,8 +225,10 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, rows, "part string, at int, file string, line int, severity string, rule string, message string, package string, reason string")
 
 
-_JSON = _ISSUES + """a AS (SELECT 'issues' AS part, CAST(row_number() OVER (ORDER BY package, path, rule_no, line) - 1 AS INTEGER) AS at, path[4:] AS file, CAST(line AS INTEGER) AS line, severity, rule, message, package, NULL::VARCHAR AS reason FROM w WHERE severity = 'error'
-UNION ALL SELECT 'ignored', CAST(row_number() OVER (ORDER BY package, path, rule_no, line) - 1 AS INTEGER), path[4:], CAST(line AS INTEGER), severity, rule, message, package, 'known' FROM i WHERE ignored
+_JSON = _ISSUES + """a AS (SELECT 'issues' AS part, CAST(row_number() OVER (ORDER BY package, path, rule_no, line) - 1 AS INTEGER) AS at, path[4:] AS file,
+  CAST(line AS INTEGER) AS line, severity, rule, message, package, NULL::VARCHAR AS reason FROM w WHERE severity = 'error'
+UNION ALL SELECT 'ignored', CAST(row_number() OVER (ORDER BY package, path, rule_no, line) - 1 AS INTEGER), path[4:], CAST(line AS INTEGER), severity, rule,
+  message, package, 'known' FROM i WHERE ignored
 UNION ALL SELECT 'suppressed', CAST(count(*) AS INTEGER), NULL, 0, NULL, NULL, NULL, NULL, NULL FROM i WHERE ignored)
 SELECT * FROM a"""
 
@@ -229,14 +239,19 @@ def plan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _printed(spark, report.plan_report(r, root="/w").splitlines())
 
 
-_PLAN = _ISSUES + f"""g AS (SELECT rule, max(weight) AS weight, count(DISTINCT path) AS n_files, min(path) AS first_file, count(*) AS n_issues, arg_min(message, (package, path, line)) AS description FROM w GROUP BY rule),
-e AS (SELECT *, CASE weight WHEN 6.0 THEN 'error' WHEN 1.5 THEN 'warning' ELSE 'info' END AS severity, CASE rule WHEN 'high-complexity' THEN 3.0 WHEN 'global-mutable' THEN 1.5 ELSE 0.5 END AS cost FROM g),
-s AS (SELECT *, CASE WHEN weight * cost >= 12 THEN 'P0' WHEN weight * cost >= 7 THEN 'P1' WHEN weight * cost >= 3 THEN 'P2' ELSE 'P3' END AS p, CASE WHEN cost >= 4 THEN 'major' WHEN cost >= 2.5 THEN 'moderate' WHEN cost >= 1 THEN 'minor' ELSE 'trivial' END AS effort,
+_PLAN = _ISSUES + f"""g AS (SELECT rule, max(weight) AS weight, count(DISTINCT path) AS n_files, min(path) AS first_file, count(*) AS n_issues,
+  arg_min(message, (package, path, line)) AS description FROM w GROUP BY rule),
+e AS (SELECT *, CASE weight WHEN 6.0 THEN 'error' WHEN 1.5 THEN 'warning' ELSE 'info' END AS severity, CASE rule WHEN 'high-complexity'
+  THEN 3.0 WHEN 'global-mutable' THEN 1.5 ELSE 0.5 END AS cost FROM g),
+s AS (SELECT *, CASE WHEN weight * cost >= 12 THEN 'P0' WHEN weight * cost >= 7 THEN 'P1' WHEN weight * cost >= 3 THEN 'P2' ELSE 'P3' END AS p,
+  CASE WHEN cost >= 4 THEN 'major' WHEN cost >= 2.5 THEN 'moderate' WHEN cost >= 1 THEN 'minor' ELSE 'trivial' END AS effort,
   row_number() OVER (ORDER BY weight * cost DESC, n_issues DESC, rule) AS i FROM e),
-t AS (SELECT 0 AS k, j AS j, x AS text FROM (VALUES (0, repeat('=', {report.WIDTH})), (1, 'Remediation plan'), (2, repeat('=', {report.WIDTH}))) AS v(j, x) WHERE (SELECT count(*) FROM s) > 0
+t AS (SELECT 0 AS k, j AS j, x AS text FROM (VALUES (0, repeat('=', {report.WIDTH})), (1, 'Remediation plan'), (2, repeat('=', {report.WIDTH}))) AS v(j,
+  x) WHERE (SELECT count(*) FROM s) > 0
 UNION ALL SELECT 0, 0, 'All clean: nothing to fix.' WHERE (SELECT count(*) FROM s) = 0
 UNION ALL SELECT 1, right(p, 1)::INT, p || ' ' || ['critical', 'high', 'medium', 'low'][right(p, 1)::INT + 1] || ': ' || count(*) || ' rules' FROM s GROUP BY p
-UNION ALL SELECT 2, i, lpad(i::VARCHAR, 2, ' ') || '. ' || p || ' ' || rule || ' (' || severity || ', ' || effort || ') x' || n_issues || ' in ' || first_file[4:] || CASE WHEN n_files > 1 THEN ' +' || (n_files - 1) ELSE '' END || ': ' || description FROM s WHERE i <= 5
+UNION ALL SELECT 2, i, lpad(i::VARCHAR, 2, ' ') || '. ' || p || ' ' || rule || ' (' || severity || ', ' || effort || ') x' || n_issues || ' in '
+  || first_file[4:] || CASE WHEN n_files > 1 THEN ' +' || (n_files - 1) ELSE '' END || ': ' || description FROM s WHERE i <= 5
 UNION ALL SELECT 3, right(p, 1)::INT, p || ': ' || string_agg(rule, ', ' ORDER BY i) FROM s GROUP BY p)
 SELECT CAST(row_number() OVER (ORDER BY k, j) - 1 AS INTEGER) AS at, text FROM t"""
 
@@ -252,7 +267,8 @@ def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, rows, "scan string, code int")
 
 
-_EXIT = """SELECT 'all' AS scan, CASE WHEN count(*) FILTER (p_size + 1 > 15) > 0 THEN 2 WHEN count(*) FILTER (p_size + 1 > 10 OR p_size % 6 IN (2, 4)) > 0 THEN 1 ELSE 0 END AS code FROM part
+_EXIT = """SELECT 'all' AS scan, CASE WHEN count(*) FILTER (p_size + 1 > 15) > 0 THEN 2 WHEN count(*) FILTER (p_size + 1 > 10 OR p_size % 6 IN (2, 4)) > 0
+  THEN 1 ELSE 0 END AS code FROM part
 UNION ALL SELECT 'warnings', CASE WHEN count(*) FILTER (p_size % 2 = 0) > 0 THEN 1 ELSE 0 END FROM part UNION ALL SELECT 'infos', 0 UNION ALL SELECT 'suppressed', 0"""
 
 
@@ -265,9 +281,11 @@ def merge_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.union(r.stats.select(F.lit("files"), "n_files")).union(r.stats.select(F.lit("lines"), "n_lines")).union(r.stats.select(F.lit("functions"), "n_functions"))
 
 
-_MERGE = _ISSUES + """m AS (SELECT rule FROM w UNION ALL SELECT 'global-mutable' FROM part, unnest(generate_series(1, p_size % 4)) UNION ALL SELECT 'mutable-default' FROM part WHERE p_size % 2 = 0
+_MERGE = _ISSUES + """m AS (SELECT rule FROM w UNION ALL SELECT 'global-mutable' FROM part, unnest(generate_series(1, p_size % 4)) UNION ALL
+  SELECT 'mutable-default' FROM part WHERE p_size % 2 = 0
 UNION ALL SELECT 'missing-param-type' FROM part WHERE p_size % 2 = 0)
-SELECT rule, count(*) AS n FROM m GROUP BY rule UNION ALL SELECT 'files', 2 * n_files FROM n UNION ALL SELECT 'lines', CAST(n_lines + (SELECT sum(p_size % 4 + 1) FROM part) AS BIGINT) FROM n UNION ALL SELECT 'functions', 2 * n_files FROM n"""
+SELECT rule, count(*) AS n FROM m GROUP BY rule UNION ALL SELECT 'files', 2 * n_files FROM n UNION ALL SELECT 'lines', CAST(n_lines + (
+  SELECT sum(p_size % 4 + 1) FROM part) AS BIGINT) FROM n UNION ALL SELECT 'functions', 2 * n_files FROM n"""
 
 
 def issue_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +295,8 @@ def issue_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCORES = _ISSUES + """e AS (SELECT *, CAST(weight * CASE rule WHEN 'high-complexity' THEN 3.0 WHEN 'global-mutable' THEN 1.5 ELSE 0.5 END AS DOUBLE) AS score FROM w)
-SELECT path, CAST(line AS INTEGER) AS line, rule, round(score, 6) AS score, CASE WHEN score >= 12 THEN 'P0' WHEN score >= 7 THEN 'P1' WHEN score >= 3 THEN 'P2' ELSE 'P3' END AS priority FROM e"""
+SELECT path, CAST(line AS INTEGER) AS line, rule, round(score, 6) AS score, CASE WHEN score >= 12 THEN 'P0' WHEN score >= 7 THEN 'P1' WHEN score >= 3
+  THEN 'P2' ELSE 'P3' END AS priority FROM e"""
 
 _TWIN = r"""concat('def load(k):\n    a = 1\n    b = 2\n    return \'', repeat('x', p_size), '\'\nasync def aload(k):\n    a = 1\n    b = 2\n    return \'', repeat('x', cast(p_partkey % 60 as int)), '\'\n')"""
 
@@ -292,7 +311,8 @@ def similarity_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Equal: "def ", the name without its a to the texts' common x, and the closing quote; where both texts are equal, all but "async " and "a".
 _RATIOS = f"""WITH t AS (SELECT p_partkey, p_size AS x, p_partkey % 60 AS y, length('def load(k):\n    a = 1\n    b = 2\n    return ''''') AS h FROM part),
 r AS (SELECT p_partkey, 2.0 * (h + least(x, y)) / (2 * h + 7 + x + y) AS ratio FROM t)
-SELECT '/w/p' || p_partkey || '.py' AS path, name, CASE name WHEN 'load' THEN 'aload' ELSE 'load' END AS other, round(CAST(ratio AS DOUBLE), 12) AS ratio FROM r, (VALUES ('load'), ('aload')) AS n(name)"""
+SELECT '/w/p' || p_partkey || '.py' AS path, name, CASE name WHEN 'load' THEN 'aload' ELSE 'load' END AS other, round(CAST(ratio AS DOUBLE), 12) AS ratio
+  FROM r, (VALUES ('load'), ('aload')) AS n(name)"""
 
 
 def unparsed_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
