@@ -298,6 +298,30 @@ _SCORES = _ISSUES + """e AS (SELECT *, CAST(weight * CASE rule WHEN 'high-comple
 SELECT path, CAST(line AS INTEGER) AS line, rule, round(score, 6) AS score, CASE WHEN score >= 12 THEN 'P0' WHEN score >= 7 THEN 'P1' WHEN score >= 3
   THEN 'P2' ELSE 'P3' END AS priority FROM e"""
 
+# Every rule with its effort to fix, written out once more, and one that has none of its own.
+_RULES = {
+    "import-cycle": 5.0, "god-class": 5.0, "layer-violation": 4.0, "transport-in-library": 4.0, "god-module": 4.0, "high-coupling": 4.0, "sync-async-duplication": 3.0, "duplicate-function-body": 3.0,
+    "high-complexity": 3.0, "deep-inheritance": 3.0, "long-function": 2.5, "potential-circular-import": 2.5, "long-file": 2.5, "deep-nesting": 2.0, "too-many-params": 2.0, "scope-mutation": 2.0,
+    "boolean-flag-params": 1.5, "excessive-returns": 1.5, "swallowed-exception": 1.5, "global-mutable": 1.5, "lazy-class": 1.5, "missing-return-type": 1.0, "bare-except": 1.0,
+    "encapsulation-violation": 1.0, "syntax-error": 1.0, "message-chain": 1.0, "excessive-decorators": 1.0, "pass-through-method": 1.0, "missing-param-type": 0.5, "untyped-dict": 0.5,
+    "unused-import": 0.5, "star-import": 0.5, "mutable-default": 0.5, "todo-marker": 0.5, "dead-code": 0.5, "magic-number": 0.5, "magic-string": 0.5, "missing-else": 0.5, "duplicate-branch": 1.0, "another-rule": 1.0,
+}
+
+
+def fix_efforts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effort, label, score and priority of a finding for each part, over all rules and severities."""
+    names = ", ".join(f"'{r}'" for r in _RULES)
+    x = _table(spark, sf_dir, "part").select("p_partkey", F.expr(f"element_at(array({names}), cast(p_partkey % {len(_RULES)} as int) + 1)").alias("rule"), F.expr("element_at(array('error', 'warning', 'info'), p_size % 3 + 1)").alias("severity"))
+    e, s = score.effort(F.col("rule")), score.issue_score(F.col("severity"), F.col("rule"))
+    return x.select("p_partkey", "rule", "severity", e.alias("effort"), score.effort_label(e).alias("label"), s.alias("score"), score.priority(s).alias("priority"))
+
+
+_EFFORTS = f"""WITH r(i, rule, cost) AS (VALUES {", ".join(f"({i}, '{r}', {c}::DOUBLE)" for i, (r, c) in enumerate(_RULES.items()))}),
+w(j, severity, weight) AS (VALUES (0, 'error', 6.0::DOUBLE), (1, 'warning', 1.5::DOUBLE), (2, 'info', 0.3::DOUBLE)),
+s AS (SELECT p_partkey, rule, severity, cost, round(weight * cost, 6) AS score FROM part JOIN r ON i = p_partkey % {len(_RULES)} JOIN w ON j = p_size % 3)
+SELECT p_partkey, rule, severity, cost AS effort, CASE WHEN cost >= 4 THEN 'major' WHEN cost >= 2.5 THEN 'moderate' WHEN cost >= 1 THEN 'minor' ELSE 'trivial' END AS label, score,
+CASE WHEN score >= 12 THEN 'P0' WHEN score >= 7 THEN 'P1' WHEN score >= 3 THEN 'P2' ELSE 'P3' END AS priority FROM s"""
+
 _TWIN = r"""concat('def load(k):\n    a = 1\n    b = 2\n    return \'', repeat('x', p_size), '\'\nasync def aload(k):\n    a = 1\n    b = 2\n    return \'', repeat('x', cast(p_partkey % 60 as int)), '\'\n')"""
 
 
@@ -329,5 +353,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "discover_packages": (discover_packages, _DISCOVER), "yaml_registry": (yaml_registry, _REGISTRY), "named_paths": (named_paths, _NAMED), "workspace_roots": (workspace_roots, _ROOTS),
     "walk_tree": (walk_tree, _WALK), "read_files": (read_files, _READ), "default_excludes": (default_excludes, _EXCLUDES),
     "text_report": (text_report, _TEXT), "json_report": (json_report, _JSON), "plan_report": (plan_report, _PLAN), "exit_codes": (exit_codes, _EXIT),
-    "merge_scans": (merge_scans, _MERGE), "issue_scores": (issue_scores, _SCORES), "similarity_ratios": (similarity_ratios, _RATIOS), "unparsed_functions": (unparsed_functions, _UNPARSED),
+    "merge_scans": (merge_scans, _MERGE), "issue_scores": (issue_scores, _SCORES), "fix_efforts": (fix_efforts, _EFFORTS), "similarity_ratios": (similarity_ratios, _RATIOS), "unparsed_functions": (unparsed_functions, _UNPARSED),
 }
