@@ -635,3 +635,28 @@ def test_long_payloads_and_texts(spark, tmp_path):
     with pytest.MonkeyPatch.context() as m:
         m.setattr(sharding, "BYTES", 100)
         assert sharding.rows_of(docs, 40) < 40
+
+
+@pytest.mark.parametrize("words", [1 << 20, 1 << 10])
+def test_bitmap_never_loses_a_key(spark, monkeypatch, words):
+    """Rows of listed keys are all inside, inside and outside make the whole, also when the bitmap is too small for the keys."""
+    monkeypatch.setattr(common, "BITMAP_WORDS", words)
+    df = spark.range(60_000).select("id", F.xxhash64("id").alias("h"))
+    keys = df.filter("id % 3 = 0").select(F.col("h").alias("key"))
+    inside = {r["id"] for r in common.maybe_in(df, F.col("h"), keys).collect()}
+    outside = {r["id"] for r in common.maybe_in(df, F.col("h"), keys, False).collect()}
+    assert {i for i in range(60_000) if i % 3 == 0} <= inside and not inside & outside and len(inside) + len(outside) == 60_000
+    assert len(inside) < (24_000 if words > 1 << 10 else 40_000)
+    assert common.maybe_in(df, F.col("h"), keys.limit(0)).count() == 0 and common.maybe_in(df, F.col("h"), keys.limit(0), False).count() == 60_000
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path):
+    start = len(common.STAGED)
+    a, b, c = (common.stage(spark.range(n)) for n in (3, 4, 5))
+    common.drop_between(spark, start)
+    assert len(common.STAGED) == start + 1 and c.count() == 5
+    with pytest.raises(Exception):
+        a.count()
+    common.drop_staged(spark, start)
+    with pytest.raises(Exception):
+        c.count()
