@@ -3,7 +3,8 @@
 1. Sign: each whole text becomes its set of 64-bit shingle hashes, in numpy; equal sets are one class, joined no further.
 2. Order: shingles are ranked by how many texts hold them, rarest first. Their hashes, shortened to 28 bits or more (two
    that fall together only look more frequent), go in blobs to the task of their range, which counts the classes that
-   have each and returns those of more than one, with a code.
+   have each and returns those of more than one, with a code. Shingles that over a fiftieth of the texts have are found
+   first, batch by batch, and known to all tasks: they rank last and aren't sent there, so no task gathers a hot one.
 3. Filter: of n shingles in that order, two sets that are alike share one of the first n - ceil(0.6 n) + 1. Shingles of
    one text alone need no partner. The place of the first shingle that two sets share bounds their sizes: each prefix
    shingle goes, in blobs, to its range's task with the largest size that a partner may have (its reach), and only texts
@@ -26,6 +27,7 @@ carries them.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,8 @@ from .common import STAGED, batches, components, drop_between, hot_join, maybe_i
 
 #: Shingles of a counting task, texts of a shingle beyond which its group is cut before it is gathered, and texts and shingles of a block, beyond which it is divided.
 RANGE, HOT_TEXTS, BLOCK_TEXTS, BLOCK_SHINGLES = 2_000_000, 100_000, 2_000, 2_000_000
+#: Frequent shingles: texts of a batch that have one, at least and as a share; and how many are known to all tasks.
+LEAST, SHARE, FREQUENT = 16, 250, 200_000
 #: Bits of a text's parities.
 PARITIES = 1 << 16
 #: Bytes of a window of text, and of a block's table of queries by shingle.
@@ -119,15 +123,34 @@ def _signature(x: np.ndarray) -> tuple[int, int] | None:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
+_SIGNED = "doc_id long, h long, n long, s1 long, s2 long, frequent boolean"
+
+
 def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and signature of each text; and for shingles (h) that many of a batch's distinct texts have, how many (n)."""
+    names, seen, tally = [x.split()[0] for x in _SIGNED.split(", ")], set(), Counter()
     for b in batches(it, "text", 4 << 20):
         found = sets(b.column("text"))
         sig = [_signature(x) or (None, None) for x in found]
         cols = [pa.array([len(x) for x in found], pa.int64()), *[pa.array([s[i] for s in sig], pa.int64()) for i in (0, 1)]]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *cols], names=["doc_id", "h", "n", "s1", "s2"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *cols, pa.array([False] * len(found))], names=names)
+        own = {s[0]: x for s, x in zip(sig, found) if s[0] is not None and s[0] not in seen}
+        seen.update(own)
+        if len(own) >= LEAST:
+            h, n = np.unique(np.concatenate(list(own.values())), return_counts=True)
+            many = n >= max(LEAST, len(own) // SHARE)
+            tally.update(dict(zip(h[many].view(np.int64).tolist(), n[many].tolist())))
+    none = pa.nulls(len(tally), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, pa.array(list(tally), pa.int64()), pa.array(list(tally.values()), pa.int64()), none, none, pa.array([True] * len(tally), pa.bool_())], names=names)
     release()
 
 
+def frequent(signed: DataFrame, texts: int) -> np.ndarray:
+    """The shingles, ascending, that a good part of the texts have, FREQUENT at most: every one of a fiftieth of all is found, as it has that share of many batches. They are ranked last without being gathered or counted by task."""
+    found = signed.filter("frequent").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(LEAST, texts // (2 * SHARE)))
+    return np.sort(found.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
 _BLOB = "bucket int, chunk long, docs binary, at binary, times binary, ids binary, codes binary"
 _BLOB_NAMES = ["bucket", "chunk", "docs", "at", "times", "ids", "codes"]
 _BLOB_KINDS = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
@@ -162,8 +185,8 @@ def _gaps(at: np.ndarray) -> bytes:
     return _planes(np.diff(at, prepend=0))
 
 
-def _blobs(bits: int):
-    """Blobs of 24-bit ids for each bucket and chunk: a bucket is a hash's leading bits, an id the next 24; `at` tells the texts' places in the chunk. A chunk's texts come as signatures and sizes in bucket -1."""
+def _blobs(bits: int, known: np.ndarray):
+    """Blobs of 24-bit ids for each bucket and chunk: a bucket is a hash's leading bits, an id the next 24; `at` tells the texts' places in the chunk. A chunk's texts come as signatures and sizes in bucket -1, with those shingles that are known to be frequent, by their number, in ids and their times in codes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -180,12 +203,16 @@ def _blobs(bits: int):
             size = np.array([len(x) for _, x in own], np.int64)
             h = np.concatenate([x for _, x in own])
             doc = np.repeat(np.arange(len(own)), size)
+            number = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            often = known[number] == h if len(known) else np.zeros(len(h), bool)
+            place, k = _runs(doc[often])
+            of = np.array([s for s, _ in own], np.int64)
+            rows = [(-1, chunk, of.tobytes(), _gaps(place), size.tobytes(), _three(number[often]), _planes(k))]
+            h, doc = h[~often], doc[~often]
             bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, doc, ids = bucket[order], doc[order], ((h[order] << np.uint64(bits)) >> np.uint64(40)).astype(np.uint32)
-            of = np.array([s for s, _ in own], np.int64)
-            rows = [(-1, chunk, of.tobytes(), None, size.tobytes(), None, None)]
-            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
             for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 at, times = _runs(doc[a:z])
                 rows.append((int(bucket[a]), chunk, of[at].tobytes(), _gaps(at), _planes(times), _three(ids[a:z]), None))
@@ -246,6 +273,10 @@ def _prefixes(rows: pa.Table, hot: int) -> pa.Table:
     for bucket, docs, at, times, ids, codes in zip(*(rows.column(c).to_pylist() for c in ("bucket", "docs", "at", "times", "ids", "codes"))):
         if bucket < 0:
             info = np.frombuffer(docs, np.int64), np.frombuffer(times, np.int64)
+            if ids:
+                doc.append(np.repeat(np.cumsum(_whole(at)), _whole(codes)))
+                token.append(_of_three(ids).astype(np.int64) | 1 << 50)
+                code.append(np.full(len(token[-1]), 255, np.uint8))
             continue
         doc.append(np.repeat(np.cumsum(_whole(at)), _whole(times)))
         token.append(_of_three(ids).astype(np.int64) | bucket << 24)
@@ -311,10 +342,10 @@ class _Parities:
         return out
 
 
-def prefixes(docs: DataFrame, total: int, hot: int = HOT_TEXTS) -> DataFrame:
-    """Blobs of prefix shingles by bucket, and a row for each class that sends any; staged. total: shingles in all."""
+def prefixes(docs: DataFrame, total: int, known: np.ndarray, hot: int = HOT_TEXTS) -> DataFrame:
+    """Blobs of prefix shingles by bucket, and a row for each class that sends any; staged. total: shingles in all; known: frequent ones."""
     bits = int(np.clip(np.ceil(np.log2(max(1, total) / RANGE)), 4, 24))
-    blobs = docs.select("text").mapInArrow(_blobs(bits), _BLOB)
+    blobs = docs.select("text").mapInArrow(_blobs(bits, known), _BLOB)
     # a chunk's signatures wait for it under a key of their own
     key = F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket").cast("long"))
     counted = blobs.groupBy(key.alias("_key")).applyInArrow(_count, _BLOB)
@@ -579,12 +610,13 @@ def _row_key(doc_id: Column, h: Column) -> list[Column]:
 def _linked(docs: DataFrame, max_texts: int = BLOCK_TEXTS, max_shingles: int = BLOCK_SHINGLES, hot: int = HOT_TEXTS) -> DataFrame:
     """doc_id, h (a hash of the text), n, n_similar and first (the component's least id, nulls last, and h with it; null without shingles); one row per document."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
-    signed = stage(docs.mapInArrow(_sign, "doc_id long, h long, n long, s1 long, s2 long"))
+    both = stage(docs.mapInArrow(_sign, _SIGNED))
+    signed = both.filter("not frequent").drop("frequent")
     own = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "h"))
     classes = stage(signed.filter("s1 is not null").groupBy("s1", "s2").agg(own.alias("own"), F.count("*").alias("size"), F.first("n").alias("n")))
     count = signed.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     spark, own_tables = docs.sparkSession, len(STAGED)
-    at = blocks(prefixes(docs, count["n"] or 0, hot), max_texts, max_shingles)
+    at = blocks(prefixes(docs, count["n"] or 0, frequent(both, count["rows"]), hot), max_texts, max_shingles)
     needed = stage(classes.join(at, "s1").select(*_row_key(F.col("own.id"), F.col("own.h")), "s1", "s2", "size", "n", "at", "tokens"))
     drop_between(spark, own_tables)  # blobs, shingles and parities have served
     # texts of other rows don't move; of rows with the same id and text, one does
