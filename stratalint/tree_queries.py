@@ -299,13 +299,16 @@ SELECT path, CAST(line AS INTEGER) AS line, rule, round(score, 6) AS score, CASE
   THEN 'P2' ELSE 'P3' END AS priority FROM e"""
 
 # Every rule with its effort to fix, written out once more, and one that has none of its own.
-_RULES = {
-    "import-cycle": 5.0, "god-class": 5.0, "layer-violation": 4.0, "transport-in-library": 4.0, "god-module": 4.0, "high-coupling": 4.0, "sync-async-duplication": 3.0, "duplicate-function-body": 3.0,
-    "high-complexity": 3.0, "deep-inheritance": 3.0, "long-function": 2.5, "potential-circular-import": 2.5, "long-file": 2.5, "deep-nesting": 2.0, "too-many-params": 2.0, "scope-mutation": 2.0,
-    "boolean-flag-params": 1.5, "excessive-returns": 1.5, "swallowed-exception": 1.5, "global-mutable": 1.5, "lazy-class": 1.5, "missing-return-type": 1.0, "bare-except": 1.0,
-    "encapsulation-violation": 1.0, "syntax-error": 1.0, "message-chain": 1.0, "excessive-decorators": 1.0, "pass-through-method": 1.0, "missing-param-type": 0.5, "untyped-dict": 0.5,
-    "unused-import": 0.5, "star-import": 0.5, "mutable-default": 0.5, "todo-marker": 0.5, "dead-code": 0.5, "magic-number": 0.5, "magic-string": 0.5, "missing-else": 0.5, "duplicate-branch": 1.0, "another-rule": 1.0,
-}
+_RULES = {r: cost for cost, names in [
+    (0.5, "dead-code missing-param-type missing-else magic-string magic-number todo-marker untyped-dict mutable-default unused-import star-import"),
+    (1.0, "pass-through-method another-rule missing-return-type duplicate-branch message-chain encapsulation-violation syntax-error excessive-decorators bare-except"),
+    (1.5, "global-mutable swallowed-exception boolean-flag-params excessive-returns lazy-class"),
+    (2.0, "deep-nesting scope-mutation too-many-params"),
+    (2.5, "long-file long-function potential-circular-import"),
+    (3.0, "deep-inheritance sync-async-duplication duplicate-function-body high-complexity"),
+    (4.0, "god-module high-coupling layer-violation transport-in-library"),
+    (5.0, "import-cycle god-class"),
+] for r in names.split()}
 
 
 def fix_efforts(spark: SparkSession, sf_dir: str) -> DataFrame:
