@@ -660,3 +660,16 @@ def test_intermediate_tables_are_deleted(spark, tmp_path):
     common.drop_staged(spark, start)
     with pytest.raises(Exception):
         c.count()
+
+
+def test_chat_ties_and_long_texts(spark):
+    """Rows of one turn go by role, then text; a turn of twenty thousand lines is one turn, whole."""
+    rows = [(1, 0, "user", "b"), (1, 0, "assistant", "a"), (1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, "user", "\n".join(f"line {i} of it" for i in range(20_000))), (2, 1, "assistant", "done")]
+    written = chat.pages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    got = {r["conv_id"]: (r["transcript"], r["states"]) for r in written.collect()}
+    states, where = got[1][1], [got[1][0].index("a"), got[1][0].rindex("b")]
+    assert [s // 2 for s in states if s % 2 == 0] == [1, 0, 0, 0] and where[0] < where[1]
+    assert len(got[2][1]) == len(got[2][0].split("\n")) >= 20_001
+    model = chat.fit(written)
+    turns = model.turns(got[2][0])
+    assert sum(len(t.split("\n")) for _, t in turns) >= 20_000 and turns[-1][1] == "done"
