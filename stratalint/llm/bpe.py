@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import batches, spread_row, table, whole_row
 
-#: Entries of the memo of pre-tokens and of the table of pairs, in each worker.
+#: Entries of a generation of the memo of pre-tokens, and of the table of pairs, in each worker.
 MEMO, PAIRS = 400_000, 1_000_000
 _M, _STEP, _STIR = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -182,15 +182,21 @@ class Codec:
 
 
 class _Memo(dict):
+    """Ids of the pre-tokens met lately, in two generations of at most MEMO: those still in use when the younger one is full are taken over as they come."""
+
     def __init__(self, codec: Codec) -> None:
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        v = self.old.get(word)
+        if v is None:
+            b = word.encode()
+            r = self.codec.find(b)
+            v = (r,) if r >= 0 else tuple(self.codec.merge(b))
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        b = word.encode()
-        r = self.codec.find(b)
-        v = self[word] = (self.codec.id[self.codec.hash.slot(b)],) if r >= 0 else tuple(self.codec.merge(b))
+        self[word] = v
         return v
 
 

@@ -241,3 +241,14 @@ def test_em_finds_the_reliable_labelers():
     assert not pii.Model(np.empty(0, np.int64), np.empty(0, np.int64)).accepted
 
 
+
+
+def test_memo_in_two_generations(tiktoken_multi, monkeypatch):
+    """With a memo of few words, of which some come back, ids stay right and the memo stays small."""
+    monkeypatch.setattr(bpe, "MEMO", 20)
+    c, rng = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken")), random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 12))) for _ in range(100)]
+    for _ in range(200):
+        text = " ".join(rng.choices(words[:10], k=5) + rng.choices(words, k=10))
+        assert c.encode(text) == tiktoken_multi.encode_ordinary(text)
+        assert len(c.memo) <= 20 and len(c.memo.old) <= 20
