@@ -63,7 +63,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         for line in report.text_lines(r, a.severity, root):
             print(line)
     code = report.exit_code(r)
-    r.facts.unpersist()
+    r.release()
     return code
 
 

@@ -192,3 +192,35 @@ def test_ratio_of_matched_characters():
     assert got["load"] == want == 2 * 45 / (45 + 52) and got["aload"] == want
     got, want = ratio(same, "    await k.first()\n    return await k.second()\n    pass\n")
     assert got["load"] == want < 0.6
+
+
+def test_only_wanted_facts_cost(monkeypatch):
+    """A rule on a file's length needs no syntax tree and no lines; one on classes tells of no others."""
+    import ast
+
+    from stratalint.functions.config import ScanConfig
+    from stratalint.functions.shred import shred
+    from stratalint.operators import rules
+
+    text = "class C:\n    x = 1\n" * 201 + "y = 2"
+    wanted = rules.needs(ScanConfig(), frozenset(["god-class"]))
+    assert "lines" not in wanted and len(shred("p", "/w", "/w/a.py", text, wanted)["classes"]) == 201
+    monkeypatch.setattr(ast, "parse", lambda *_: 1 / 0)
+    row = shred("p", "/w", "/w/a.py", text, rules.needs(ScanConfig(), frozenset(["long-file"])))
+    assert row["n_lines"] == 403 and row["lines"] == []
+
+
+def test_equal_files_are_parsed_once(spark):
+    """A batch's equal texts are one row of contents; what hangs on the path is each file's own."""
+    from stratalint.functions.shred import Memo
+
+    m = Memo(None, most=300)
+    assert m.get("x = 1\n") is m.get("x = 1\n") and m.get(None)["n_lines"] == 0
+    for i in range(20):
+        m.get(f"x = {i}\n")
+    assert len(m.young) + len(m.old) < 10
+    files = [("p", "/w/p", f"/w/p/{d}/m{i}.py", "from . import a\nx = b.c.d.e.f\n" if i % 2 else "from") for d in ("s", "tests") for i in range(50)]
+    got = {x["path"]: x for x in api.shred_sources(spark.createDataFrame(files, "package string, root string, path string, source string").coalesce(1)).collect()}
+    assert len(got) == 100 and got["/w/p/tests/m1.py"]["is_test"] and not got["/w/p/s/m1.py"]["is_test"]
+    assert got["/w/p/s/m3.py"]["edges"] == ["p.s.a"] and got["/w/p/tests/m3.py"]["edges"] == ["p.tests.a"]
+    assert got["/w/p/s/m2.py"]["parse_error"].startswith("SyntaxError") and got["/w/p/s/m2.py"]["chains"] is None and got["/w/p/s/m5.py"]["chains"][0]["depth"] == 4
