@@ -224,3 +224,21 @@ def test_equal_files_are_parsed_once(spark):
     assert len(got) == 100 and got["/w/p/tests/m1.py"]["is_test"] and not got["/w/p/s/m1.py"]["is_test"]
     assert got["/w/p/s/m3.py"]["edges"] == ["p.s.a"] and got["/w/p/tests/m3.py"]["edges"] == ["p.tests.a"]
     assert got["/w/p/s/m2.py"]["parse_error"].startswith("SyntaxError") and got["/w/p/s/m2.py"]["chains"] is None and got["/w/p/s/m5.py"]["chains"][0]["depth"] == 4
+
+
+def test_report_tables_need_no_driver(spark, sf, monkeypatch):
+    """The tables of the reports are the streamed reports; no finding passes through the driver."""
+    from stratalint import tree_queries
+
+    with tree_queries._reported(spark, sf) as r:
+        lines = list(report.text_lines(r, "info", "/w"))
+        parsed = json.loads(report.json_report(r, "info", "/w"))
+        monkeypatch.setattr(type(r.all), "toLocalIterator", lambda *_: 1 / 0)
+        t = report.text_table(r, "info", "/w").toPandas().sort_values("at")
+        assert list(t["at"]) == list(range(len(lines))) and list(t["text"]) == lines
+        j = report.json_table(r, "info", "/w").toPandas().sort_values("at")
+        for part in ("issues", "ignored"):
+            assert [json.loads(x) for x in j[j["part"] == part]["text"]] == parsed[part]
+        assert list(j[j["part"] == "suppressed"]["at"]) == [parsed["suppressed"]] and len(parsed["issues"]) > 100
+    assert tree_queries.text_report(spark, sf).columns == ["at", "text"]
+    assert len(tree_queries.json_report(spark, sf).columns) == 9
