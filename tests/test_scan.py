@@ -242,3 +242,21 @@ def test_report_tables_need_no_driver(spark, sf, monkeypatch):
         assert list(j[j["part"] == "suppressed"]["at"]) == [parsed["suppressed"]] and len(parsed["issues"]) > 100
     assert tree_queries.text_report(spark, sf).columns == ["at", "text"]
     assert len(tree_queries.json_report(spark, sf).columns) == 9
+
+
+def test_partitions_of_many_files_are_few(tmp_path, monkeypatch):
+    """A flat directory of many files, and directories that the driver leaves to tasks: every file once, in a bounded number of partitions."""
+    want = set()
+    for d in ("", "a", "a/b", "c", "_d"):
+        (tmp_path / d).mkdir(exist_ok=True)
+        for i in range(300 if d == "" else 20):
+            (tmp_path / d / f"m{i}.py").write_text("x = 1\n")
+            want.add(str(tmp_path / d / f"m{i}.py"))
+    monkeypatch.setattr(files, "PARTS", 5, raising=False)
+    reader = files._Reader([("p", str(tmp_path), True), ("q", str(tmp_path), False)], [], 2)
+    for listed in (10**6, 310, 1):
+        monkeypatch.setattr(files, "LISTED", listed, raising=False)
+        parts = reader.partitions()
+        got = [(x[0], x[2]) for part in parts for x in reader.read(part)]
+        assert len(got) == len(set(got)) and {f for p, f in got if p == "p"} == want and sum(p == "q" for p, _ in got) == 300
+        assert len(parts) <= 11
