@@ -260,3 +260,37 @@ def test_partitions_of_many_files_are_few(tmp_path, monkeypatch):
         got = [(x[0], x[2]) for part in parts for x in reader.read(part)]
         assert len(got) == len(set(got)) and {f for p, f in got if p == "p"} == want and sum(p == "q" for p, _ in got) == 300
         assert len(parts) <= 11
+
+
+def test_functions_are_measured_in_one_walk(monkeypatch):
+    """Where expressions are visited anyway, a function is measured on the way, as it is by walks of its own; a scan sends no line without a number sign."""
+    from stratalint.functions import shred
+
+    text = (
+        "@d(7)\ndef f(a=3, *, b: int = 4) -> g[5]:\n    if a and b or c:\n        for x in [y for y in (8, 9)]:\n            return k(10, n=11, m=[12])\n    class C:\n        def m(self, q=13):\n            while q:\n                with q:\n                    if q:\n                        return 14\n"
+        "    def inner(z=15):\n        assert z, 16\n        try:\n            if z:\n                return lambda w=17: 18\n        except E:\n            pass\n        return 19\n    return 20  # a 'é' 21\n"
+    )
+    tree = ast.parse(text)
+    defs = [x for x in ast.walk(tree) if isinstance(x, ast.FunctionDef)]
+    want = {x.name: (shred.complexity(x), shred.nesting(x), shred.nested_returns(x)) for x in defs}
+    s = shred._Shredder(text, None)
+    numbers = [n for name in ("f", "m", "inner") for x in defs if x.name == name for n in shred._numbers(x, s.text)]
+    for name in ("complexity", "nesting", "nested_returns", "_numbers"):
+        monkeypatch.setattr(shred, name, lambda *_: 1 / 0)
+    row = shred.shred("p", "/w", "/w/a.py", text, api.needed(api.ScanConfig()))
+    assert {f["name"]: (f["cc"], f["nesting"], f["nested_returns"]) for f in row["functions"]} == want and want["f"][1] == 3
+    assert row["literals"] == numbers and [n["display"] for n in numbers if n["line"] > 13] != [] and row["classes"][0]["wmc"] == want["m"][0]
+    assert row["lines"] == [] and row["n_lines"] == 20 and row["hashes"] == [{"line": 20, "text": "    return 20  # a 'é' 21"}]
+
+
+def test_one_scan_is_kept(spark, sf):
+    """What a query's scan keeps is given up when the next one begins."""
+    from stratalint import queries, tree_queries
+
+    kept = spark.sparkContext._jsc.getPersistentRDDs
+    for query in (queries.health_score, tree_queries.issue_scores, tree_queries.merge_scans):
+        query(spark, sf).collect()
+    before = kept().size()
+    for query in (tree_queries.merge_scans, tree_queries.issue_scores, tree_queries.merge_scans):
+        query(spark, sf).collect()
+    assert kept().size() == before
