@@ -294,3 +294,16 @@ def test_one_scan_is_kept(spark, sf):
     for query in (tree_queries.merge_scans, tree_queries.issue_scores, tree_queries.merge_scans):
         query(spark, sf).collect()
     assert kept().size() == before
+
+
+def test_coupling_reads_facts_once(spark):
+    """Fan-in, fan-out and path come from one reading of the files; files of one module name count once, and the last of them is told."""
+    from stratalint.functions.config import ScanConfig
+    from stratalint.operators import packages
+
+    hub = "".join(f"import p.m{i}\n" for i in range(9)) + "import q.other\nimport px\n"
+    texts = {"hub.py": hub, "hub/__init__.py": hub, "low.py": "import p.hub\n" + "".join(f"import p.m{i}\n" for i in range(7))} | {f"m{i}.py": "import p.hub\nimport p.low\n" for i in range(9)} | {"bad.py": "import p.hub\n("}
+    files = [("p", "/w/p", f"/w/p/{k}", v) for k, v in texts.items()] + [("none", "/w/none", f"/w/none/{k}", v) for k, v in texts.items()]
+    found = packages.high_coupling(api.shred_sources(spark.createDataFrame(files, "package string, root string, path string, source string"), packages.GRAPH), ScanConfig(stems={"p": "p"}))
+    assert found._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    assert [(x["path"], x["message"]) for x in found.collect()] == [("/w/p/hub/__init__.py", "p.hub has fan-in 10 and fan-out 9 (max 8/8)")]
