@@ -96,6 +96,12 @@ def batches(it: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> I
             i = j
 
 
+def parts_of(texts: pa.Array, most: int = 8 << 20) -> Iterator[list[str | None]]:
+    """The values of a string array, about `most` bytes at once."""
+    for b in batches(iter([pa.RecordBatch.from_arrays([texts], names=["x"])]), "x", most):
+        yield b.column("x").to_pylist()
+
+
 def small_join(df: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "left", salts: int = 32) -> DataFrame:
     """Join with a table of `rows` counted rows: broadcast it up to BROADCAST_ROWS; beyond, salt both sides, so that a hot key spreads over `salts` tasks."""
     if rows <= BROADCAST_ROWS:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import batches, named, stage, table
+from .common import batches, named, release, stage, table
 
 CAPACITY, END = 2048, 0
 #: Rounds of multiplicative weights, the rate at which weights fall, and how near the optimum a configuration must price.
@@ -107,6 +107,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
             cols = list(zip(*rows))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids", "part", "rank"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, part int, rank long")
 

@@ -27,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import batches, spread_row, stage, table, whole_row
+from .common import batches, parts_of, release, spread_row, stage, table, whole_row
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELERS, ACCEPT, ROUNDS, SEED = 5, 0.9, 60, 0.97
@@ -296,6 +295,7 @@ def _find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             more.append([dict(zip(("kind", "start", "stop", "pattern"), x)) for x in all_])
         cols = [pa.array([x[i] for x in n], pa.int64()) for i in range(4)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, pa.string()), *cols, pa.array(more, _MORE)], names=["doc_id", "base", *[f"n_{k}" for k in KINDS], "more"])
+    release()
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -345,14 +345,11 @@ def redact(text: str | None, accepted: dict[int, float]) -> str | None:
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with personal data in text replaced; all else, n_chars included if it is there, follows the new text or stays."""
     accepted = fit(find(docs)).accepted
-    row = docs.select(whole_row(docs), F.col("text").alias("_text"))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, "_text"):
-            new = pa.array([redact(x, accepted) for x in b.column("_text").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("_row"), new], names=["_row", "_text"])
+    def redacted(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([redact(x, accepted) for x in some], pa.string()) for some in parts_of(texts))])
 
-    new = row.mapInArrow(run, T.StructType([row.schema["_row"], T.StructField("_text", T.StringType())]))
+    new = docs.select(whole_row(docs), F.arrow_udf(redacted, "string").asNondeterministic()("text").alias("_text"))
     put = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return new.select(*spread_row(new, docs.columns, put=put))
 

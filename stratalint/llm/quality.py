@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import batches, small_join, spread_row, stage, table, whole_row
+from .common import batches, parts_of, release, small_join, spread_row, stage, table, whole_row
 
 #: Measure -> (K, FLOOR): per mille of words, of word length or of lines.
 FENCES = {"symbols": (4, 50), "length": (30, 100), "lines": (4, 100), "repeats": (4, 50)}
@@ -63,14 +63,29 @@ def _measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(zip(*map(measures, batch.column("text").to_pylist())))
         rest = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(x, pa.int64()) for x in found], names=[*rest, *COUNTS, "n_lines"])
+    release()
 
 
-def measure(docs: DataFrame, *carried: str) -> DataFrame:
+def _counted(texts: pa.Array) -> pa.Array:
+    found = list(zip(*(measures(x) for some in parts_of(texts) for x in some))) or [()] * (len(COUNTS) + 1)
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], names=[*COUNTS, "n_lines"])
+
+
+def _keys() -> list[Column]:
+    return [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
+
+
+def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source (null: ""), the counts, the measures in per mille and base_failed; one row per document."""
-    kept = docs.select(*carried, F.col("doc_id").cast("long"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], "text")
+    kept = docs.select(F.col("doc_id").cast("long"), *_keys(), "text")
     schema = T.StructType([*[f for f in kept.schema if f.name != "text"], *[T.StructField(c, T.LongType()) for c in [*COUNTS, "n_lines"]]])
+    return _rated(kept.mapInArrow(_measure, schema))
+
+
+def _rated(counted: DataFrame) -> DataFrame:
+    """counted, with the measures in per mille and base_failed."""
     per = lambda a, b: F.when(F.col(b) > 0, F.expr(f"(1000 * {a}) div {b}")).otherwise(F.lit(0)).cast("long")
-    return kept.mapInArrow(_measure, schema).select(
+    return counted.select(
         "*", per("n_symbols", "n_words").alias("symbols"), per("word_chars", "n_words").alias("length"),
         per("n_dup_lines", "n_lines").alias("lines"), per("n_repeat_words", "n_words").alias("repeats"),
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
@@ -133,10 +148,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that the rules keep. Texts are measured twice, once for the sketches and once for the verdicts; no text is shuffled."""
+    """The rows of docs, with all their columns, that the rules keep. Texts are measured twice, once for the sketches and once for the verdicts; no text is shuffled, and of a row its text alone goes to a worker, and none comes back."""
     limits = stage(thresholds(sketches(measure(docs))))
-    rows = docs.select(whole_row(docs), "doc_id", "lang", "source", "text")
-    return _verdicts(measure(rows, "_row"), limits).filter("kept").select(*spread_row(docs, docs.columns))
+    counted = F.arrow_udf(_counted, ", ".join(f"{c} long" for c in [*COUNTS, "n_lines"])).asNondeterministic()  # so that no filter has it called again
+    rows = docs.select(whole_row(docs), *_keys(), counted("text").alias("_counted")).select("_row", "lang", "source", "_counted.*")
+    return _verdicts(_rated(rows), limits).filter("kept").select(*spread_row(docs, docs.columns))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,18 @@ def test_only_missing_modules_are_forgiven(monkeypatch):
         monkeypatch.delitem(sys.modules, m)
     with pytest.raises(ModuleNotFoundError):
         entry._optional()
+
+
+def test_rows_stay_out_of_the_workers(spark):
+    """Of a row that is filtered or redacted its text alone goes to a worker; nulls, long texts and other columns stay as they are."""
+    from stratalint.llm import pii, quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("*", "array(doc_id, null) as `a.b`")
+    long = docs.limit(1).selectExpr("doc_id", *[f"`{c}`" for c in docs.columns if c not in ("doc_id", "text", "a.b")], "repeat('some words are here, ', 900000) as text", "`a.b`").select(*[f"`{c}`" for c in docs.columns])
+    docs = docs.union(long)
+    for out in (quality.filter_documents(docs), pii.redact_documents(docs)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInArrow" not in plan and out.columns == docs.columns
+    rows = {(r["doc_id"], r["text"]): r["a.b"] for r in docs.collect()}
+    kept = quality.filter_documents(docs).collect()
+    assert 0 < len(kept) < len(rows) and all(rows[(r["doc_id"], r["text"])] == r["a.b"] for r in kept)
