@@ -307,3 +307,12 @@ def test_coupling_reads_facts_once(spark):
     found = packages.high_coupling(api.shred_sources(spark.createDataFrame(files, "package string, root string, path string, source string"), packages.GRAPH), ScanConfig(stems={"p": "p"}))
     assert found._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
     assert [(x["path"], x["message"]) for x in found.collect()] == [("/w/p/hub/__init__.py", "p.hub has fan-in 10 and fan-out 9 (max 8/8)")]
+
+
+def test_a_scan_is_kept_though_an_equal_one_was(spark, sf):
+    """A query's scan is kept when the one before it, of the same or another query, read the same modules: it is parsed once, not by each branch."""
+    from stratalint import queries, tree_queries
+
+    for query in (queries.severity_counts, queries.severity_counts, queries.health_score, tree_queries.merge_scans, tree_queries.issue_scores, tree_queries.issue_scores):
+        query(spark, sf).collect()
+        assert len(api._held) == 1 and all(x.storageLevel.useMemory for x in (api._held[0].kept[:2] if query is tree_queries.merge_scans else (api._held[0].facts, *api._held[0].kept)))
