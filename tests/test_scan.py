@@ -316,3 +316,37 @@ def test_a_scan_is_kept_though_an_equal_one_was(spark, sf):
     for query in (queries.severity_counts, queries.severity_counts, queries.health_score, tree_queries.merge_scans, tree_queries.issue_scores, tree_queries.issue_scores):
         query(spark, sf).collect()
         assert len(api._held) == 1 and all(x.storageLevel.useMemory for x in (api._held[0].kept[:2] if query is tree_queries.merge_scans else (api._held[0].facts, *api._held[0].kept)))
+
+
+def test_files_alike_but_for_numbers_in_names_are_parsed_twice(monkeypatch):
+    """Contents by a template are those of the text itself, hashes, order of names and comments included; texts where it isn't plain which words are names are parsed."""
+    from stratalint.functions import shred
+
+    alike = [
+        "from m{0} import a{1}, b as c{0}\nimport p.q{1}.r\n__all__ = ['n', \"o\"]\n@d{0}\nclass C{1}(B{0}, D{1}):\n    '''Of it's'''\n    def m_{0}(self, k{1}=[], *, z9=1{0}):  # own{0}-ignore[x{1}]: {0}\n        if k{1}:\n            return self.a{0}.b{1}.c.d.e(k{1})\n        else:\n            return g._h{0}\n"
+        "def load{0}(x):\n    global n{1}\n    n{1} = x or {0}\n    if x == 'aa':\n        y = b{1}[1_0:0x1f] + 1.5\n    else:\n        y = b{1}[1_0:0x1f] + 1.5\n    return y == 'aa'\n",
+        "def f(x: int) -> int:\n    if x:\n        x = 1\n    return x_{0}\nz10 = a9 = z_{1}\n",
+        "def f{0}_async(x, async_f{0}):\n    return x{1}(x, async_f{0})\n",
+    ]
+    parsed = [
+        "x{0} = 1.e{0}\n", "x{0} = 1..e{1}\n", "x{0} = '\\x{0}'\n", "x{0} = f'{{x{0}}}'\n", "x{0} = 'x{0}'\n", "x{0} = '''a 'b' {0}'''\n", "x{0} = \"\"\"a \"b{0}\" c\"\"\"\n", "x{0} = f\"{{d[\"a{0}\"]}}\"\n", "x{0} = \\\n  1\n", "é{0} = 1\n", "x{0} = = 1\n", "a = {0}\n", "x{0} = 1\r\n",
+        "def load{0}(k):\n    a = 1\n    b = 2\n    return a\nasync def aload{0}(k):\n    a = 1\n    b = 2\n    return a\n", "x{0} = y\n  z = 1\n", "x{0} = 1if{1}\n", "x{0} = '\n",
+    ]
+    pairs = [(10, 11), (12, 13), (45, 44), (44, 45), (77, 77), (10, 99), (99, 10), (98, 97)]
+    for wanted in (None, api.needed(api.ScanConfig()), frozenset(["edges"]), frozenset(["functions", "body_hash"])):
+        for text in alike + parsed:
+            want = [shred.contents(text.format(*p), wanted) for p in pairs]
+            memo = shred.Memo(wanted)
+            assert [memo.get(text.format(*p)) for p in pairs] == want
+            assert [memo.get(text.format(*p)) for p in pairs[::-1]] == want[::-1]
+    memo, texts, n = shred.Memo(None), [alike[2].format(i, i + 1) for i in range(100, 140)], []
+    parse = ast.parse
+    monkeypatch.setattr(ast, "parse", lambda *a: n.append(1) or parse(*a))
+    for t in texts:
+        memo.get(t)
+    assert len(n) == 2
+    small = shred.Memo(None, most=500)
+    for t in texts + [f"x{i} = {i}  # {i}\n" for i in range(50)]:
+        small.get(t)
+    assert len(small.templates) + len(small.elder) < 20
+    assert shred._relative("/a/b/c.py", "/a") == "b/c.py" and shred._relative("/a/../b", "/a") == "../b" and shred._relative("/ab/c", "/a") == "../ab/c"
