@@ -2,6 +2,8 @@
 
 import ast
 import json
+import subprocess
+import sys
 
 import pytest
 
@@ -318,6 +320,22 @@ def test_a_scan_is_kept_though_an_equal_one_was(spark, sf):
         assert len(api._held) == 1 and all(x.storageLevel.useMemory for x in (api._held[0].kept[:2] if query is tree_queries.merge_scans else (api._held[0].facts, *api._held[0].kept)))
 
 
+def test_a_scan_is_held_past_the_end_of_its_session(sf):
+    """The next session's scan gives up one that went with its session; a session ends all others of its process, so this is another process."""
+    code = """if True:
+        import sys
+        from pyspark.sql import SparkSession
+        from stratalint import queries
+        for _ in range(2):
+            s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+            n = queries.severity_counts(s, sys.argv[1]).count()
+            s.stop()
+        print("severities", n)
+    """
+    r = subprocess.run([sys.executable, "-c", code, sf], capture_output=True, text=True, timeout=300)
+    assert r.stdout.endswith("severities 3\n"), r.stderr[-2000:]
+
+
 def test_files_alike_but_for_numbers_in_names_are_parsed_twice(monkeypatch):
     """Contents by a template are those of the text itself, hashes, order of names and comments included; texts where it isn't plain which words are names are parsed."""
     from stratalint.functions import shred
